@@ -10,21 +10,6 @@ HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
 
-def micros_of(ts_ntz: Column) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP_NTZ.
-
-    Built from calendar fields: `timestampdiff` and `unix_micros` go through the session zone and
-    shift values that fall in a daylight-saving gap.
-    """
-    seconds = (
-        F.unix_date(ts_ntz.cast("date")).cast("bigint") * 86400
-        + F.hour(ts_ntz) * 3600
-        + F.minute(ts_ntz) * 60
-    )
-    fraction = (F.extract(F.lit("SECOND"), ts_ntz) * SECOND).cast("bigint")
-    return seconds * SECOND + fraction
-
-
 def to_timestamp_ntz(micros: Column) -> Column:
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_add("MICROSECOND", micros, epoch)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import percent2, ratio2, round2
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, row_limit
-from playtrail.operators.levels import COMPLETED, FAILED, level_events
+from playtrail.operators.levels import completed, failed, level_events
 from playtrail.sources.schema import USER
 
 
@@ -15,8 +15,8 @@ def _per_user_level(events: DataFrame, filters: Filters) -> DataFrame:
         level_events(events, filters)
         .groupBy(USER, "level")
         .agg(
-            F.count_if(FAILED).alias("failures"),
-            F.count_if(COMPLETED).alias("completions"),
+            F.count_if(failed()).alias("failures"),
+            F.count_if(completed()).alias("completions"),
         )
     )
     return keep_cohort(per_user, events, filters)

@@ -42,14 +42,20 @@ RULES = (DISTINCT_LEVELS, COMPLETIONS, FROM_FIRST)
 
 MILESTONES = (100, 250, 500, 750, 1000)
 
-AT = F.col("event_timestamp")
-LEVEL = F.col("level")
-IS_DONE = F.col("event_name") == LEVEL_COMPLETE
+AT = "event_timestamp"
+
+
+def _is(event: str) -> Column:
+    return F.col("event_name") == event
+
+
+def _has_level() -> Column:
+    return F.col("level").isNotNull()
 
 
 def qualified_users(events: DataFrame, n: int = 1000, rule: str = DISTINCT_LEVELS) -> DataFrame:
     """Users who went far enough; completions without a level do not count."""
-    done = events.filter(IS_DONE & LEVEL.isNotNull() & F.col(USER).isNotNull())
+    done = events.filter(_is(LEVEL_COMPLETE) & _has_level() & F.col(USER).isNotNull())
     if rule == DISTINCT_LEVELS:
         per_user = done.select(USER, "level").distinct().groupBy(USER).agg(F.count("*").alias("n"))
         return per_user.filter(F.col("n") >= n).select(USER)
@@ -86,18 +92,18 @@ def _chosen(
 
 def _loadout() -> Column:
     """Newest-first order: time, then id, then text."""
-    return F.when(F.col("event_name") == LOADOUT, F.struct(AT, "event_id", "unit_names"))
+    return F.when(_is(LOADOUT), F.struct(AT, "event_id", "unit_names"))
 
 
 def _cells(
     rows: DataFrame, n: int, rule: str, in_play: Column, stop_after: int | None
 ) -> DataFrame:
-    counted = IS_DONE & in_play
+    counted, moment = _is(LEVEL_COMPLETE) & in_play, F.col(AT)
     cells = rows.groupBy(USER, "level", "slice").agg(
-        F.count_if(IS_DONE).alias("done"),
+        F.count_if(_is(LEVEL_COMPLETE)).alias("done"),
         F.count_if(counted).alias("counted"),
-        F.min(F.when(counted, AT)).alias("first_at"),
-        F.max(F.when(counted, AT)).alias("last_at"),
+        F.min(F.when(counted, moment)).alias("first_at"),
+        F.max(F.when(counted, moment)).alias("last_at"),
         F.max(_loadout()).alias("newest"),
     )
     user = Window.partitionBy(USER)
@@ -105,7 +111,7 @@ def _cells(
     same_level = Window.partitionBy(USER, "level")
     before_here = same_level.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
 
-    leveled = F.when(LEVEL.isNotNull() & (F.col("done") > 0), LEVEL)
+    leveled = F.when(_has_level() & (F.col("done") > 0), F.col("level"))
     if rule == DISTINCT_LEVELS:
         first_slice = F.min(F.when(F.col("done") > 0, F.col("slice"))).over(same_level)
         cells = cells.withColumn(
@@ -113,7 +119,7 @@ def _cells(
         )
         qualifies = F.count_if("new_level").over(user) >= n
     elif rule == COMPLETIONS:
-        qualifies = F.sum(F.when(LEVEL.isNotNull(), F.col("done"))).over(user) >= n
+        qualifies = F.sum(F.when(_has_level(), F.col("done"))).over(user) >= n
     elif rule == FROM_FIRST:
         qualifies = (F.min(leveled).over(user) == 1) & (F.max(leveled).over(user) >= n)
     else:
@@ -150,17 +156,17 @@ def _numbered(
     slice_width: int = HOUR,
 ) -> DataFrame:
     """Completions of the qualified users with `number`, `previous_at`, `start_at`, `loadout`."""
-    is_loadout = F.col("event_name") == LOADOUT
-    wanted = IS_DONE | (is_loadout & LEVEL.isNotNull()) if loadouts else IS_DONE
-    in_play = LEVEL.between(1, n) if bounded else F.lit(True)
+    done, level = _is(LEVEL_COMPLETE), F.col("level")
+    wanted = done | (_is(LOADOUT) & _has_level()) if loadouts else done
+    in_play = level.between(1, n) if bounded else F.lit(True)
     rows = events.filter(wanted & F.col(USER).isNotNull()).withColumn(
-        "slice", slice_of(AT, slice_width)
+        "slice", slice_of(F.col(AT), slice_width)
     )
     cells = _cells(rows, n, rule, in_play, stop_after)
     # Levels meet null-safe: a completion without a level is numbered too.
     same_cell = (
         (F.col(USER) == F.col("cell_user"))
-        & LEVEL.eqNullSafe(F.col("cell_level"))
+        & level.eqNullSafe(F.col("cell_level"))
         & (F.col("slice") == F.col("cell_slice"))
     )
     here = Window.partitionBy(USER, "slice").orderBy(
@@ -175,15 +181,15 @@ def _numbered(
     )
     numbered = (
         rows.join(cells, same_cell)
-        .withColumn("number", F.col("earlier") + F.count_if(IS_DONE).over(so_far))
+        .withColumn("number", F.col("earlier") + F.count_if(done).over(so_far))
         .withColumn(
             "previous_at",
-            F.coalesce(F.max(F.when(IS_DONE, AT)).over(earlier), F.col("before_at")),
+            F.coalesce(F.max(F.when(done, F.col(AT))).over(earlier), F.col("before_at")),
         )
     )
     if loadouts:
         played = F.coalesce(F.max(_loadout()).over(at_level), F.col("carried"))
-        numbered = numbered.withColumn("loadout", played).filter(IS_DONE)
+        numbered = numbered.withColumn("loadout", played).filter(done)
     if stop_after is not None:
         numbered = numbered.filter(F.col("number") <= stop_after)
     return numbered
@@ -204,23 +210,23 @@ def user_level_progression(
     """
     chosen = _chosen(events, min_levels, DISTINCT_LEVELS, users, sample, seed)
     numbered = _numbered(chosen, min_levels, DISTINCT_LEVELS, slice_width=slice_width)
-    moment = to_timestamp_ntz(AT)
+    moment = to_timestamp_ntz(F.col(AT))
     return numbered.select(
         USER,
         "event_name",
         moment.alias("completion_timestamp"),
-        utc_date(AT).alias("completion_date"),
+        utc_date(F.col(AT)).alias("completion_date"),
         clock_text(moment).alias("completion_time"),
         "level",
         F.col("duration_seconds_dbl").alias("duration_seconds"),
-        elapsed(AT, F.col("start_at")).alias("seconds_since_first_level"),
+        elapsed(F.col(AT), F.col("start_at")).alias("seconds_since_first_level"),
         F.col("number").alias("level_completion_number"),
     )
 
 
 def _timeline(numbered: DataFrame) -> DataFrame:
-    moment = to_timestamp_ntz(AT)
-    since_start = elapsed(AT, F.col("start_at"))
+    moment = to_timestamp_ntz(F.col(AT))
+    since_start = elapsed(F.col(AT), F.col("start_at"))
     return numbered.select(
         USER,
         F.col("number").alias("completion_number"),
@@ -231,8 +237,8 @@ def _timeline(numbered: DataFrame) -> DataFrame:
         F.col("loadout.unit_names").alias("units_used"),
         since_start.alias("total_seconds_elapsed"),
         duration_text(since_start).alias("elapsed_time_formatted"),
-        elapsed(AT, F.col("previous_at")).alias("seconds_since_previous_level"),
-        elapsed(AT, F.col("loadout.event_timestamp")).alias(
+        elapsed(F.col(AT), F.col("previous_at")).alias("seconds_since_previous_level"),
+        elapsed(F.col(AT), F.col("loadout.event_timestamp")).alias(
             "seconds_between_loadout_and_completion"
         ),
     )
@@ -293,7 +299,7 @@ def milestone_summary(
     per_user = (
         numbered.filter(F.col("number").isin(marks))
         .groupBy(USER)
-        .agg(*[F.max(F.when(F.col("number") == k, AT)).alias(f"at_{k}") for k in marks])
+        .agg(*[F.max(F.when(F.col("number") == k, F.col(AT))).alias(f"at_{k}") for k in marks])
     )
     start, finish = F.col("at_1"), F.col(f"at_{n}")
     seconds = elapsed(finish, start)

@@ -1,6 +1,6 @@
 """Level results: completion, duration and attempts per level."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.functions.numeric import percent2, round2
@@ -8,8 +8,13 @@ from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, row_limit
 from playtrail.sources.schema import LEVEL_COMPLETE, LEVEL_FAIL, USER
 
-COMPLETED = F.col("event_name") == LEVEL_COMPLETE
-FAILED = F.col("event_name") == LEVEL_FAIL
+
+def completed() -> Column:
+    return F.col("event_name") == LEVEL_COMPLETE
+
+
+def failed() -> Column:
+    return F.col("event_name") == LEVEL_FAIL
 
 
 def level_events(events: DataFrame, filters: Filters) -> DataFrame:
@@ -27,11 +32,11 @@ def _per_user_level(events: DataFrame, filters: Filters) -> DataFrame:
         .groupBy(USER, "level")
         .agg(
             F.count("*").alias("attempts"),
-            F.count_if(COMPLETED).alias("done"),
-            F.sum(F.when(COMPLETED, seconds)).alias("done_seconds"),
-            F.count(F.when(COMPLETED, seconds)).alias("done_timed"),
-            F.sum(F.when(FAILED, seconds)).alias("fail_seconds"),
-            F.count(F.when(FAILED, seconds)).alias("fail_timed"),
+            F.count_if(completed()).alias("done"),
+            F.sum(F.when(completed(), seconds)).alias("done_seconds"),
+            F.count(F.when(completed(), seconds)).alias("done_timed"),
+            F.sum(F.when(failed(), seconds)).alias("fail_seconds"),
+            F.count(F.when(failed(), seconds)).alias("fail_timed"),
         )
     )
     return keep_cohort(per_user, events, filters)

@@ -28,10 +28,12 @@ def _loadouts(events: DataFrame, filters: Filters, level: int | str | None) -> D
 def _unit_frequency(loadouts: DataFrame) -> DataFrame:
     units = F.col("units")
     # Each position is one use; only the unit's first position in a loadout counts the loadout.
+    # A split is never empty; the outer form keeps Spark from testing that on every event, below the
+    # aggregation, by splitting each text there too.
     placed = loadouts.select("uses", split_units(F.col("unit_names")).alias("units")).select(
         "uses",
         "units",
-        F.posexplode("units").alias("place", "name"),
+        F.posexplode_outer("units").alias("place", "name"),
     )
     is_first = F.array_position(units, F.col("name")) == F.col("place") + 1
     return (

@@ -19,7 +19,8 @@ from playtrail.operators import (
     units,
 )
 from playtrail.operators.filters import Filters
-from playtrail.sources.sample_tables import sample_events
+from playtrail.sources.events import flatten_events
+from playtrail.sources.sample_tables import raw_sample_events, sample_events
 from playtrail.sources.schema import BASE_SKILLS, REWARDED_AD_PATTERN, REWARDED_ADS
 
 Report = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,6 @@ def _cells(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    # flat log
-    "flat_events": lambda ev: ev,
     # cohorts
     "user_cohort": lambda ev: cohort.user_cohort(ev, WEEK),
     "user_cohort_filtered": lambda ev: cohort.user_cohort(ev, WEEK_IOS),
@@ -169,8 +168,19 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# Reports that read the country, which the sample tables keep apart from the events.
+WITH_COUNTRY = {
+    "rewarded_ads_country",
+    "available_countries",
+    "available_countries_week",
+    "available_countries_by_event_date",
+}
+
+
 def reports() -> dict[str, Report]:
-    def bind(build: Callable[[DataFrame], DataFrame]) -> Report:
-        return lambda spark, sf_dir: build(sample_events(spark, sf_dir))
+    def bind(name: str) -> Report:
+        needed = name in WITH_COUNTRY
+        return lambda spark, sf_dir: REPORTS[name](sample_events(spark, sf_dir, needed))
 
-    return {name: bind(build) for name, build in REPORTS.items()}
+    flat = {"flat_events": lambda spark, sf_dir: flatten_events(raw_sample_events(spark, sf_dir))}
+    return flat | {name: bind(name) for name in REPORTS}
