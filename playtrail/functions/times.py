@@ -24,13 +24,16 @@ def utc_date(micros: Column) -> Column:
     return F.date_from_unix_date(slice_of(micros, DAY).cast("int"))
 
 
-def clock_text(ts_ntz: Column) -> Column:
-    """Time of day as text; Spark 4.1 cannot cast a timestamp to TIME."""
-    return F.date_format(ts_ntz, "HH:mm:ss.SSSSSS")
+def second_text(micros: Column) -> Column:
+    """'2024-01-31 23:59:59'. `date_format` would go through the session zone, and casting to text
+    does not."""
+    return F.substring(to_timestamp_ntz(micros).cast("string"), 1, 19)
 
 
-def second_text(ts_ntz: Column) -> Column:
-    return F.date_format(ts_ntz, "yyyy-MM-dd HH:mm:ss")
+def clock_text(micros: Column) -> Column:
+    """Time of day with microseconds, as text; Spark 4.1 cannot cast a timestamp to TIME."""
+    fraction = F.lpad(F.pmod(micros, F.lit(SECOND)).cast("string"), 6, "0")
+    return F.concat(F.substring(second_text(micros), 12, 8), F.lit("."), fraction)
 
 
 def whole(micros: Column, unit: int) -> Column:

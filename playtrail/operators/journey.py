@@ -96,21 +96,42 @@ def _loadout() -> Column:
 
 
 def _cells(
-    rows: DataFrame, n: int, rule: str, in_play: Column, stop_after: int | None
+    rows: DataFrame, n: int, rule: str, in_play: Column, loadouts: bool, stop_after: int | None
 ) -> DataFrame:
-    counted, moment = _is(LEVEL_COMPLETE) & in_play, F.col(AT)
-    cells = rows.groupBy(USER, "level", "slice").agg(
-        F.count_if(_is(LEVEL_COMPLETE)).alias("done"),
-        F.count_if(counted).alias("counted"),
-        F.min(F.when(counted, moment)).alias("first_at"),
-        F.max(F.when(counted, moment)).alias("last_at"),
-        F.max(_loadout()).alias("newest"),
+    moment = F.when(in_play, F.col(AT))
+    cells = (
+        rows.filter(_is(LEVEL_COMPLETE))
+        .groupBy(USER, "level", "slice")
+        .agg(
+            F.count("*").alias("done"),
+            F.count(moment).alias("counted"),
+            F.min(moment).alias("first_at"),
+            F.max(moment).alias("last_at"),
+        )
     )
+    if loadouts:
+        # Apart from the completions: a maximum over text is aggregated by sorting, and only the
+        # loadouts should pay for that.
+        newest = (
+            rows.filter(_is(LOADOUT))
+            .groupBy(USER, "level", "slice")
+            .agg(F.max(_loadout()).alias("newest"))
+            .withColumns({"done": F.lit(0).cast("bigint"), "counted": F.lit(0).cast("bigint")})
+        )
+        cells = cells.unionByName(newest, allowMissingColumns=True)
     user = Window.partitionBy(USER)
     before = user.orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
     same_level = Window.partitionBy(USER, "level")
-    before_here = same_level.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before_here = same_level.orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
 
+    # By user first: one exchange then also serves the windows by user and level.
+    cells = (
+        cells.withColumn("start_at", F.min("first_at").over(user))
+        .withColumn("earlier", F.coalesce(F.sum("counted").over(before), F.lit(0)))
+        .withColumn("before_at", F.max("last_at").over(before))
+    )
+    if loadouts:
+        cells = cells.withColumn("carried", F.max("newest").over(before_here))
     leveled = F.when(_has_level() & (F.col("done") > 0), F.col("level"))
     if rule == DISTINCT_LEVELS:
         first_slice = F.min(F.when(F.col("done") > 0, F.col("slice"))).over(same_level)
@@ -124,14 +145,8 @@ def _cells(
         qualifies = (F.min(leveled).over(user) == 1) & (F.max(leveled).over(user) >= n)
     else:
         raise ValueError(f"rule must be one of {RULES}")
-
-    kept = (
-        cells.withColumn("qualifies", qualifies)
-        .withColumn("earlier", F.coalesce(F.sum("counted").over(before), F.lit(0)))
-        .withColumn("before_at", F.max("last_at").over(before))
-        .withColumn("start_at", F.min("first_at").over(user))
-        .withColumn("carried", F.max("newest").over(before_here))
-        .filter(F.col("qualifies") & (F.col("counted") > 0))
+    kept = cells.withColumn("qualifies", qualifies).filter(
+        F.col("qualifies") & (F.col("counted") > 0)
     )
     if stop_after is not None:
         kept = kept.filter(F.col("earlier") < stop_after)
@@ -142,7 +157,7 @@ def _cells(
         "earlier",
         "before_at",
         "start_at",
-        "carried",
+        *(["carried"] if loadouts else []),
     )
 
 
@@ -162,7 +177,7 @@ def _numbered(
     rows = events.filter(wanted & F.col(USER).isNotNull()).withColumn(
         "slice", slice_of(F.col(AT), slice_width)
     )
-    cells = _cells(rows, n, rule, in_play, stop_after)
+    cells = _cells(rows, n, rule, in_play, loadouts, stop_after)
     # Levels meet null-safe: a completion without a level is numbered too.
     same_cell = (
         (F.col(USER) == F.col("cell_user"))
@@ -216,7 +231,7 @@ def user_level_progression(
         "event_name",
         moment.alias("completion_timestamp"),
         utc_date(F.col(AT)).alias("completion_date"),
-        clock_text(moment).alias("completion_time"),
+        clock_text(F.col(AT)).alias("completion_time"),
         "level",
         F.col("duration_seconds_dbl").alias("duration_seconds"),
         elapsed(F.col(AT), F.col("start_at")).alias("seconds_since_first_level"),
@@ -232,7 +247,7 @@ def _timeline(numbered: DataFrame) -> DataFrame:
         F.col("number").alias("completion_number"),
         "level",
         moment.alias("completion_timestamp"),
-        second_text(moment).alias("formatted_time"),
+        second_text(F.col(AT)).alias("formatted_time"),
         F.col("duration_seconds_dbl").alias("level_duration_seconds"),
         F.col("loadout.unit_names").alias("units_used"),
         since_start.alias("total_seconds_elapsed"),
