@@ -1,0 +1 @@
+"""Structured Streaming into the flat event table."""
