@@ -33,6 +33,9 @@ WEEK_IOS_ANY = Filters(
     start="2024-01-01", end="2024-01-05", platform="ios", cohort_scope="global"
 )
 ONE_COUNTRY = Filters(country="NATION_8")
+EVERY_FILTER = Filters(
+    start="2024-01-01", end="2024-01-30", platform="ios", country="NATION_8", version="1.8.0"
+)
 ONE_VERSION = Filters(platform="android", version="1.5.0")
 JOURNEY_LEVELS = 10
 JOURNEY_MARKS = (1, 2, 4, 6, 8, 10)
@@ -98,6 +101,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "unit_upgrades_week": lambda ev: units.unit_upgrades(ev, WEEK),
     # churn
     "churn": lambda ev: churn.churn(ev),
+    "churn_country": lambda ev: churn.churn(ev, ONE_COUNTRY),
     "churn_week": lambda ev: churn.churn(ev, WEEK, level_count=10),
     "user_max_level": lambda ev: churn.user_max_level(ev),
     "level_reach": lambda ev: churn.level_reach(ev),
@@ -117,6 +121,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # overview and filter options
     "overall_stats": lambda ev: overview.overall_stats(ev),
     "overall_stats_week": lambda ev: overview.overall_stats(ev, WEEK_IOS),
+    "overall_stats_every_filter": lambda ev: overview.overall_stats(ev, EVERY_FILTER),
     "available_countries": lambda ev: overview.available_countries(ev),
     "available_countries_week": lambda ev: overview.available_countries(ev, WEEK_IOS),
     "available_countries_by_event_date": lambda ev: overview.available_countries(
@@ -134,6 +139,9 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rewarded_ads_cohort_week": lambda ev: retention.rewarded_ads_cohort(
         ev, REWARDED_AD_PATTERN, WEEK_IOS
     ),
+    "rewarded_ads_cohort_every_filter": lambda ev: retention.rewarded_ads_cohort(
+        ev, REWARDED_AD_PATTERN, EVERY_FILTER
+    ),
     "ad_impressions_inter": lambda ev: retention.ad_impressions_cohort(ev, "INTER"),
     "ad_impressions_rewarded": lambda ev: retention.ad_impressions_cohort(ev, "REWARDED", WEEK),
     "ad_impressions_by_format": lambda ev: retention.ad_impressions_by_format(ev),
@@ -171,6 +179,9 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 # Reports that read the country, which the sample tables keep apart from the events.
 WITH_COUNTRY = {
     "rewarded_ads_country",
+    "churn_country",
+    "overall_stats_every_filter",
+    "rewarded_ads_cohort_every_filter",
     "available_countries",
     "available_countries_week",
     "available_countries_by_event_date",

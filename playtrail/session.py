@@ -20,6 +20,8 @@ SETTINGS = {
     # Plans are built from many small columns; recording the Python line of each one costs more
     # than planning does.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # A session that serves many reports meets far more than the default 100 generated classes.
+    "spark.sql.codegen.cache.maxEntries": "2000",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }

@@ -37,6 +37,7 @@ def test_no_pairwise_joins_no_row_copies_no_python(spark, name):
 # and the 20 ranked loadouts.
 SMALL_WINDOWS = {
     "churn",
+    "churn_country",
     "churn_week",
     "max_churn_level",
     "level_reach",
