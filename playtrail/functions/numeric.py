@@ -8,9 +8,11 @@ def round2(value: Column) -> Column:
     """Two decimals, halves away from zero, as a double.
 
     The detour over a nine-digit decimal drops the last bits of a floating sum, so a mean that is
-    exactly x.xx5 rounds the same way whatever order its terms were added in.
+    exactly x.xx5 rounds the same way whatever order its terms were added in. What no decimal can
+    hold (NaN, infinities, 1e29 and more) stays as it is.
     """
-    return F.round(value.cast("decimal(38,9)"), 2).cast("double")
+    rounded = F.round(value.try_cast("decimal(38,9)"), 2).cast("double")
+    return F.coalesce(rounded, value.cast("double"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -1,5 +1,7 @@
 """Read the event log, flatten its parameter bag once, keep the flat table by day."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +15,22 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(S.RAW_EVENT_BY_DAY).parquet(root)
 
 
-def read_event_shards(spark: SparkSession, root: str, pattern: str = "events_*") -> DataFrame:
+def read_event_shards(
+    spark: SparkSession,
+    root: str,
+    start: date | None = None,
+    end: date | None = None,
+    prefix: str = "events_",
+) -> DataFrame:
     """Raw log kept as one directory per day, `root/events_YYYYMMDD/*.parquet`: the union of all
-    shards that match. A narrower pattern, such as `events_202401*`, reads fewer shards."""
-    return spark.read.schema(S.RAW_EVENT).parquet(f"{root.rstrip('/')}/{pattern}")
+    shards, or of the days from `start` to `end`. Such a log has no partition column, so only this
+    choice of days skips shards."""
+    days = "*"
+    if start is not None and end is not None:
+        count = (end - start).days + 1
+        days = ",".join((start + timedelta(days=i)).strftime("%Y%m%d") for i in range(count))
+        days = f"{{{days}}}"
+    return spark.read.schema(S.RAW_EVENT).parquet(f"{root.rstrip('/')}/{prefix}{days}")
 
 
 def flatten_events(raw: DataFrame, box_key: str = S.BOX_KEY) -> DataFrame:

@@ -37,6 +37,9 @@ def test_round2_takes_halves_up(spark):
     expected = [1.01, 2.68, -1.01, 0.13, None]
     got = [one(spark, round2(F.lit(v).cast("double")))[0] for v in values]
     assert got == expected
+    odd = [float("inf"), -1e300, float("nan")]
+    got = [one(spark, round2(F.lit(v)))[0] for v in odd]
+    assert got[:2] == odd[:2] and got[2] != got[2]
 
 
 def test_ratios(spark):

@@ -1,7 +1,9 @@
 """Parameter bag, readers and writers."""
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from small import event, flat, raw, rows, table, value
 
@@ -89,7 +91,7 @@ def test_shards(spark, tmp_path):
         at = f"{day[:4]}-{day[4:6]}-{day[6:]}"
         raw(spark, [event("u", "x", at)]).write.parquet(str(tmp_path / f"events_{day}"))
     every = E.flatten_events(E.read_event_shards(spark, str(tmp_path)))
-    january = E.read_event_shards(spark, str(tmp_path), "events_202401*")
+    january = E.read_event_shards(spark, str(tmp_path), dt.date(2024, 1, 1), dt.date(2024, 1, 31))
     assert (every.count(), january.count()) == (3, 2)
     assert every.agg(F.max("event_date")).first()[0] == dt.date(2024, 2, 1)
 
@@ -104,6 +106,21 @@ def test_flat_table_round_trip(spark, tmp_path):
     assert len(days) == events.select("event_date").distinct().count()
 
 
+def test_hot_day_is_split(spark, setting, tmp_path):
+    setting(adaptive__advisoryPartitionSizeInBytes="20000", shuffle__partitions="8")
+    # A partition is split between the outputs of its map tasks: eight here.
+    many = reduce(DataFrame.union, [sample_events(spark, SF)] * 8)
+    hot = many.withColumn(
+        "event_date",
+        F.when(F.col("event_id") % 3 > 0, F.lit(dt.date(2024, 1, 1))).otherwise(F.col("event_date")),
+    )
+    path = tmp_path / "flat"
+    E.write_flat_events(hot, str(path))
+    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
+    assert files["event_date=2024-01-01"] > 2
+    assert E.read_flat_events(spark, str(path)).count() == 8_000
+
+
 def test_write_result(spark, tmp_path):
     for fmt in ("parquet", "json"):
         path = str(tmp_path / fmt)
