@@ -1,11 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from playtrail.llm import chat, quality_rules
+from playtrail.llm import chat, compression, quality_rules, sampling, token_counts, toxicity
 from playtrail.llm.common import shipped
 
 _QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op6_piece_sampling": sampling.op6_piece_sampling,
     "op7_chat_format": chat.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_compression_quality": compression.op10_compression_quality,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 SQL = {"op7_chat_format": chat.OP7_SQL}
