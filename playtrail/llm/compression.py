@@ -3,8 +3,8 @@
 One zstandard dictionary is built from good labelled texts and one from bad ones, of the same size
 and from the same number of texts. A text is cut into blocks, so that the dictionary and not the
 text's own beginning decides, and every block is compressed with both. The difference of the two
-sizes over the whole text, divided by their sum, becomes a probability by a logistic curve fitted on
-labelled texts that went into neither dictionary.
+sizes over the whole text, as a share of the text's size and of both compressed sizes, becomes a
+probability by a logistic curve fitted on labelled texts that went into neither dictionary.
 
 Defined results: a null or empty text has no difference and gets the curve's value at 0; repeated
 rows each get their own score; an empty table gives no rows; without labelled rows of both classes
@@ -29,7 +29,7 @@ from playtrail.llm.common import (
     text_udf,
 )
 
-BLOCK = 4096
+BLOCK = 512
 DICTIONARY = 112 * 1024
 LEVEL = 3
 THRESHOLD = 0.5
@@ -55,11 +55,11 @@ class CompressionModel:
 
     good: bytes
     bad: bytes
-    weights: tuple[float, float]
+    weights: tuple[float, float, float]
 
     def differences(self):
-        """Function from a text to its size difference as a share of both sizes: above 0, the
-        good one suits it."""
+        """Function from a text to its size difference as a share of its size and of both
+        compressed sizes: above 0, the good one suits it."""
         sides = []
         for content in (self.bad, self.good):
             known = zstandard.ZstdCompressionDict(content) if content else None
@@ -70,22 +70,24 @@ class CompressionModel:
                 sides.append(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False))
         bad, good = sides
 
-        def difference(text: bytes | None) -> float:
+        def difference(text: bytes | None) -> tuple[float, float]:
             if not text:
-                return 0.0
+                return 0.0, 0.0
             blocks = _blocks(text)
             with_bad = sum(len(bad.compress(b)) for b in blocks)
             with_good = sum(len(good.compress(b)) for b in blocks)
-            return (with_bad - with_good) / (with_bad + with_good)
+            more = with_bad - with_good
+            return more / len(text), more / (with_bad + with_good)
 
         return difference
 
     def scorer(self):
         difference = self.differences()
-        constant, slope = self.weights
+        constant, *slopes = self.weights
 
         def score(text: bytes | None) -> tuple[float, int]:
-            p = float(1 / (1 + np.exp(-np.clip(constant + slope * difference(text), -30, 30))))
+            logit = constant + sum(w * d for w, d in zip(slopes, difference(text)))
+            p = float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
             return p, int(p >= THRESHOLD)
 
         return score
@@ -102,7 +104,7 @@ def fit_compression(
 def learn_compression(sample: list[tuple[bytes, int]]) -> CompressionModel:
     by_class = [[t for t, label in sample if label == k and t] for k in (0, 1)]
     if not all(by_class):
-        return CompressionModel(b"", b"", (0.0, 0.0))
+        return CompressionModel(b"", b"", (0.0, 0.0, 0.0))
     least = min(map(len, by_class))
     first = [[t for i, t in enumerate(texts[:least]) if i % 3] for texts in by_class]
     # Not enough to set rows apart: the same rows serve twice.
@@ -112,8 +114,8 @@ def learn_compression(sample: list[tuple[bytes, int]]) -> CompressionModel:
     fresh = [(t, label) for t, label in sample if id(t) not in used and t]
     if len({label for _, label in fresh}) < 2:
         fresh = [(t, label) for t, label in sample if t]
-    difference = CompressionModel(good, bad, (0.0, 0.0)).differences()
-    weights = logistic([[difference(t)] for t, _ in fresh], [label for _, label in fresh])
+    difference = CompressionModel(good, bad, (0.0, 0.0, 0.0)).differences()
+    weights = logistic([difference(t) for t, _ in fresh], [label for _, label in fresh])
     return CompressionModel(good, bad, tuple(map(float, weights)))
 
 

@@ -6,10 +6,10 @@ unigrams, and those to one distribution shared by both classes: in how many diff
 word was seen in either. So an expression that one class has not shown is judged by common counts
 and not by chance. Words seen in too few training texts count as one unknown word.
 
-A text's evidence is the difference of the two log-likelihoods divided by the number of words: over
-every stretch of `SPAN` words, the highest, and over the whole text. A logistic curve fitted on
-labelled texts outside the models turns the two into a probability. Long texts are thus judged by
-their worst passage and not diluted.
+A text's evidence is the difference of the two log-likelihoods divided by the number of words: the
+highest of all stretches of `SPAN` words, so long texts are judged by their worst passage and not
+diluted. A logistic curve, fitted on labelled texts outside the models, turns it and the logarithm
+of the text's length (the highest of many is higher) into a probability.
 
 Defined results: a null, empty or wordless text has no evidence and gets the curve's value at 0;
 repeated rows each get their own score; an empty table gives no rows; without labelled rows of both
@@ -36,9 +36,10 @@ from playtrail.llm.common import (
 )
 
 THRESHOLD = 0.7
-SPAN = 8  # words of a stretch; shorter texts are divided by this many as well
+SPAN = 4  # words of a stretch; shorter texts are divided by this many as well
 MIN_SHARE = 0.005  # of the training texts in which a word of the vocabulary stands
 MIN_TEXTS = 3
+SHARED_WEIGHT = 50.0  # words of the backoff that every context counts besides its own
 UNKNOWN, BEGIN = 0, 1
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -57,7 +58,6 @@ class ToxicityModel:
     keys: np.ndarray
     ratios: np.ndarray
     word_ratios: np.ndarray
-    backoff_ratios: np.ndarray
     weights: tuple[float, float, float]
 
     def evidence(self, text: bytes | None) -> tuple[float, float]:
@@ -72,19 +72,19 @@ class ToxicityModel:
         each = np.where(
             self.keys[at] == wanted,
             self.ratios[at],
-            self.backoff_ratios[before] + self.word_ratios[word],
+            self.word_ratios[word],
         )
         sums = np.concatenate([[0.0], np.cumsum(each)])
         span = min(SPAN, n)
         worst = (sums[span:] - sums[:-span]).max() / SPAN
-        return float(worst), float(sums[-1] / max(n, SPAN))
+        return float(worst), float(np.log(n))
 
     def scorer(self):
-        constant, by_worst, by_all = self.weights
+        constant, by_worst, by_length = self.weights
 
         def score(text: bytes | None) -> tuple[float, int]:
-            worst, whole = self.evidence(text)
-            logit = np.clip(constant + by_worst * worst + by_all * whole, -30, 30)
+            worst, length = self.evidence(text)
+            logit = np.clip(constant + by_worst * worst + by_length * length, -30, 30)
             p = float(1 / (1 + np.exp(-logit)))
             return p, int(p >= THRESHOLD)
 
@@ -117,29 +117,34 @@ def learn_models(texts: list[list[list[str]]]) -> ToxicityModel:
         pairs = [np.zeros(0, dtype=np.int64)]
         for words in side:
             ids = np.array([BEGIN, *(vocabulary.get(w, UNKNOWN) for w in words)], dtype=np.int64)
-            pairs.append(ids[:-1] * size + ids[1:])
+            pairs.append(np.unique(ids[:-1] * size + ids[1:]))
         seen.append(np.unique(np.concatenate(pairs), return_counts=True))
     keys = np.union1d(seen[0][0], seen[1][0])
     context, word = keys // size, keys % size
     contexts_of = np.bincount(word, minlength=size) + 1e-3  # a word never seen keeps some mass
     shared = contexts_of / contexts_of.sum()
-    of_words, of_pairs, of_backoff = [], [], []
-    for own_keys, own_counts in seen:
-        counts = np.zeros(len(keys))
-        counts[np.searchsorted(keys, own_keys)] = own_counts
+    counted = np.zeros((2, len(keys)))
+    for side, (own_keys, own_counts) in enumerate(seen):
+        counted[side, np.searchsorted(keys, own_keys)] = own_counts
+    frequent = counted.sum(axis=0) >= MIN_TEXTS
+    pooled = np.where(frequent, counted.sum(axis=0), 0.0)
+    held = np.bincount(context, pooled, minlength=size) + SHARED_WEIGHT
+    backoff = 1 - np.bincount(context, pooled - discounts(pooled), minlength=size) / held
+    of_words, of_pairs = [], []
+    for counts in counted:
         single = np.bincount(word, counts, minlength=size)
         unigram = (single - discounts(single)) / max(single.sum(), 1.0)
         unigram = unigram + (1 - unigram.sum()) * shared
-        total = np.maximum(np.bincount(context, counts, minlength=size), 1)
-        direct = (counts - discounts(counts)) / total[context]
-        backoff = np.maximum(1 - np.bincount(context, direct, minlength=size), 1e-6)
+        total = np.bincount(context, counts, minlength=size) + SHARED_WEIGHT
+        direct = np.where(frequent, counts - discounts(counts), 0.0) / total[context]
         of_pairs.append(np.log(direct + backoff[context] * unigram[word]))
         of_words.append(np.log(unigram))
-        of_backoff.append(np.log(backoff))
-    ratios, words_, backoffs = (
-        (side[1] - side[0]).astype(np.float32) for side in (of_pairs, of_words, of_backoff)
-    )
-    return ToxicityModel(vocabulary, keys, ratios, words_, backoffs, (0.0, 0.0, 0.0))
+    ratios, words_ = ((side[1] - side[0]).astype(np.float32) for side in (of_pairs, of_words))
+    # An unknown word stands for too many to be evidence.
+    words_[UNKNOWN] = 0.0
+    kept_keys = frequent & (word != UNKNOWN)
+    keys, ratios = keys[kept_keys], ratios[kept_keys]
+    return ToxicityModel(vocabulary, keys, ratios, words_, (0.0, 0.0, 0.0))
 
 
 def learn_toxicity(sample: list[tuple[bytes, int]]) -> ToxicityModel:
@@ -148,7 +153,8 @@ def learn_toxicity(sample: list[tuple[bytes, int]]) -> ToxicityModel:
         return learn_models([[], []])
     sides: list[list[tuple[bytes, int]]] = [[], []]
     for k in (0, 1):
-        for i, text in enumerate(t for t, label in sample if label == k):
+        texts = dict.fromkeys(t for t, label in sample if label == k)
+        for i, text in enumerate(texts):
             sides[int(i % 3 == 2)].append((text, k))
     train, fresh = sides
     if len({label for _, label in fresh}) < 2:
@@ -160,7 +166,6 @@ def learn_toxicity(sample: list[tuple[bytes, int]]) -> ToxicityModel:
         model.keys,
         model.ratios,
         model.word_ratios,
-        model.backoff_ratios,
         tuple(map(float, weights)),
     )
 
