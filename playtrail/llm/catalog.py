@@ -1,11 +1,20 @@
 """The registered queries of this subpackage and their SQL."""
 
-from playtrail.llm import chat, compression, quality_rules, sampling, token_counts, toxicity
+from playtrail.llm import (
+    chat,
+    compression,
+    quality_rules,
+    sampling,
+    token_counts,
+    token_files,
+    toxicity,
+)
 from playtrail.llm.common import shipped
 
 _QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_token_files": token_files.op4_token_files,
     "op6_piece_sampling": sampling.op6_piece_sampling,
     "op7_chat_format": chat.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
