@@ -3,9 +3,9 @@
 The vocabulary is read from a public SentencePiece file, never trained. Its scores are negative
 ranks of merges; rank r gets the probability of Zipf's law, proportional to 1 / (r + 1).
 
-Texts are cut into pre-tokens: a run of printing characters with the space before it, cut after
-`LONGEST` characters, or a single white-space or control character. No piece crosses them, so each
-pre-token is a lattice of its own. A character without a piece is written as its UTF-8 bytes. An
+Texts are cut into pre-tokens: a run of word characters or of other signs, each with the space before
+it and cut after `LONGEST` characters, or a single white-space character. No piece crosses them, so
+each pre-token is a lattice of its own. A character without a piece is written as its UTF-8 bytes. An
 extra space stands before every text that is not empty, as usual for such vocabularies; decoding
 takes it away again.
 """
@@ -15,10 +15,10 @@ from __future__ import annotations
 import re
 from array import array
 from dataclasses import dataclass
-from math import exp, log
+from math import exp, inf, log
 
 LONGEST = 48
-_PRE_TOKEN = re.compile(rf" ?[^\x00-\x20]{{1,{LONGEST}}}|[\x00-\x20]")
+_PRE_TOKEN = re.compile(rf" ?\w{{1,{LONGEST}}}| ?[^\w\s]{{1,{LONGEST}}}|\s")
 # The mark of a space in the vocabulary, and what an unknown character costs more than
 # the rarest piece.
 SPACE = "▁"
@@ -77,11 +77,14 @@ def read_pieces(path: str) -> Pieces:
 
 class Trie:
     """Pre-tokens by their characters. A node stands for a prefix; what is computed for it is
-    computed once for all pre-tokens that begin with it. `start` and `enter` are called for the
-    root and for every new node, in the order of their numbers."""
+    computed once for all pre-tokens that begin with it. `start` is called for the root and `enter`
+    for every new node, in the order of their numbers; `path` has the nodes of all shorter
+    prefixes. `endings` has every ending of every piece, with the id where it is one itself, so a
+    search for the pieces that end at a node stops where no longer one can follow."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.endings = {p[k:]: -1 for p in pieces.ids for k in range(len(p))} | pieces.ids
         self.clear()
 
     def clear(self) -> None:
@@ -92,35 +95,21 @@ class Trie:
     def start(self) -> None:
         raise NotImplementedError
 
-    def enter(self, edges: list[tuple[int, float, int, str]]) -> None:
+    def enter(self, word: str, path: list[int], end: int) -> None:
         raise NotImplementedError
 
     def insert(self, word: str) -> int:
         """The node where the pre-token ends."""
-        children, path = self.children, [0]
+        children, node, path = self.children, 0, [0]
         for end, char in enumerate(word, 1):
-            key = path[-1] << 21 | ord(char)
-            node = children.get(key)
-            if node is None:
-                self.enter(self._edges(word, path, end))
+            key = node << 21 | ord(char)
+            node = children.get(key, 0)
+            if not node:
+                self.enter(word, path, end)
                 node = children[key] = self.size
                 self.size += 1
             path.append(node)
-        return path[-1]
-
-    def _edges(self, word: str, path: list[int], end: int) -> list[tuple[int, float, int, str]]:
-        """Pieces that end here: node before, score, id, text. Id -1 is a character as bytes."""
-        ids, scores = self.pieces.ids, self.pieces.scores
-        found = []
-        for first in range(max(0, end - self.pieces.longest), end):
-            piece = word[first:end]
-            i = ids.get(piece)
-            if i is not None:
-                found.append((path[first], scores[piece], i, piece))
-        char = word[end - 1]
-        if char not in ids:
-            found.append((path[end - 1], self.pieces.unknown, -1, char))
-        return found
+        return node
 
 
 class CountTrie(Trie):
@@ -128,50 +117,75 @@ class CountTrie(Trie):
     scores are equal."""
 
     def start(self) -> None:
-        self.best = [(0.0, 0)]
+        self.best, self.tokens_to = array("d", [0.0]), array("l", [0])
 
-    def enter(self, edges) -> None:
-        best = self.best
-        options = []
-        for node, score, i, text in edges:
-            before, tokens = best[node]
-            options.append((before + score, -tokens - (1 if i >= 0 else len(utf8(text)))))
-        score, tokens = max(options)
-        best.append((score, -tokens))
+    def enter(self, word: str, path: list[int], end: int) -> None:
+        best, tokens_to, endings = self.best, self.tokens_to, self.endings
+        scores = self.pieces.scores
+        top, fewest = -inf, 0
+        for first in range(end - 1, -1, -1):
+            piece = word[first:end]
+            i = endings.get(piece)
+            if first == end - 1 and (i is None or i < 0):
+                node = path[first]
+                top = best[node] + self.pieces.unknown
+                fewest = tokens_to[node] + len(utf8(piece))
+            if i is None:
+                break
+            if i >= 0:
+                node = path[first]
+                score, tokens = best[node] + scores[piece], tokens_to[node] + 1
+                if score > top or score == top and tokens < fewest:
+                    top, fewest = score, tokens
+        best.append(top)
+        tokens_to.append(fewest)
 
     def tokens(self, word: str) -> int:
-        return self.best[self.insert(word)][1]
+        return self.tokens_to[self.insert(word)]
 
 
 class SampleTrie(Trie):
     """Forward sums of each prefix, and for every node its incoming edges with the cumulative
-    probability with which backward sampling takes them. Edges of one node lie side by side; an
-    edge's key is its node plus the cumulative probability, so that keys ascend over the trie."""
+    probability with which backward sampling takes them. The edges of a node lie side by side from
+    `first` on; the cumulative probability of its last one is 1."""
 
     def __init__(self, pieces: Pieces, sharpness: float = 1.0):
         self.sharpness = sharpness
         super().__init__(pieces)
 
     def start(self) -> None:
-        self.forward = [0.0]
-        self.keys = array("d")
-        self.origin = array("q")
-        self.piece = array("q")  # id, or -1 - code point of a character written as bytes
-        self.width = array("q")
-
-    def enter(self, edges) -> None:
-        node = len(self.forward)
-        logs = [self.forward[before] + self.sharpness * score for before, score, _, _ in edges]
+        self.forward = array("d", [0.0])
+        self.first = array("i", [0])
+        self.reached = array("d")
+        self.origin = array("i")
+        self.piece = array("i")  # id, or -1 - code point of a character written as bytes
+        self.width = array("i")
+
+    def enter(self, word: str, path: list[int], end: int) -> None:
+        forward, endings, scores = self.forward, self.endings, self.pieces.scores
+        sharpness = self.sharpness
+        logs, edges = [], []
+        for first in range(end - 1, -1, -1):
+            piece = word[first:end]
+            i = endings.get(piece)
+            if first == end - 1 and (i is None or i < 0):
+                logs.append(forward[path[first]] + sharpness * self.pieces.unknown)
+                edges.append((path[first], -1 - ord(piece), len(utf8(piece))))
+            if i is None:
+                break
+            if i >= 0:
+                logs.append(forward[path[first]] + sharpness * scores[piece])
+                edges.append((path[first], i, 1))
         top = max(logs)
         shares = [exp(x - top) for x in logs]
         total = sum(shares)
-        self.forward.append(top + log(total))
+        forward.append(top + log(total))
+        self.first.append(len(self.reached))
         reached = 0.0
-        for k, ((before, _, i, text), share) in enumerate(zip(edges, shares), 1):
+        for (before, i, width), share in zip(edges, shares):
             reached += share / total
-            self.keys.append(node + (1.0 if k == len(edges) else min(reached, 1.0)))
+            self.reached.append(reached)
             self.origin.append(before)
-            self.piece.append(i if i >= 0 else -1 - ord(text))
-            self.width.append(1 if i >= 0 else len(utf8(text)))
-
-
+            self.piece.append(i)
+            self.width.append(width)
+        self.reached[-1] = 1.0

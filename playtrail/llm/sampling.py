@@ -32,7 +32,7 @@ from playtrail.llm.common import table
 from playtrail.llm.pieces import Pieces, SampleTrie, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_NODES = 300_000
+MAX_NODES = 500_000
 PIECE_BYTES = 2_000_000  # text sampled at a time
 
 
@@ -46,27 +46,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Ends(dict):
+    """Node of each pre-token; one that is missing is inserted in the trie first."""
+
+    def __init__(self, trie: SampleTrie):
+        super().__init__()
+        self.trie = trie
+
+    def __missing__(self, word: str) -> int:
+        node = self[word] = self.trie.insert(word)
+        return node
+
+
 class Sampler:
     def __init__(self, pieces: Pieces, seed: int, sharpness: float, max_nodes: int = MAX_NODES):
         self.trie = SampleTrie(pieces, sharpness)
-        self.ends: dict[str, int] = {}
+        self.ends = Ends(self.trie)
         self.seed, self.max_nodes = seed, max_nodes
         self.bytes_ = np.array(pieces.bytes_)
 
-    def _node(self, word: str) -> int:
-        node = self.ends.get(word)
-        if node is None:
-            node = self.ends[word] = self.trie.insert(word)
-        return node
-
     def encode(self, keys: list[str], texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of every text."""
         if self.trie.size > self.max_nodes:
             self.trie.clear()
             self.ends.clear()
-        words = [[self._node(w) for w in pre_tokens(text)] for text in texts]
+        words = [list(map(self.ends.__getitem__, pre_tokens(text))) for text in texts]
         many = np.array([len(w) for w in words], dtype=np.int64)
-        ends = np.fromiter((n for w in words for n in w), dtype=np.int64, count=many.sum())
+        ends = np.array([n for w in words for n in w], dtype=np.int32)
         first = np.concatenate([[0], np.cumsum(many)])
         place = np.arange(len(ends)) - np.repeat(first[:-1], many)
         streams = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], dtype=np.uint64)
@@ -78,33 +84,51 @@ class Sampler:
     def _sample(self, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens in order, and how many each has."""
         trie = self.trie
-        at = {name: np.frombuffer(getattr(trie, name), dtype=d) if trie.size > 1 else np.zeros(0, d)
-              for name, d in (("keys", "f8"), ("origin", "i8"), ("piece", "i8"), ("width", "i8"))}
+        first, origin, piece_of, width_of = (
+            np.frombuffer(x, dtype="i4") if len(x) else np.zeros(0, "i4")
+            for x in (trie.first, trie.origin, trie.piece, trie.width)
+        )
+        reached = np.frombuffer(trie.reached) if len(trie.reached) else np.zeros(0)
         widths = np.zeros(len(ends), dtype=np.int64)
         taken = []
         live, node = np.arange(len(ends)), ends
         while len(live):
             state = mixed(state + _STEP)
             drawn = (state >> np.uint64(32)).astype(np.float64) / 2.0**32
-            edge = np.searchsorted(at["keys"], node + drawn, side="right")
+            edge = first[node]
+            over = np.flatnonzero(reached[edge] <= drawn)
+            while len(over):
+                edge[over] += 1
+                over = over[reached[edge[over]] <= drawn[over]]
             taken.append((live, edge))
-            widths[live] += at["width"][edge]
-            node = at["origin"][edge]
-            more = node > 0
+            widths[live] += width_of[edge]
+            node = origin[edge]
+            more = np.flatnonzero(node)
             live, node, state = live[more], node[more], state[more]
         end = np.cumsum(widths)
         ids = np.zeros(end[-1] if len(end) else 0, dtype=np.int32)
         for who, edge in taken:
-            piece, width = at["piece"][edge], at["width"][edge]
+            piece, width = piece_of[edge], width_of[edge]
             end[who] -= width
-            whole = piece >= 0
-            ids[end[who[whole]]] = piece[whole]
-            for word, code in zip(who[~whole], -1 - piece[~whole]):
+            ids[end[who]] = piece
+            spelled = np.flatnonzero(piece < 0)
+            for word, code in zip(who[spelled].tolist(), (-1 - piece[spelled]).tolist()):
                 raw = chr(code).encode("utf-8", "surrogateescape")
                 ids[end[word] : end[word] + len(raw)] = self.bytes_[list(raw)]
         return ids, widths
 
 
+_SAMPLERS: list[tuple[tuple, Sampler]] = []
+
+
+def _kept_sampler(pieces: Pieces, seed: int, sharpness: float) -> Sampler:
+    """The sampler that this worker has from earlier tasks, if it is the same one."""
+    wanted = (pieces, seed, sharpness)
+    if not (_SAMPLERS and _SAMPLERS[0][0] == wanted):
+        _SAMPLERS[:] = [(wanted, Sampler(*wanted))]
+    return _SAMPLERS[0][1]
+
+
 def decoder(pieces: Pieces):
     """Function from ids to UTF-8 bytes."""
     surface = pieces.surface()
@@ -146,7 +170,7 @@ def encode_sampled(
 
     @F.arrow_udf(kind)
     def over(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        sampler, decode = Sampler(sent.value, seed, sharpness), decoder(sent.value)
+        sampler, decode = _kept_sampler(sent.value, seed, sharpness), decoder(sent.value)
         for keys, texts in batches:
             keys, texts = keys.to_pylist(), texts.to_pylist()
             ids, digests, same = [], [], []

@@ -1,6 +1,6 @@
 """Token counts by a unigram model, computed once per shared prefix of pre-tokens.
 
-Each task keeps a trie of the distinct pre-tokens it has met. The best unigram score of a prefix is
+Each worker keeps a trie of the distinct pre-tokens it has met. The best unigram score of a prefix is
 computed when its node is made and serves every pre-token that begins so; the count at the node
 where a pre-token ends is stored, and a text's count is the sum over its pre-tokens. Nothing is
 shuffled. The trie is emptied when it holds `max_nodes` nodes, which costs time but changes no count.
@@ -19,7 +19,7 @@ from playtrail.llm.common import table, text_udf
 from playtrail.llm.pieces import CountTrie, Pieces, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_NODES = 400_000
+MAX_NODES = 700_000
 
 
 class TerminalCounts(dict):
@@ -38,8 +38,18 @@ class TerminalCounts(dict):
         return count
 
 
+_COUNTS: list[TerminalCounts] = []
+
+
+def _kept_counts(pieces: Pieces, max_nodes: int) -> TerminalCounts:
+    """The counts that this worker has from earlier tasks, if they are of the same vocabulary."""
+    if not (_COUNTS and _COUNTS[0].trie.pieces == pieces and _COUNTS[0].max_nodes == max_nodes):
+        _COUNTS[:] = [TerminalCounts(pieces, max_nodes)]
+    return _COUNTS[0]
+
+
 def counter(pieces: Pieces, max_nodes: int = MAX_NODES):
-    counts = TerminalCounts(pieces, max_nodes)
+    counts = _kept_counts(pieces, max_nodes)
 
     def count(text: bytes | None) -> tuple[int, int]:
         words = pre_tokens(text)
