@@ -3,6 +3,8 @@
 from playtrail.llm import (
     chat,
     compression,
+    decontaminate,
+    passages,
     quality_rules,
     sampling,
     token_counts,
@@ -14,11 +16,13 @@ from playtrail.llm.common import shipped
 _QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_files": token_files.op4_token_files,
+    "op5_substring_dedup": passages.op5_substring_dedup,
     "op6_piece_sampling": sampling.op6_piece_sampling,
     "op7_chat_format": chat.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_compression_quality": compression.op10_compression_quality,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
-SQL = {"op7_chat_format": chat.OP7_SQL}
+SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_chat_format": chat.OP7_SQL}

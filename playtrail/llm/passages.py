@@ -46,7 +46,8 @@ SHARD_BYTES = 8_000_000  # of text whose windows share a shard
 MAX_WORDS = 600_000
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
-_LANE = np.uint64(0xA5A3564E27F8862D)
+_LANE = 0xA5A3564E27F8862D
+_ALL = (1 << 64) - 1
 
 
 class WordPrints:
@@ -76,7 +77,7 @@ _PRINTS = WordPrints()
 
 
 def _joined(left: np.ndarray, right: np.ndarray, lane: int) -> np.ndarray:
-    x = left * _ODD + right + _LANE * np.uint64(lane)
+    x = left * _ODD + right + np.uint64(_LANE * lane & _ALL)
     x = (x ^ (x >> np.uint64(32))) * _ODD
     return x ^ (x >> np.uint64(29))
 
@@ -128,7 +129,7 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _cells(windows: Windows, row: int, shards: int) -> np.ndarray:
     """Shard and cell of every window in one row of the sketch, as one number."""
-    hashes = mixed(windows.first + _ODD * np.uint64(row + 1))
+    hashes = mixed(windows.first + np.uint64(int(_ODD) * (row + 1) & _ALL))
     cell = hashes & np.uint64((1 << CELL_BITS) - 1)
     return _shard_of(hashes, shards) << np.uint64(CELL_BITS) | cell
 
