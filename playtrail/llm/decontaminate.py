@@ -45,22 +45,21 @@ def _words(text: Column) -> Column:
     )
 
 
-def _lowered(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
+def _lowered(text: Column) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Distinct windows as lists of words, each with the ids of its items."""
+    """Distinct windows, words joined by spaces, each with its width and the ids of its items."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
-        _lowered(_words(F.col("text"))).alias("words"),
+        _words(_lowered(F.col("text"))).alias("words"),
     ).where(F.size("words") > 0)
     width = F.least(F.size("words"), F.lit(window))
     starts = F.sequence(F.lit(1), F.size("words") - width + 1)
     cut = items.select("item", "words", width.alias("width"), F.explode(starts).alias("at"))
-    return cut.groupBy(F.slice("words", F.col("at"), F.col("width")).alias("window")).agg(
-        F.collect_set("item").alias("items")
-    )
+    text = F.array_join(F.slice("words", F.col("at"), F.col("width")), " ")
+    return cut.groupBy(text.alias("window"), "width").agg(F.collect_set("item").alias("items"))
 
 
 def _document_words(docs: DataFrame) -> DataFrame:
@@ -70,24 +69,21 @@ def _document_words(docs: DataFrame) -> DataFrame:
 def with_prefix(windows: DataFrame, docs: DataFrame) -> DataFrame:
     """Every window with its rarest word, `token`, in full lower case, and the place of that word
     in it. Ties go to the word that sorts first."""
-    tokens = windows.select(F.explode("window").alias("word")).select(
-        F.lower("word").alias("token")
+    placed = windows.withColumn("words", F.split("window", " ")).select(
+        "window", "width", "items", F.posexplode("words").alias("offset", "word")
     )
-    tokens = tokens.distinct()
+    placed = placed.withColumn("token", F.lower("word"))
     counts = (
         _document_words(docs)
         .select(F.lower("word").alias("token"))
-        .join(F.broadcast(tokens), "token", "left_semi")
+        .join(F.broadcast(placed.select("token").distinct()), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("n"))
     )
-    placed = windows.select("window", "items", F.posexplode("window").alias("offset", "word"))
-    placed = placed.withColumn("token", F.lower("word")).join(counts, "token", "left")
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")
-    return placed.groupBy("window").agg(
-        F.first("items").alias("items"),
-        F.min_by("token", rank).alias("token"),
-        F.min_by("offset", rank).alias("offset"),
+    ranked = placed.join(counts, "token", "left").groupBy("window", "width")
+    return ranked.agg(F.first("items").alias("items"), F.min(rank).alias("rarest")).select(
+        "window", "width", "items", "rarest.token", "rarest.offset"
     )
 
 
@@ -97,18 +93,21 @@ def contamination(
     window: int = WINDOW,
     slice_windows: int = SLICE_WINDOWS,
 ) -> DataFrame:
-    """Per document (`doc_id`, `text_hash`): `n_words`, `n_hit` words inside occurring windows, and
-    the sorted ids of the `items` these windows belong to."""
+    """Per document (`doc_id`, `text_hash`): `n_words`, `n_hit` words inside occurring windows, the
+    sorted ids of the `items` these windows belong to, and how many rows (`copies`) are the same."""
     windows = item_windows(benchmark, window)
     slices = 1 + windows.count() // slice_windows
     sliced = with_prefix(windows, docs).withColumn(
         "slice", F.pmod(F.xxhash64("window"), F.lit(slices))
     )
-    nothing = F.array().cast("array<string>")
     itself = docs.sparkSession.range(1).select(
-        nothing.alias("window"), nothing.alias("items"), F.lit(SELF).alias("token"),
-        F.lit(0).alias("offset"), F.lit(0).cast("bigint").alias("slice"),
-    )
+        F.lit("").alias("window"),
+        F.lit(0).alias("width"),
+        F.array().cast("array<string>").alias("items"),
+        F.lit(SELF).alias("token"),
+        F.lit(0).alias("offset"),
+        F.lit(0).cast("bigint").alias("slice"),
+    )
     sought = sliced.unionByName(itself)
     words = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text")).alias("words")
@@ -119,17 +118,20 @@ def contamination(
         "words",
         F.posexplode(F.array_append("words", F.lit(SELF))).alias("at", "word"),
     ).withColumn("token", F.lower("word"))
-    start, width = F.col("at") - F.col("offset"), F.size("window")
-    fits = (start >= 0) & (start + width <= F.size("words"))
-    same = _lowered(F.slice("words", start + 1, width)) == F.col("window")
+    start = F.col("at") - F.col("offset")
+    fits = (start >= 0) & (start + F.col("width") <= F.size("words"))
+    # No lambda function here: one in a join's condition would keep the join, and with it the
+    # exploded words, out of the generated code.
+    there = F.array_join(F.slice("words", start + 1, F.col("width")), " ")
+    same = _lowered(there) == F.col("window")
     hits = [
         each.join(F.broadcast(sought.where(F.col("slice") == k).drop("slice")), "token")
-        .where((width == 0) | (fits & same))
+        .where((F.col("width") == 0) | (fits & same))
         .select(
             "doc_id",
             "text_hash",
             F.size("words").cast("bigint").alias("n_words"),
-            F.when(width > 0, F.struct(start.alias("start"), width.alias("width"))).alias("span"),
+            F.when(F.col("width") > 0, F.struct(start.alias("start"), "width")).alias("span"),
             "items",
         )
         for k in range(slices)
