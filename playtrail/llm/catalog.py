@@ -4,6 +4,7 @@ from playtrail.llm import (
     chat,
     compression,
     decontaminate,
+    jaccard,
     passages,
     quality_rules,
     sampling,
@@ -22,6 +23,7 @@ _QUERIES = {
     "op6_piece_sampling": sampling.op6_piece_sampling,
     "op7_chat_format": chat.op7_chat_format,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_compression_quality": compression.op10_compression_quality,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
