@@ -1,0 +1,100 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from playtrail.llm import decontaminate as D
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans(D.UPPER, D.LOWER)
+
+
+def words_of(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def plain(docs, items, width=10):
+    windows = {}
+    for item, text in items:
+        w = words_of(text)
+        k = min(width, len(w))
+        for i in range(len(w) - k + 1) if w else ():
+            windows.setdefault(tuple(w[i : i + k]), set()).add("" if item is None else str(item))
+    out = []
+    for doc, text in docs:
+        w = words_of(text)
+        hit, names = set(), set()
+        for i in range(len(w)):
+            for k in {len(x) for x in windows}:
+                found = windows.get(tuple(w[i : i + k])) if i + k <= len(w) else None
+                if found:
+                    hit.update(range(i, i + k))
+                    names |= found
+        out.append((doc, len(w), len(hit), tuple(sorted(names))))
+    return sorted(out, key=str)
+
+
+def benchmark(spark, items):
+    kind = "item_id bigint, text string, window string, token string"
+    return spark.createDataFrame([(*i, "w", "t") for i in items], kind)
+
+
+def found(spark, docs, items, **more):
+    rows = D.contamination(docs, benchmark(spark, items), **more).collect()
+    return sorted(
+        (
+            (r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]))
+            for r in rows
+            for _ in range(r["copies"])
+        ),
+        key=str,
+    )
+
+
+@pytest.mark.parametrize("slices", [10**6, 3])
+def test_equals_brute_force(spark, documents, slices):
+    rng = random.Random(slices)
+
+    def text(n):
+        return " ".join(rng.choice(["a", "B", "c", "É", "é", "d1"]) for _ in range(n))
+
+    items = [(k, text(rng.randrange(0, 9))) for k in range(12)] + [(None, "É a B"), (3, "c c")]
+    docs = [(k, text(rng.randrange(0, 40))) for k in range(40)]
+    docs += [(1, docs[1][1]), (None, docs[2][1]), (None, None), (50, ""), (51, "a\x00b a!B")]
+    got = found(spark, documents(docs), items, window=4, slice_windows=slices)
+    assert got == plain(docs, items, 4)
+
+
+def test_short_items_and_passages(spark, documents):
+    item = "the quick brown fox jumps over the lazy dog and runs away"
+    docs = [
+        (1, f"Start, {item.upper()}; end"),
+        (2, "quick brown fox jumps over the lazy dog and"),
+        (3, "quick brown fox jumps over the lazy dog and runs"),
+        (4, "tiny"),
+        (5, "so TINY it is tiny " * 3000),
+    ]
+    items = [(1, item), (2, "tiny")]
+    assert found(spark, documents(docs), items) == plain(docs, items)
+
+
+def test_no_items_and_no_documents(spark, documents):
+    docs = documents([(1, "some words here")])
+    assert found(spark, docs, []) == [(1, 3, 0, ())]
+    assert found(spark, docs, [(1, None), (2, "!!!")]) == [(1, 3, 0, ())]
+    assert found(spark, docs.limit(0), [(1, "some words")]) == []
+
+
+def test_stage_drops_only_what_is_hit(spark, documents):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    docs = documents([(1, f"before {item} after"), (2, "clean words"), (None, None), (3, item)])
+    left = D.stage_decontaminate(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["2", "None"]
+
+
+def test_digest_of_no_items(spark):
+    clean = D.op3_decontaminate(spark, "/root/testdata/sf0.001").where("n_hit = 0").first()
+    assert clean["items_sha256"] == hashlib.sha256(b"").hexdigest() and not clean["contaminated"]

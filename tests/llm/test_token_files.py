@@ -1,0 +1,88 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from playtrail.llm import token_files as F
+from playtrail.llm.simple8b import COUNTS, pack, unpack
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**60 - 1) | st.integers(0, 300) | st.integers(0, 1), max_size=400))
+def test_packing_comes_back(ids):
+    words = pack(np.array(ids, dtype=np.uint64))
+    assert unpack(words, len(ids)).tolist() == ids
+
+
+def test_words_are_as_full_as_the_selectors_allow():
+    assert len(pack(np.ones(600, dtype=np.uint64))) == 600 // COUNTS[0]
+    assert len(pack(np.full(600, 40_000, dtype=np.uint64))) == 200
+    mixed = np.array([2**59, *[1] * 60, 2**31], dtype=np.uint64)
+    assert len(pack(mixed)) == 3
+    with pytest.raises(ValueError):
+        pack(np.array([2**60], dtype=np.uint64))
+
+
+TEXTS = [
+    "Hello, World! it's",
+    "<|endoftext|> a<|startoftext|>b <|endoftext|>",
+    "É Ébc é ́x ΑΣ σ İ ﬁ",
+    "a b c d",
+    "tab\tnew\nline\r\x0b\x0c x",
+    "日本語 text 123 4,5.6 ...",
+    "x" * 3000,
+    "the the the",
+    "",
+    None,
+]
+
+
+def test_words_give_the_ids_of_whole_texts():
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole = Tokenizer.from_file(path)
+    raw = [t.encode() if t is not None else None for t in TEXTS]
+    for given_ in (raw, raw[::-1]):
+        ids, lengths = words.encode(given_)
+        pieces = np.split(ids, np.cumsum(lengths)[:-1])
+        for text, got in zip(given_, pieces):
+            coded = whole.encode((text or b"").decode(), add_special_tokens=False)
+            assert got.tolist() == [*coded.ids, 1]
+
+
+def test_files_hold_documents_in_order(spark, documents, tmp_path):
+    rows = [(k * 7 % 50, f"text number {k} of some words") for k in range(50)]
+    rows += [(None, "no id"), (60, None), (61, "twice"), (61, "twice"), (62, "long " * 50_000)]
+    F.write_token_files(documents(rows).repartition(4), str(tmp_path / "ids"))
+    found = F.read_token_files(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None, *range(50), 60, 61, 61, 62]
+    start = 0
+    for r in found:
+        assert r["start"] == start and r["n_tokens"] == len(r["ids"]) and r["ids"][-1] == 1
+        raw = np.array(r["ids"], dtype="<u4").tobytes()
+        assert r["ids_crc32"] == zlib.crc32(raw)
+        start += r["n_tokens"]
+    assert {r["doc_id"]: r["n_tokens"] for r in found}[60] == 1
+
+
+def test_no_documents(spark, documents, tmp_path):
+    F.write_token_files(documents([(1, "x")]).limit(0), str(tmp_path / "none"))
+    assert F.read_token_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_query_equals_the_tokenizer(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    whole = Tokenizer.from_file(public_tokenizers.path(F.VOCABULARY))
+    wanted, start = [], 0
+    for doc_id, text in sorted(map(tuple, docs)):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
+        crc = zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+        wanted.append((doc_id, start, len(ids), crc))
+        start += len(ids)
+    assert sorted(map(tuple, F.op4_token_files(spark, sf).collect())) == wanted
