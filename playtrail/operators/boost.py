@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from playtrail.functions.numeric import percent2, round2
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, row_limit
+from playtrail.operators.filters import Filters, first_rows
 from playtrail.sources.schema import LEVEL_COMPLETE, LEVEL_FAIL, SILVER_COIN_ADS, USER
 
 # An outcome is boosted when an ad for the same user and level came at or before it. Of one user's
@@ -91,7 +91,7 @@ def silver_boost(
     with_boost = done_with + F.col("failed_with")
     without = done_without + F.col("failed_without")
     total = with_boost + without
-    return (
+    report = (
         counts.filter(total > 0)  # levels with ads but no outcome are no levels here
         .select(
             "level",
@@ -104,8 +104,8 @@ def silver_boost(
             percent2(done_without, without).alias("completion_rate_without_boost"),
         )
         .orderBy("level")
-        .limit(row_limit(level_count, 50))
     )
+    return first_rows(report, level_count, 50)
 
 
 def boost_impact(boost: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from playtrail.functions.numeric import percent2, ratio2, round2
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, row_limit
+from playtrail.operators.filters import Filters, first_rows
 from playtrail.operators.levels import completed, failed, level_events
 from playtrail.sources.schema import USER
 
@@ -95,7 +95,7 @@ def churn(
     reached = F.col("users_reached_level")
     left = reached - F.col("users_reached_next_level")
     rate = left.cast("double") * F.lit(100.0) / F.nullif(reached, F.lit(0))
-    return (
+    report = (
         level_retention(events, filters)
         .select(
             "level",
@@ -106,8 +106,8 @@ def churn(
             ratio2(F.col("total_attempts"), F.col("completions")).alias("difficulty_score"),
         )
         .orderBy("level")
-        .limit(row_limit(level_count, 50))
     )
+    return first_rows(report, level_count, 50)
 
 
 def _peak(report: DataFrame, score: str) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.operators.filters import Filters
-from playtrail.session import checkpoint_root
 from playtrail.sources.schema import FIRST_OPEN, USER
 
 
@@ -37,21 +36,11 @@ def keep_cohort(per_user: DataFrame, events: DataFrame, filters: Filters) -> Dat
     return per_user.join(user_cohort(events, filters).select(USER), USER, "left_semi")
 
 
-def narrow_to_cohort(
-    events: DataFrame, filters: Filters, max_users: int = 1_000_000
-) -> DataFrame:
-    """Events of the cohort's users where the cohort is small, all events where it is not.
-
-    Any report with the same filters gives the same result on the narrowed events; worth it before
-    several reports on a short date range. This runs a job at once: it counts the cohort, and only
-    one of at most `max_users` is broadcast. Where the cluster names a checkpoint folder, the cohort
-    is computed only once and kept there.
-    """
+def narrow_to_cohort(events: DataFrame, filters: Filters) -> DataFrame:
+    """Events of the cohort's users; all events when no date range is set. Any report with the same
+    filters gives the same result on them. Spark broadcasts a small cohort, which then cuts the log
+    as it is read; a large one is merge-joined, which only pays off where several reports share the
+    narrowed events."""
     if not filters.has_cohort:
         return events
-    cohort = user_cohort(events, filters).select(USER)
-    if checkpoint_root(events.sparkSession):
-        cohort = cohort.checkpoint()
-    if cohort.limit(max_users + 1).count() > max_users:
-        return events
-    return events.join(F.broadcast(cohort), USER, "left_semi")
+    return events.join(user_cohort(events, filters).select(USER), USER, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +67,8 @@ class Filters:
 
 
 def last_week(today: date | None = None, **others: str) -> Filters:
-    """Default window of the dashboard: seven days back up to today."""
-    end = today or date.today()
+    """Default window of the dashboard: seven days back up to today, both in UTC."""
+    end = today or datetime.now(timezone.utc).date()
     return Filters(start=end - timedelta(days=7), end=end, **others)
 
 
@@ -86,16 +86,25 @@ def name_matches(pattern: str, column: str = "event_name") -> Column:
     return name.startswith(prefix) & like if prefix else like
 
 
-def row_limit(value: int | str | None, default: int) -> int:
-    """A report's row count: blank means the default, anything but a whole number is an error."""
+def row_limit(value: int | str | None, default: int) -> int | None:
+    """A report's row count: blank means the default, 'all' no limit (None), anything else but a
+    whole number is an error."""
     if value is None or value == "":
         return default
+    if value == ALL:
+        return None
     count = int(value)
     if count < 0:
         raise ValueError(f"row count must not be negative: {value}")
     return count
 
 
+def first_rows(report: DataFrame, value: int | str | None, default: int) -> DataFrame:
+    """The first rows of an ordered report, or all of them."""
+    count = row_limit(value, default)
+    return report if count is None else report.limit(count)
+
+
 def level_choice(value: int | str | None) -> int | None:
     if isinstance(value, str):
         value = _chosen(value)

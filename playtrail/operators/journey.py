@@ -40,6 +40,7 @@ COMPLETIONS = "completions"  # completed a level n times
 FROM_FIRST = "from_first"  # completed level 1, and level n or a higher one
 RULES = (DISTINCT_LEVELS, COMPLETIONS, FROM_FIRST)
 
+# The completions at which the summary looks.
 MILESTONES = (100, 250, 500, 750, 1000)
 
 AT = "event_timestamp"
@@ -85,9 +86,15 @@ def _chosen(
         return events.filter(F.col(USER).isin(list(users)))
     if sample is None:
         return events
-    picked = pick_users(qualified_users(events, n, rule), sample, seed)
-    # At most `sample` rows, so the hint has a fixed bound.
-    return events.join(F.broadcast(picked) if sample <= 1000 else picked, USER, "left_semi")
+    return events.join(pick_users(qualified_users(events, n, rule), sample, seed), USER, "left_semi")
+
+
+def _in_order(
+    journeys: DataFrame, number: str, users: Sequence[str] | None, sample: int | None
+) -> DataFrame:
+    """Named or drawn users' journeys in time order. All journeys stay unsorted: a global sort of
+    them would only serve display."""
+    return journeys if users is None and sample is None else journeys.orderBy(USER, number)
 
 
 def _loadout() -> Column:
@@ -220,13 +227,13 @@ def user_level_progression(
 ) -> DataFrame:
     """Every completion of the users with `min_levels` different levels, numbered in time order.
 
-    All qualified users come out unless `users` names some or `sample` draws that many of them. The
-    rows are not sorted; a global sort of all journeys would only serve display.
+    All qualified users come out, unsorted, unless `users` names some or `sample` draws that many of
+    them; these come in time order.
     """
     chosen = _chosen(events, min_levels, DISTINCT_LEVELS, users, sample, seed)
     numbered = _numbered(chosen, min_levels, DISTINCT_LEVELS, slice_width=slice_width)
     moment = to_timestamp_ntz(F.col(AT))
-    return numbered.select(
+    journeys = numbered.select(
         USER,
         "event_name",
         moment.alias("completion_timestamp"),
@@ -237,6 +244,7 @@ def user_level_progression(
         elapsed(F.col(AT), F.col("start_at")).alias("seconds_since_first_level"),
         F.col("number").alias("level_completion_number"),
     )
+    return _in_order(journeys, "level_completion_number", users, sample)
 
 
 def _timeline(numbered: DataFrame) -> DataFrame:
@@ -270,11 +278,10 @@ def time_to_n_levels(
     """First n completions, replays included, of the users with n different levels; each with the
     newest loadout at or before it for the same level."""
     chosen = _chosen(events, n, DISTINCT_LEVELS, users, sample, seed)
-    return _timeline(
-        _numbered(
-            chosen, n, DISTINCT_LEVELS, loadouts=True, stop_after=n, slice_width=slice_width
-        )
+    numbered = _numbered(
+        chosen, n, DISTINCT_LEVELS, loadouts=True, stop_after=n, slice_width=slice_width
     )
+    return _in_order(_timeline(numbered), "completion_number", users, sample)
 
 
 def time_to_n_levels_from_first(
@@ -288,11 +295,10 @@ def time_to_n_levels_from_first(
     """The same for the users who started at level 1 and reached level n: all their completions of
     the levels 1 to n."""
     chosen = _chosen(events, n, FROM_FIRST, users, sample, seed)
-    return _timeline(
-        _numbered(
-            chosen, n, FROM_FIRST, bounded=True, loadouts=True, slice_width=slice_width
-        )
+    numbered = _numbered(
+        chosen, n, FROM_FIRST, bounded=True, loadouts=True, slice_width=slice_width
     )
+    return _in_order(_timeline(numbered), "completion_number", users, sample)
 
 
 def milestone_summary(

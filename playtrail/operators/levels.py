@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from playtrail.functions.numeric import percent2, round2
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, row_limit
+from playtrail.operators.filters import Filters, first_rows
 from playtrail.sources.schema import LEVEL_COMPLETE, LEVEL_FAIL, USER
 
 
@@ -81,7 +81,7 @@ def level_analysis(
     events: DataFrame, filters: Filters = Filters(), level_count: int | str | None = 50
 ) -> DataFrame:
     """Completion rate, durations and attempts of the first `level_count` levels."""
-    return (
+    report = (
         _per_level(_per_user_level(events, filters))
         .select(
             "level",
@@ -95,8 +95,8 @@ def level_analysis(
             "avg_attempts_to_complete",
         )
         .orderBy("level")
-        .limit(row_limit(level_count, 50))
     )
+    return first_rows(report, level_count, 50)
 
 
 def average_completion_rate(analysis: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from playtrail.operators.ads import rewarded_ads, total_rewarded_ads
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, name_matches
+from playtrail.operators.filters import Filters, first_rows, name_matches
 from playtrail.operators.levels import average_completion_rate, level_analysis
 from playtrail.sources.schema import (
     BOX_OPENED,
@@ -64,20 +64,20 @@ def _options(events: DataFrame, filters: Filters, column: str, mode: str) -> Dat
 
 
 def available_countries(
-    events: DataFrame, filters: Filters = Filters(), mode: str = "cohort", limit: int = 100
+    events: DataFrame, filters: Filters = Filters(), mode: str = "cohort", limit: int | str = 100
 ) -> DataFrame:
     """Countries by number of users. The dates select installs, or events in the older mode
     'event_date'."""
     options = _options(events, filters, "country", mode)
-    return options.orderBy(F.desc("user_count"), "country").limit(limit)
+    return first_rows(options.orderBy(F.desc("user_count"), "country"), limit, 100)
 
 
 def available_versions(
-    events: DataFrame, filters: Filters = Filters(), mode: str = "cohort", limit: int = 50
+    events: DataFrame, filters: Filters = Filters(), mode: str = "cohort", limit: int | str = 50
 ) -> DataFrame:
     """Versions with their users, in falling text order ('1.9' above '1.10')."""
     options = _options(events, filters, "version", mode)
-    return options.orderBy(F.desc("version")).limit(limit)
+    return first_rows(options.orderBy(F.desc("version")), limit, 50)
 
 
 def overview(

@@ -7,33 +7,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrail.operators.cohort import user_cohort
-from playtrail.operators.filters import Filters, name_matches
+from playtrail.operators.filters import Filters, first_rows, name_matches, row_limit
 from playtrail.sources.schema import AD_FORMATS, AD_IMPRESSION, USER
 
-# The day offsets that are reported.
+# The day offsets and the number of install days that are reported, and the shares of
+# the largest cell from which a heat level begins.
 DAY_OFFSETS = (0, 1, 2, 3, 4, 5, 6, 7, 14, 30, 45, 60, 75, 90)
+DAYS_SHOWN = 100
+HEAT_LEVELS = ((5, 0.8), (4, 0.6), (3, 0.4), (2, 0.2))
 
 
-def _matrix(events: DataFrame, filters: Filters, counted: dict[str, Column]) -> DataFrame:
-    """One row per install day: cohort_size, day_k_users, and `{label}{k}` events per counted kind.
-
-    Events are first summed per user and day, which leaves at most one row per day of the log for
-    the busiest user; with that grain every later count is a plain sum. A user is active on the
-    install day by the install itself, so cohort_size is the users at offset 0 and the cohort needs
-    no outer join. Events of the user count whatever their platform, country or version; the
-    filters choose the installs only.
+def _matrix(
+    events: DataFrame, filters: Filters, counted: dict[str, Column], limit: int | str | None
+) -> DataFrame:
+    """One row per install day, in order: cohort_size, day_k_users, and `{label}{k}` events per
+    counted kind, of the first `limit` install days.
+
+    Events are summed per user and day, which leaves at most one row per day of the log for the
+    busiest user; with that grain every later count is a plain sum. The cohort cuts the users by a
+    semi-join, which Spark moves below the sum, to the scan, where the cohort is small enough to
+    broadcast; its dates are attached afterwards. A user is active on the install day by the install
+    itself, so cohort_size is the users at offset 0 and the cohort needs no outer join. An install
+    day whose only installs carry no user id has no cohort and no row. Events of the user count
+    whatever their platform, country or version; the filters choose the installs only.
     """
+    cohort = user_cohort(events, filters)
+    days = row_limit(limit, DAYS_SHOWN)
     known = events.filter(F.col("event_name").isNotNull())
+    # Days outside every offset of every install day shown are not read.
+    span = max(DAY_OFFSETS)
     if filters.has_cohort:
-        # Days outside every offset of every install day in range are not read.
-        last = filters.end + timedelta(days=max(DAY_OFFSETS))
+        last = filters.end + timedelta(days=span)
         known = known.filter(F.col("event_date").between(F.lit(filters.start), F.lit(last)))
+    elif days is not None:
+        # The last install day shown is known from the installs alone.
+        shown = cohort.filter(F.col(USER).isNotNull()).select("cohort_date").distinct()
+        newest = shown.orderBy("cohort_date").limit(days).agg(F.max("cohort_date")).scalar()
+        known = known.filter(F.col("event_date") <= F.date_add(newest, span))
+        cohort = cohort.filter(F.col("cohort_date") <= newest)
     daily = known.groupBy(USER, "event_date").agg(
         *[F.count_if(test).alias(label) for label, test in counted.items()]
     )
     offset = F.datediff("event_date", "cohort_date")
     cells = (
-        daily.join(user_cohort(events, filters), USER)
+        daily.join(cohort.select(USER), USER, "left_semi")
+        .join(cohort, USER)
         .select(F.col("cohort_date").alias("install_date"), offset.alias("offset"), *counted)
         .filter(F.col("offset").isin(*DAY_OFFSETS))
     )
@@ -45,7 +63,8 @@ def _matrix(events: DataFrame, filters: Filters, counted: dict[str, Column]) ->
             for label in counted
         ]
         sums.append(F.count_if(here).alias(f"day_{k}_users"))
-    return cells.groupBy("install_date").agg(*sums)
+    matrix = cells.groupBy("install_date").agg(*sums)
+    return first_rows(matrix.orderBy("install_date"), limit, DAYS_SHOWN)
 
 
 def _day_columns(label: str) -> list[Column]:
@@ -55,17 +74,18 @@ def _day_columns(label: str) -> list[Column]:
     return columns
 
 
-def _first_days(matrix: DataFrame, limit: int) -> DataFrame:
-    return matrix.orderBy("install_date").limit(limit)
-
-
-def _event_matrix(events: DataFrame, filters: Filters, test: Column, limit: int) -> DataFrame:
-    matrix = _first_days(_matrix(events, filters, {"seen_": test}), limit)
+def _event_matrix(
+    events: DataFrame, filters: Filters, test: Column, limit: int | str | None
+) -> DataFrame:
+    matrix = _matrix(events, filters, {"seen_": test}, limit)
     return matrix.select("install_date", "cohort_size", *_day_columns("seen_"))
 
 
 def rewarded_ads_cohort(
-    events: DataFrame, event_name: str, filters: Filters = Filters(), limit: int = 100
+    events: DataFrame,
+    event_name: str,
+    filters: Filters = Filters(),
+    limit: int | str | None = DAYS_SHOWN,
 ) -> DataFrame:
     """Matrix of one event, or of every event matching a pattern with '%'."""
     if not event_name:
@@ -78,7 +98,10 @@ def _impression(ad_format: str) -> Column:
 
 
 def ad_impressions_cohort(
-    events: DataFrame, ad_format: str, filters: Filters = Filters(), limit: int = 100
+    events: DataFrame,
+    ad_format: str,
+    filters: Filters = Filters(),
+    limit: int | str | None = DAYS_SHOWN,
 ) -> DataFrame:
     """Matrix of the ad impressions of one format."""
     if not ad_format:
@@ -90,13 +113,12 @@ def ad_impressions_by_format(
     events: DataFrame,
     formats: Sequence[str] = AD_FORMATS,
     filters: Filters = Filters(),
-    limit: int = 100,
+    limit: int | str | None = DAYS_SHOWN,
 ) -> DataFrame:
     """The matrices of several formats from one pass over the log, told apart by `ad_format`."""
     labels = {fmt: f"format{i}_" for i, fmt in enumerate(formats)}
-    matrix = _first_days(
-        _matrix(events, filters, {label: _impression(fmt) for fmt, label in labels.items()}), limit
-    )
+    counted = {label: _impression(fmt) for fmt, label in labels.items()}
+    matrix = _matrix(events, filters, counted, limit)
     rows = F.array(
         *[
             F.struct(F.lit(fmt).alias("ad_format"), *_day_columns(label))
@@ -126,7 +148,7 @@ def cohort_cells(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     top = F.greatest(F.max("avg_events").over(Window.partitionBy(*by)), F.lit(1.0))
     share = F.col("avg_events") / top
     heat = F.when(F.col("avg_events") == 0, 0)
-    for level, bound in ((5, 0.8), (4, 0.6), (3, 0.4), (2, 0.2)):
+    for level, bound in HEAT_LEVELS:
         heat = heat.when(share >= bound, level)
     return (
         matrix.select(*by, "install_date", "cohort_size", F.inline(cells))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import ratio2
 from playtrail.functions.texts import clean_loadout, clean_unit_name, split_units
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, level_choice
+from playtrail.operators.filters import Filters, first_rows, level_choice
 from playtrail.sources.schema import LOADOUT, UNIT_UPGRADE, USER
 
 
@@ -47,12 +47,11 @@ def _unit_frequency(loadouts: DataFrame) -> DataFrame:
     )
 
 
-def _top_loadouts(loadouts: DataFrame, k: int) -> DataFrame:
-    return (
-        loadouts.select(F.col("unit_names").alias("loadout"), F.col("uses").alias("usage_count"))
-        .orderBy(F.desc("usage_count"), "loadout")
-        .limit(k)
+def _top_loadouts(loadouts: DataFrame, k: int | str) -> DataFrame:
+    counted = loadouts.select(
+        F.col("unit_names").alias("loadout"), F.col("uses").alias("usage_count")
     )
+    return first_rows(counted.orderBy(F.desc("usage_count"), "loadout"), k, 20)
 
 
 def unit_frequency(
@@ -63,14 +62,14 @@ def unit_frequency(
 
 
 def top_loadouts(
-    events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int = 20
+    events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int | str = 20
 ) -> DataFrame:
     """The k most used loadouts, as raw text: order and spacing of the units matter."""
     return _top_loadouts(_loadouts(events, filters, level), k)
 
 
 def unit_loadout(
-    events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int = 20
+    events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int | str = 20
 ) -> DataFrame:
     """Both of the above in one result, told apart by `result_type`."""
     loadouts = _loadouts(events, filters, level)

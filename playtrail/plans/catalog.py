@@ -1,6 +1,7 @@
 """Every report by name, over the sample tables: name -> (spark, sf_dir) -> DataFrame."""
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,10 +19,11 @@ from playtrail.operators import (
     retention,
     units,
 )
-from playtrail.operators.filters import Filters
+from playtrail.operators.filters import ALL, Filters, last_week
+from playtrail.plans.dashboard import rewarded_ad_drilldown
 from playtrail.sources.events import flatten_events
 from playtrail.sources.sample_tables import raw_sample_events, sample_events
-from playtrail.sources.schema import BASE_SKILLS, REWARDED_AD_PATTERN, REWARDED_ADS
+from playtrail.sources.schema import OLD_BOX_KEY, REWARDED_AD_PATTERN, REWARDED_ADS
 
 Report = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +79,8 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "level_analysis": lambda ev: levels.level_analysis(ev),
     "level_analysis_week": lambda ev: levels.level_analysis(ev, WEEK),
     "level_analysis_version": lambda ev: levels.level_analysis(ev, ONE_VERSION, level_count=10),
+    "level_analysis_all": lambda ev: levels.level_analysis(ev, level_count=ALL),
+    "level_analysis_last_week": lambda ev: levels.level_analysis(ev, last_week(date(2024, 1, 8))),
     "level_stats": _level_stats,
     "user_attempts": lambda ev: levels.user_attempts(ev),
     "avg_attempts": lambda ev: levels.avg_attempts(ev),
@@ -97,12 +101,15 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "unit_loadout_level": lambda ev: units.unit_loadout(ev, level="10"),
     "unit_frequency_clean": lambda ev: units.top_units(units.unit_frequency(ev), 15),
     "top_loadouts_clean": lambda ev: units.ranked_loadouts(units.top_loadouts(ev), 20),
+    "unit_loadout_units": lambda ev: units.split_unit_loadout(units.unit_loadout(ev))[0],
+    "unit_loadout_tops": lambda ev: units.split_unit_loadout(units.unit_loadout(ev))[1],
     "unit_upgrades": lambda ev: units.unit_upgrades(ev),
     "unit_upgrades_week": lambda ev: units.unit_upgrades(ev, WEEK),
     # churn
     "churn": lambda ev: churn.churn(ev),
     "churn_country": lambda ev: churn.churn(ev, ONE_COUNTRY),
     "churn_week": lambda ev: churn.churn(ev, WEEK, level_count=10),
+    "churn_all": lambda ev: churn.churn(ev, level_count=ALL),
     "user_max_level": lambda ev: churn.user_max_level(ev),
     "level_reach": lambda ev: churn.level_reach(ev),
     "level_difficulty": lambda ev: churn.level_difficulty(ev),
@@ -115,9 +122,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "base_station": lambda ev: economy.base_station(ev),
     "base_station_week": lambda ev: economy.base_station(ev, WEEK),
     "base_station_skills": lambda ev: economy.base_station_skills(economy.base_station(ev)),
-    "base_station_pivot": lambda ev: economy.base_station_pivot(
-        economy.base_station(ev), BASE_SKILLS
-    ),
+    "base_station_pivot": lambda ev: economy.base_station_pivot(economy.base_station(ev)),
     # overview and filter options
     "overall_stats": lambda ev: overview.overall_stats(ev),
     "overall_stats_week": lambda ev: overview.overall_stats(ev, WEEK_IOS),
@@ -142,6 +147,10 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rewarded_ads_cohort_every_filter": lambda ev: retention.rewarded_ads_cohort(
         ev, REWARDED_AD_PATTERN, EVERY_FILTER
     ),
+    "rewarded_ads_cohort_all_days": lambda ev: retention.rewarded_ads_cohort(
+        ev, REWARDED_AD_PATTERN, limit=ALL
+    ),
+    "rewarded_ad_drilldown": lambda ev: rewarded_ad_drilldown(ev, VICTORY_AD, WEEK),
     "ad_impressions_inter": lambda ev: retention.ad_impressions_cohort(ev, "INTER"),
     "ad_impressions_rewarded": lambda ev: retention.ad_impressions_cohort(ev, "REWARDED", WEEK),
     "ad_impressions_by_format": lambda ev: retention.ad_impressions_by_format(ev),
@@ -176,22 +185,30 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-# Reports that read the country, which the sample tables keep apart from the events.
-WITH_COUNTRY = {
-    "rewarded_ads_country",
-    "churn_country",
-    "overall_stats_every_filter",
-    "rewarded_ads_cohort_every_filter",
-    "available_countries",
-    "available_countries_week",
-    "available_countries_by_event_date",
+# Reports from the nested form: parameters are taken out of the bag of every event first.
+RAW_REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "flat_events": lambda ev: ev,
+    "level_analysis_raw": REPORTS["level_analysis"],
+    "time_to_n_levels_raw": REPORTS["time_to_n_levels"],
 }
 
 
-def reports() -> dict[str, Report]:
-    def bind(name: str) -> Report:
-        needed = name in WITH_COUNTRY
-        return lambda spark, sf_dir: REPORTS[name](sample_events(spark, sf_dir, needed))
+def _flat(report: Callable[[DataFrame], DataFrame]) -> Report:
+    return lambda spark, sf_dir: report(sample_events(spark, sf_dir))
+
+
+def _nested(report: Callable[[DataFrame], DataFrame]) -> Report:
+    return lambda spark, sf_dir: report(flatten_events(raw_sample_events(spark, sf_dir)))
 
-    flat = {"flat_events": lambda spark, sf_dir: flatten_events(raw_sample_events(spark, sf_dir))}
-    return flat | {name: bind(name) for name in REPORTS}
+
+def _old_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = raw_sample_events(spark, sf_dir, OLD_BOX_KEY)
+    return economy.booster_boxes(flatten_events(nested, OLD_BOX_KEY))
+
+
+def reports() -> dict[str, Report]:
+    return (
+        {name: _nested(report) for name, report in RAW_REPORTS.items()}
+        | {"booster_boxes_old_key": _old_boxes}
+        | {name: _flat(report) for name, report in REPORTS.items()}
+    )

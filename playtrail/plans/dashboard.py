@@ -18,8 +18,8 @@ def dashboard(
     loadout_level: int | str | None = None,
     narrow: bool = False,
 ) -> dict[str, DataFrame]:
-    """Every tab of the dashboard and its filter lists. With `narrow` the cohort is first looked up,
-    and a small one cuts the events before every report."""
+    """Every tab of the dashboard and its filter lists. With `narrow` the cohort cuts the events before
+    every report."""
     seen = narrow_to_cohort(events, filters) if narrow else events
     rewarded = ads.rewarded_ads(seen, filters)
     return {

@@ -1,18 +1,63 @@
 """Read the event log, flatten its parameter bag once, keep the flat table by day."""
 
-from datetime import date, timedelta
+import re
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playtrail.functions.params import double_param, int_param, number_param, string_param
-from playtrail.functions.times import utc_date
+from playtrail.functions.times import DAY, utc_date
 from playtrail.sources import schema as S
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    """Raw log kept as `root/event_date=YYYY-MM-DD/*.parquet`; a filter on event_date prunes days."""
-    return spark.read.schema(S.RAW_EVENT_BY_DAY).parquet(root)
+# Days around a range of event days in whose shards such events are looked for: a shard may be cut
+# at a local midnight, and events may arrive late.
+MARGIN_DAYS = 2
+
+
+def _in_days(events: DataFrame, start: date | None, end: date | None) -> DataFrame:
+    """Events whose UTC day is in the range; either bound may be missing."""
+    if start is not None:
+        events = events.filter(F.col("event_timestamp") >= _micros(start))
+    if end is not None:
+        events = events.filter(F.col("event_timestamp") < _micros(end + timedelta(days=1)))
+    return events
+
+
+def _micros(day: date) -> int:
+    return (day - date(1970, 1, 1)).days * DAY
+
+
+def _shard_days(
+    start: date | None, end: date | None, margin: int
+) -> tuple[date | None, date | None]:
+    around = timedelta(days=margin)
+    return start and start - around, end and end + around
+
+
+def by_shard(events: DataFrame) -> DataFrame:
+    """The day of the directory under the name `shard_date`."""
+    return events.withColumnRenamed("event_date", "shard_date")
+
+
+def read_events(
+    spark: SparkSession,
+    root: str,
+    start: date | None = None,
+    end: date | None = None,
+    margin_days: int = MARGIN_DAYS,
+) -> DataFrame:
+    """Raw log kept as `root/event_date=YYYY-MM-DD/*.parquet`, all of it or the events of the UTC
+    days from `start` to `end`. Only directories up to `margin_days` outside the range are read, so
+    events stored further from their day are missed."""
+    events = by_shard(spark.read.schema(S.READ_EVENT_BY_DAY).parquet(root))
+    low, high = _shard_days(start, end, margin_days)
+    if low is not None:
+        events = events.filter(F.col("shard_date") >= F.lit(low))
+    if high is not None:
+        events = events.filter(F.col("shard_date") <= F.lit(high))
+    return _in_days(events, start, end)
 
 
 def read_event_shards(
@@ -21,16 +66,26 @@ def read_event_shards(
     start: date | None = None,
     end: date | None = None,
     prefix: str = "events_",
+    margin_days: int = MARGIN_DAYS,
 ) -> DataFrame:
-    """Raw log kept as one directory per day, `root/events_YYYYMMDD/*.parquet`: the union of all
-    shards, or of the days from `start` to `end`. Such a log has no partition column, so only this
-    choice of days skips shards."""
-    days = "*"
-    if start is not None and end is not None:
-        count = (end - start).days + 1
-        days = ",".join((start + timedelta(days=i)).strftime("%Y%m%d") for i in range(count))
-        days = f"{{{days}}}"
-    return spark.read.schema(S.RAW_EVENT).parquet(f"{root.rstrip('/')}/{prefix}{days}")
+    """Raw log kept as one directory per day, `root/events_YYYYMMDD/*.parquet`, with today's as
+    `root/events_intraday_YYYYMMDD`: the union of all shards, or the events of the UTC days from
+    `start` to `end` from the shards up to `margin_days` around them. Either bound may be missing.
+    The shards are found by listing the folder, so days without one do no harm."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{prefix}*")
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    low, high = _shard_days(start, end, margin_days)
+    shards = []
+    for found in system.globStatus(path) or ():
+        name = re.fullmatch(
+            rf"{re.escape(prefix)}(?:intraday_)?(\d{{8}})", found.getPath().getName()
+        )
+        day = name and datetime.strptime(name[1], "%Y%m%d").date()
+        if day and (low is None or day >= low) and (high is None or day <= high):
+            shards.append(found.getPath().toString())
+    if not shards:
+        return spark.createDataFrame([], S.READ_EVENT)
+    return _in_days(spark.read.schema(S.READ_EVENT).parquet(*sorted(shards)), start, end)
 
 
 def flatten_events(raw: DataFrame, box_key: str = S.BOX_KEY) -> DataFrame:
@@ -38,9 +93,9 @@ def flatten_events(raw: DataFrame, box_key: str = S.BOX_KEY) -> DataFrame:
 
     A projection only: a report that uses two columns of it reads two leaves of the bag. `level` is
     integer-only; `duration_seconds` falls back to the integer field, `duration_seconds_dbl` does
-    not. An `event_id`, where the source has one, is kept as the last tiebreak of sequences.
+    not. An `event_id`, where the source has one, is kept as the last tiebreak of sequences. The
+    `event_date` is the UTC day of the event, whatever day its shard is of.
     """
-    by_day = "event_date" in raw.columns
     has_id = "event_id" in raw.columns
     return raw.select(
         S.USER,
@@ -58,28 +113,32 @@ def flatten_events(raw: DataFrame, box_key: str = S.BOX_KEY) -> DataFrame:
         string_param("Skill").alias("skill"),
         string_param("ad_format").alias("ad_format"),
         (F.col("event_id") if has_id else F.lit(None)).cast("bigint").alias("event_id"),
-        (F.col("event_date") if by_day else utc_date(F.col("event_timestamp"))).alias("event_date"),
+        utc_date(F.col("event_timestamp")).alias("event_date"),
     )
 
 
-def write_flat_events(flat: DataFrame, path: str, mode: str = "append") -> None:
-    """Store flat events by day.
+def write_flat_events(flat: DataFrame, path: str, load_id: str) -> None:
+    """Store the flat events of one load by day; batch loads and the stream both write this way.
 
-    The rebalance puts a day's rows together and splits a day that outgrows the advisory partition
-    size, so no task and no file takes a whole hot day. Sorting by event name lets row-group
-    statistics skip the names a report does not read.
+    Rows are kept by (event_date, load_id), and a load replaces what it has written itself: a
+    repeated one changes nothing, and other loads of the same days stay. Each load needs an id of
+    its own. The rebalance puts a day's rows together and splits a day that outgrows the advisory
+    partition size, so no task and no file takes a whole hot day. Sorting by event name lets
+    row-group statistics skip the names a report does not read.
     """
     (
-        flat.hint("rebalance", "event_date")
+        flat.withColumn("load_id", F.lit(load_id))
+        .hint("rebalance", "event_date")
         .sortWithinPartitions("event_date", "event_name", S.USER)
-        .write.mode(mode)
-        .partitionBy("event_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "load_id")
         .parquet(path)
     )
 
 
 def read_flat_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.FLAT_EVENT).parquet(path)
+    return spark.read.schema(S.STORED_EVENT).parquet(path).drop("load_id")
 
 
 def write_result(result: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

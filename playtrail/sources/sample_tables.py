@@ -2,7 +2,7 @@
 
 `sample_events` is the flat log, the form in which the reports read a stored log.
 `raw_sample_events` is the same log as nested events; flattening it gives the flat log again, which
-the registered report `flat_events` does over the whole table.
+the registered reports `flat_events` and `*_raw` do over the whole table.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,23 +48,21 @@ SKILL = _pick("k % 3", S.BASE_SKILLS)
 FORMAT = _pick("k % 2", S.AD_FORMATS)
 
 
-def _numbered(spark: SparkSession, sf_dir: str, with_country: bool) -> DataFrame:
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
-    if with_country:
-        # No broadcast hint: Spark compares the file size of `nation` with its threshold.
-        nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
-        source = source.join(nation, source.user_id % 25 == nation.n_nationkey)
-    else:
-        source = source.selectExpr("*", "cast(null as string) as n_name")
+    # No broadcast hint: Spark compares the file size of `nation` with its threshold. Events without
+    # a user have no country.
+    nation = spark.read.schema(NATION).parquet(f"{sf_dir}/nation.parquet")
+    source = source.join(nation, source.user_id % 25 == nation.n_nationkey, "left")
     # `props` is {"k": n}: cutting the text is far cheaper than parsing it as JSON for each use.
     return source.selectExpr(
         "*", "cast(split_part(split_part(props, ':', 2), '}', 1) as bigint) as k"
     )
 
 
-def sample_events(spark: SparkSession, sf_dir: str, with_country: bool = True) -> DataFrame:
-    """Flat events. The country is a join away; without it the column is NULL."""
-    return _numbered(spark, sf_dir, with_country).selectExpr(
+def sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat events."""
+    return _numbered(spark, sf_dir).selectExpr(
         f"cast(user_id as string) as {S.USER}",
         f"{MICROS} as event_timestamp",
         f"{NAME} as event_name",
@@ -90,7 +88,7 @@ def _param(key: str, text: str = "null", whole: str = "null", real: str = "null"
         'float_value', cast(null as float), 'double_value', cast({real} as double)))"""
 
 
-def raw_sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_sample_events(spark: SparkSession, sf_dir: str, box_key: str = S.BOX_KEY) -> DataFrame:
     """Nested events: every parameter in the bag of every event."""
     params = ", ".join(
         [
@@ -98,12 +96,12 @@ def raw_sample_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             _param("duration_seconds", whole=WHOLE_SECONDS, real=SECONDS),
             _param("unit_names", text=UNITS),
             _param("unit_name", text=UNIT),
-            _param(S.BOX_KEY, text=BOX),
+            _param(box_key, text=BOX),
             _param("Skill", text=SKILL),
             _param("ad_format", text=FORMAT),
         ]
     )
-    return _numbered(spark, sf_dir, with_country=True).selectExpr(
+    return _numbered(spark, sf_dir).selectExpr(
         f"cast(user_id as string) as {S.USER}",
         f"{MICROS} as event_timestamp",
         f"{NAME} as event_name",

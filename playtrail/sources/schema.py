@@ -53,8 +53,10 @@ RAW_EVENT = T.StructType(
         T.StructField("event_params", T.ArrayType(PARAM)),
     ]
 )
-# The same with the day directory as a partition column.
-RAW_EVENT_BY_DAY = T.StructType([*RAW_EVENT.fields, T.StructField("event_date", T.DateType())])
+# What the readers ask for: an id where the files have one (NULL otherwise), and, of a log kept by
+# day, the day of the directory. That day may be a local one; the day of an event is its UTC day.
+READ_EVENT = T.StructType([*RAW_EVENT.fields, T.StructField("event_id", T.LongType())])
+READ_EVENT_BY_DAY = T.StructType([*READ_EVENT.fields, T.StructField("event_date", T.DateType())])
 
 FLAT_EVENT = T.StructType(
     [
@@ -76,3 +78,5 @@ FLAT_EVENT = T.StructType(
         T.StructField("event_date", T.DateType()),
     ]
 )
+# The flat table also tells which load a row came with.
+STORED_EVENT = T.StructType([*FLAT_EVENT.fields, T.StructField("load_id", T.StringType())])

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from playtrail.session import checkpoint_root
-from playtrail.sources.events import flatten_events
-from playtrail.sources.schema import BOX_KEY, RAW_EVENT_BY_DAY
+from playtrail.sources.events import by_shard, flatten_events, write_flat_events
+from playtrail.sources.schema import BOX_KEY, READ_EVENT_BY_DAY
 
 
 def stream_events(
     spark: SparkSession, root: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
     """Raw events of `root/event_date=YYYY-MM-DD/` as a stream of new files."""
-    reader = spark.readStream.schema(RAW_EVENT_BY_DAY)
+    reader = spark.readStream.schema(READ_EVENT_BY_DAY)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(root)
+    return by_shard(reader.parquet(root))
 
 
 def ingest(
@@ -28,23 +30,29 @@ def ingest(
     box_key: str = BOX_KEY,
     **trigger,
 ) -> StreamingQuery:
-    """Append flattened events to the table at `path`, each file once.
+    """Add flattened events to the table at `path`, each file once.
 
-    Progress is kept under the cluster's checkpoint folder unless `checkpoint` names another. The
-    default trigger takes what is there and stops; pass `processingTime='5 minutes'` to keep on.
+    Every micro-batch is a load of its own, written like a batch load and named after the query and
+    its number: one that is repeated after a failure replaces itself, and batch loads to the same
+    table stay. Progress is kept under the cluster's checkpoint folder unless `checkpoint` names
+    another. The default trigger takes what is there and stops; pass
+    `processingTime='5 minutes'` to keep on.
     """
     if checkpoint is None:
         root = checkpoint_root(raw.sparkSession)
         if root is None:
             raise ValueError("no checkpoint folder: set spark.checkpoint.dir or pass one")
         checkpoint = f"{root.rstrip('/')}/{name}"
-    return (
-        flatten_events(raw, box_key)
-        .writeStream.queryName(name)
-        .format("parquet")
-        .partitionBy("event_date")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    started = threading.Event()
+    query: list[StreamingQuery] = []
+
+    def load(batch: DataFrame, number: int) -> None:
+        # The query's id is kept with its progress, so it is the same after a restart.
+        started.wait()
+        write_flat_events(flatten_events(batch, box_key), path, f"{name}-{query[0].id}-{number}")
+
+    stream = raw.writeStream.queryName(name).foreachBatch(load)
+    stream = stream.option("checkpointLocation", checkpoint)
+    query.append(stream.trigger(**(trigger or {"availableNow": True})).start())
+    started.set()
+    return query[0]

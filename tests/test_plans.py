@@ -22,7 +22,7 @@ def plan_of(df):
 @pytest.fixture(scope="module")
 def stored(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("plans") / "flat")
-    write_flat_events(sample_events(spark, SF), path)
+    write_flat_events(sample_events(spark, SF), path, "whole")
     return read_flat_events(spark, path)
 
 
@@ -37,6 +37,7 @@ def test_no_pairwise_joins_no_row_copies_no_python(spark, name):
 # and the 20 ranked loadouts.
 SMALL_WINDOWS = {
     "churn",
+    "churn_all",
     "churn_country",
     "churn_week",
     "max_churn_level",

@@ -126,7 +126,6 @@ def test_cohort_edges(spark):
     assert cohort.user_cohort(events).count() == 4
     narrowed = cohort.narrow_to_cohort(events, ios)
     assert {u for u, in table(narrowed, "user_pseudo_id")} == {"last moment", "moved"}
-    assert cohort.narrow_to_cohort(events, ios, max_users=1).count() == events.count()
     assert cohort.narrow_to_cohort(events, Filters()).count() == events.count()
 
 

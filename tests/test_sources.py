@@ -73,15 +73,16 @@ def test_read_by_day_prunes_days_and_leaves(spark, setting, tmp_path):
     raw_sample_events(spark, SF).drop("event_id").write.partitionBy("event_date").parquet(root)
     events = E.flatten_events(E.read_events(spark, root))
     assert rows(events.drop("event_id")) == rows(sample_events(spark, SF).drop("event_id"))
-    some = events.filter(
-        (F.col("event_date") <= "2024-01-03") & (F.col("event_name") == "level_complete")
-    ).select("user_pseudo_id", "level")
+    early = E.flatten_events(E.read_events(spark, root, end=dt.date(2024, 1, 3)))
+    assert rows(early) == rows(events.filter("event_date <= '2024-01-03'"))
+    some = early.filter(F.col("event_name") == "level_complete").select("user_pseudo_id", "level")
     plan = some._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert "(event_date#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "<= 2024-01-05" in plan.split("PartitionFilters: ")[1].split("]")[0]
     assert "EqualTo(event_name,level_complete)" in plan
     read = plan.split("ReadSchema: ")[1].split("\n")[0]
     assert read == (
-        "struct<user_pseudo_id:string,event_name:string,"
+        "struct<user_pseudo_id:string,event_timestamp:bigint,event_name:string,"
         "event_params:array<struct<key:string,value:struct<int_value:bigint>>>>"
     )
 
@@ -96,10 +97,62 @@ def test_shards(spark, tmp_path):
     assert every.agg(F.max("event_date")).first()[0] == dt.date(2024, 2, 1)
 
 
+def test_any_bound_and_intraday_shards(spark, tmp_path):
+    for shard, at in (
+        ("events_20240102", "2024-01-02"),
+        ("events_20240103", "2024-01-02 23:00:00"),  # late, or of an earlier zone
+        ("events_intraday_20240104", "2024-01-04"),
+        ("events_20240104", "2024-01-05 01:00:00"),
+        ("events_old_20240103", "2024-01-03"),
+    ):
+        raw(spark, [event("u", "x", at)]).write.parquet(str(tmp_path / shard))
+
+    def days(start=None, end=None, **more):
+        found = E.flatten_events(E.read_event_shards(spark, str(tmp_path), start, end, **more))
+        return sorted(r[0].day for r in found.select("event_date").collect())
+
+    assert days() == [2, 2, 4, 5]
+    assert days(start=dt.date(2024, 1, 4)) == [4, 5]
+    assert days(end=dt.date(2024, 1, 2)) == [2, 2]
+    assert days(dt.date(2024, 1, 5), dt.date(2024, 1, 5)) == [5]
+    assert days(dt.date(2024, 1, 5), dt.date(2024, 1, 5), margin_days=0) == []
+    assert days(dt.date(2025, 1, 1)) == []
+
+
+def test_event_day_is_the_utc_day_whatever_the_shard(spark, tmp_path):
+    """Directories one day off, as in a log cut at another zone's midnight."""
+    log = raw_sample_events(spark, SF)
+    moved = log.withColumn("event_date", F.date_add("event_date", 1))
+    moved.write.partitionBy("event_date").parquet(str(tmp_path / "raw"))
+    stored = E.flatten_events(E.read_events(spark, str(tmp_path / "raw")))
+    assert rows(stored) == rows(sample_events(spark, SF))
+    some = E.read_events(spark, str(tmp_path / "raw"), dt.date(2024, 1, 3), dt.date(2024, 1, 4))
+    wanted = sample_events(spark, SF).filter("event_date between '2024-01-03' and '2024-01-04'")
+    assert rows(E.flatten_events(some)) == rows(wanted)
+
+
+def test_repeated_load_replaces_itself_and_no_other(spark, tmp_path):
+    path = str(tmp_path / "flat")
+    events = sample_events(spark, SF)
+    odd, even = events.filter("event_id % 2 = 1"), events.filter("event_id % 2 = 0")
+    for load, part in (("a", odd), ("b", even), ("a", odd), ("b", even)):
+        E.write_flat_events(part, path, load)
+    assert rows(E.read_flat_events(spark, path)) == rows(events)
+
+
+def test_events_without_a_user_stay(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(3)
+    nobody = events.withColumn("user_id", F.lit(None).cast("bigint"))
+    nobody.write.parquet(str(tmp_path / "events.parquet"))
+    spark.read.parquet(f"{SF}/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    found = sample_events(spark, str(tmp_path)).select("user_pseudo_id", "country").collect()
+    assert [tuple(r) for r in found] == [(None, None)] * 3
+
+
 def test_flat_table_round_trip(spark, tmp_path):
     path = str(tmp_path / "flat")
     events = sample_events(spark, SF)
-    E.write_flat_events(events, path)
+    E.write_flat_events(events, path, "whole")
     stored = E.read_flat_events(spark, path)
     assert rows(stored) == rows(events)
     days = {d.name for d in (tmp_path / "flat").iterdir() if d.name.startswith("event_date=")}
@@ -115,8 +168,8 @@ def test_hot_day_is_split(spark, setting, tmp_path):
         F.when(F.col("event_id") % 3 > 0, F.lit(dt.date(2024, 1, 1))).otherwise(F.col("event_date")),
     )
     path = tmp_path / "flat"
-    E.write_flat_events(hot, str(path))
-    files = {d.name: len(list(d.glob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
+    E.write_flat_events(hot, str(path), "hot")
+    files = {d.name: len(list(d.rglob("*.parquet"))) for d in path.iterdir() if d.is_dir()}
     assert files["event_date=2024-01-01"] > 2
     assert E.read_flat_events(spark, str(path)).count() == 8_000
 

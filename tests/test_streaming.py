@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from small import rows
 
-from playtrail.sources.events import read_flat_events
+from playtrail.sources.events import flatten_events, read_flat_events, write_flat_events
 from playtrail.sources.sample_tables import raw_sample_events, sample_events
 from playtrail.streaming.ingest import ingest, stream_events
 
@@ -30,6 +30,30 @@ def test_arriving_days_are_appended_once(spark, tmp_path):
     assert rows(stored) == rows(sample_events(spark, SF).drop("event_id"))
 
 
+def test_batch_and_stream_share_a_table(spark, tmp_path):
+    """Either order keeps all rows, and streamed days have the layout of loaded ones."""
+    log = raw_sample_events(spark, SF)
+    first, second = log.filter("event_id % 2 = 0"), log.filter("event_id % 2 = 1")
+    for order in ("batch first", "stream first"):
+        raw, path, state = (str(tmp_path / order / d) for d in ("raw", "flat", "state"))
+        second.write.partitionBy("event_date").parquet(raw)
+
+        def batch():
+            write_flat_events(flatten_events(first), path, "backfill")
+
+        if order == "batch first":
+            batch()
+        ingest(stream_events(spark, raw), path, checkpoint=state).awaitTermination(120)
+        if order == "stream first":
+            batch()
+            batch()
+        assert rows(read_flat_events(spark, path)) == rows(sample_events(spark, SF))
+        for day in (tmp_path / order / "flat").glob("event_date=*"):
+            loads = sorted(d.name.split("=")[1][:5] for d in day.iterdir())
+            assert set(loads) <= {"backf", "flat_"}
+            assert all(len(list(d.glob("*.parquet"))) == 1 for d in day.iterdir())
+
+
 def test_progress_goes_to_the_clusters_folder(spark, tmp_path, monkeypatch):
     raw = str(tmp_path / "raw")
     raw_sample_events(spark, SF).drop("event_id").write.partitionBy("event_date").parquet(raw)
