@@ -16,6 +16,8 @@ from playtrail.plans.catalog import reports  # noqa: E402
 from playtrail.session import local_session  # noqa: E402
 
 HEADLINE = (
+    "flat_events",
+    "level_analysis_raw",
     "user_cohort",
     "rewarded_ads",
     "rewarded_ads_week",
@@ -37,6 +39,7 @@ HEADLINE = (
     "ad_impressions_by_format",
     "cohort_cells",
     "user_level_progression",
+    "user_level_progression_one",
     "time_to_n_levels",
     "time_to_n_levels_from_first",
     "milestone_summary",

@@ -118,3 +118,14 @@ def test_a_hot_user_is_spread(spark, stored):
     per_slice = numbered.groupBy("user_pseudo_id", "slice").count().agg(F.max("count")).first()[0]
     total = numbered.count()
     assert total > 100 and per_slice <= 5
+
+
+def test_a_small_cohort_cuts_the_matrix_at_the_scan(spark, setting, stored):
+    """No exchange by user and day holds users outside the cohort."""
+    setting(autoBroadcastJoinThreshold="10MB")
+    plan = plan_of(retention.rewarded_ads_cohort(stored, "RV_Watched_%", WEEK))
+    assert re.search(
+        r"hashpartitioning\(user_pseudo_id#\d+, event_date#\d+.*\n.*HashAggregate.*\n"
+        r".*BroadcastHashJoin.*LeftSemi",
+        plan,
+    )

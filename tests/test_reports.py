@@ -49,6 +49,7 @@ def test_filter_arguments():
 
 def test_numbers_as_arguments():
     assert (row_limit(None, 50), row_limit("", 50), row_limit("0", 50)) == (50, 50, 0)
+    assert row_limit("all", 50) is None
     assert (level_choice("all"), level_choice(" "), level_choice("7")) == (None, None, 7)
     for bad in ("x", -1):
         with pytest.raises(ValueError):
@@ -463,3 +464,62 @@ def test_impressions_by_format(spark):
         assert rows(tables[fmt]) == rows(retention.ad_impressions_cohort(events, fmt))
     assert table(tables["INTER"], "day_0_events", "day_1_events") == [(1, 0)]
     assert table(tables["REWARDED"], "day_0_events", "day_1_events") == [(0, 1)]
+
+
+def test_all_rows_on_request(spark):
+    events = flat(
+        spark,
+        [event(f"u{k}", "level_complete", DAY1, level=k) for k in range(1, 60)]
+        + [opened(f"u{k}", f"2023-{1 + k // 28:02}-{1 + k % 28:02}") for k in range(120)],
+    )
+    assert levels.level_analysis(events).count() == 50
+    assert levels.level_analysis(events, level_count="all").count() == 59
+    assert churn.churn(events, level_count="all").count() == 59
+    assert retention.rewarded_ads_cohort(events, "RV_Watched_%").count() == 100
+    assert retention.rewarded_ads_cohort(events, "RV_Watched_%", limit="all").count() == 120
+
+
+def test_pivot_holds_every_skill(spark):
+    events = flat(
+        spark,
+        [
+            event("a", "base_station_upgrade", DAY1, Skill=skill, level=1)
+            for skill in ("Attack", "Shield", "Shield")
+        ],
+    )
+    pivot = economy.base_station_pivot(economy.base_station(events))
+    assert rows(pivot) == [{"upgrade_level": 1, "Attack": 1, "Shield": 2}]
+
+
+def test_matrix_days_of_the_first_install_days(spark):
+    """The cut at the last install day shown loses none of its events."""
+    events = flat(
+        spark,
+        [
+            opened("early", "2024-01-01"),
+            opened("late", "2024-01-02"),
+            event("early", "RV_Watched_X", "2024-03-31"),
+            event("late", "RV_Watched_X", "2024-04-01"),
+            event("late", "RV_Watched_X", "2024-04-02"),
+        ],
+    )
+    first = retention.rewarded_ads_cohort(events, "RV_Watched_X", limit=1)
+    assert table(first, "cohort_size", "day_90_events") == [(1, 1)]
+    both = retention.rewarded_ads_cohort(events, "RV_Watched_X", limit=2)
+    assert table(both, "cohort_size", "day_90_events") == [(1, 1), (1, 1)]
+
+
+def test_named_and_drawn_journeys_come_in_order(spark):
+    events = flat(
+        spark,
+        [
+            event(f"u{k % 3}", "level_complete", f"2024-01-0{1 + k % 7} 0{k % 9}:00:00", level=k)
+            for k in range(1, 40)
+        ],
+    )
+    for report in (journey.user_level_progression, journey.time_to_n_levels):
+        for how in ({"users": ["u2", "u0"]}, {"sample": 2, "seed": "1"}):
+            found = report(events, 5, **how)
+            number = [c for c in found.columns if c.endswith("completion_number")][0]
+            got = table(found, "user_pseudo_id", number)
+            assert got == sorted(got) and len({user for user, _ in got}) == 2
