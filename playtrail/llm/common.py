@@ -41,6 +41,18 @@ def shipped(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return call
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """What this worker has made for the key in an earlier task. It keeps the last one only, so the
+    operators of a pipeline do not pile up their tables in one process."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster shares for checkpoints; where the session names none
     (a local test), below a temporary folder of the driver, which then is the only machine."""

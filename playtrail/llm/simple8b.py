@@ -30,18 +30,17 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if ids.max() >> np.uint64(ESCAPE_BITS):
         raise ValueError("ids must be below 2**60")
-    here = np.arange(n)
-    selector = np.full(n, ESCAPE, dtype=np.int64)
+    # Zeros behind the end: they fit everywhere, so the last word may be filled up with them.
+    padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
+    selector = np.full(len(padded), ESCAPE, dtype=np.int64)
     # From the widest to the narrowest, so that the last that fits holds the most ids.
+    fit = np.arange(len(padded))
     for k in range(len(BITS) - 1, -1, -1):
-        fits = ids < np.uint64(1 << BITS[k])
-        if not fits.any():
-            break
-        # Where the run of fitting ids ends; fewer ids than a word holds may end the sequence.
-        stop = np.minimum.accumulate(np.where(fits, n, here)[::-1])[::-1]
-        enough = np.minimum(here + COUNTS[k], n)
-        selector[fits & (stop >= enough)] = FIRST_SELECTOR + k
-    follow = (here + _COUNT_OF[selector]).tolist()
+        fit = fit[padded[fit] < np.uint64(1 << BITS[k])]
+        more = COUNTS[k] - 1
+        run = fit[more:] - fit[: len(fit) - more] == more
+        selector[fit[: len(fit) - more][run]] = FIRST_SELECTOR + k
+    follow = (np.arange(n) + _COUNT_OF[selector[:n]]).tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -49,7 +48,6 @@ def pack(ids: np.ndarray) -> np.ndarray:
     start = np.array(starts)
     chosen = selector[start]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
     for s in np.unique(chosen):
         which = np.flatnonzero(chosen == s)
         for j in range(_COUNT_OF[s]):

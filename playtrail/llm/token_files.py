@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from playtrail.llm.common import table, workspace
+from playtrail.llm.common import kept, table, workspace
 from playtrail.llm.simple8b import pack, unpack
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 16
 PORTION = 2_000_000  # bytes of text encoded at a time
-MAX_WORDS = 700_000
+MAX_WORDS = 1_000_000
+END_WORD = b"\xff"  # no UTF-8 text holds this byte
+BETWEEN = "<|endoftext|>"
 
 BLOCK = (
     "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, "
@@ -46,67 +48,66 @@ BLOCK = (
 )
 
 
-class WordIds:
-    """Ids of words, encoded when they are first met. Word 0 is the end of a document."""
+class WordIds(dict):
+    """Number of each word, and its ids by that number. A word gets its number when it is first
+    asked for; the ids of all new words of a portion are then encoded together, with a control
+    token of the tokenizer between them. Word 0 is the end of a document."""
 
-    def __init__(self, source: str, end_id: int, max_words: int = MAX_WORDS):
+    def __init__(self, source: str, end_id: int, between: str = BETWEEN):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(source)
-        self.end_id, self.max_words = end_id, max_words
-        self.clear()
+        self.between, self.between_id = between, self.tokenizer.token_to_id(between)
+        self.end_id = end_id
+        self.reset()
 
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.first = array("q", [self.end_id]), array("q", [0, 1])
-
-    def _learn(self, words: list[bytes]) -> None:
-        for a in range(0, len(words), 512):
-            some = words[a : a + 512]
-            text = b" ".join(some).decode("utf-8", "replace")
-            coded = self.tokenizer.encode(text, add_special_tokens=False)
-            where = np.array([o[0] for o in coded.offsets], dtype=np.int64)
-            lengths = [len(w.decode("utf-8", "replace")) for w in some]
-            begins = np.cumsum([0, *(n + 1 for n in lengths)])
-            ends = np.searchsorted(where, begins[1:])
-            base = len(self.ids)
-            self.ids.extend(coded.ids)
-            for word, end in zip(some, ends.tolist()):
-                self.known[word] = len(self.first) - 1
-                self.first.append(base + end)
+    def reset(self) -> None:
+        self.clear()
+        self[END_WORD] = 0
+        self.ids, self.first = array("i", [self.end_id]), array("i", [0, 1])
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def _learn(self) -> None:
+        words = [w.decode("utf-8", "replace") for w in self.fresh]
+        self.fresh = []
+        for some in (words[a : a + 512] for a in range(0, len(words), 512)):
+            # A word that holds a control token itself is encoded by itself.
+            groups = [some] if self.between not in "".join(some) else [[w] for w in some]
+            for group in groups:
+                text = self.between.join(group)
+                coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+                base = len(self.ids)
+                if len(group) == 1:
+                    self.ids.extend(coded)
+                    self.first.append(len(self.ids))
+                    continue
+                coded = np.array(coded, dtype=np.int32)
+                cuts = np.flatnonzero(coded == self.between_id)
+                self.ids.frombytes(np.delete(coded, cuts).tobytes())
+                ends = [*(cuts - np.arange(len(cuts))).tolist(), len(coded) - len(cuts)]
+                self.first.extend(base + e for e in ends)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
-        split = [(text or b"").split() for text in texts]
-        fresh = set().union(*split).difference(self.known)
-        if fresh:
-            if len(self.known) + len(fresh) > self.max_words and self.known:
-                self.clear()
-                fresh = set().union(*split)
-            self._learn(sorted(fresh))
-        get = self.known.__getitem__
-        numbers = np.array([i for words in split for i in (*map(get, words), 0)], dtype=np.int64)
-        first, ids = np.frombuffer(self.first, dtype="i8"), np.frombuffer(self.ids, dtype="i8")
-        widths = first[numbers + 1] - first[numbers]
-        reach = np.cumsum(widths)
+        if len(self) > MAX_WORDS:
+            self.reset()
+        words = b"".join((text or b"") + b" " + END_WORD + b" " for text in texts).split()
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        self._learn()
+        first, ids = np.frombuffer(self.first, dtype="i4"), np.frombuffer(self.ids, dtype="i4")
+        starts = first[numbers]
+        widths = first[numbers + 1] - starts
+        reach = np.cumsum(widths, dtype=np.int64)
         total = int(reach[-1]) if len(reach) else 0
-        at = np.arange(total) + np.repeat(first[numbers] - (reach - widths), widths)
-        last = np.cumsum([len(words) + 1 for words in split], dtype=np.int64) - 1
-        per_text = np.diff(np.concatenate([[0], reach[last]])) if split else np.zeros(0, "i8")
-        return ids[at], per_text
-
-
-_ENCODERS: dict[int, WordIds] = {}
-
-
-def _encoder(source: str, end_id: int) -> WordIds:
-    """One per worker and vocabulary: later tasks find the words known."""
-    key = hash((source, end_id))
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordIds(source, end_id)
-    return _ENCODERS[key]
+        at = np.arange(total) + np.repeat(starts - (reach - widths), widths)
+        return ids[at], np.diff(reach[numbers == 0], prepend=0)
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -143,7 +144,8 @@ def write_token_files(
         sent = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(sent.value, end_id)
+        key = ("word ids", hash(sent.value), end_id)
+        encoder = kept(key, lambda: WordIds(sent.value, end_id))
         part, number, before = TaskContext.get().partitionId(), 0, 0
         for doc_ids, texts in _portions(batches):
             ids, lengths = encoder.encode(texts)
