@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.common import table
+from playtrail.llm.common import kept, table
 from playtrail.llm.sampling import mixed
 
 WINDOW = 35
@@ -43,37 +44,41 @@ DEPTH = 2
 CELL_BITS = 24
 BLOCK_BYTES = 6_000_000  # of text in a block
 SHARD_BYTES = 8_000_000  # of text whose windows share a shard
-MAX_WORDS = 600_000
+MAX_WORDS = 400_000
+BETWEEN = b"\xff"  # no UTF-8 text holds this byte
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _LANE = 0xA5A3564E27F8862D
 _ALL = (1 << 64) - 1
 
 
-class WordPrints:
-    """128-bit hashes of words, as two lanes; computed when a word is first met."""
+class WordPrints(dict):
+    """Number of each word and, by that number, its 128-bit hash as two lanes; a word is hashed when
+    it is first met. Word 0 stands between texts and equals no word."""
 
     def __init__(self):
-        self.clear()
+        super().__init__()
+        self.reset()
 
-    def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def reset(self) -> None:
+        self.clear()
         self.lanes = (array("Q"), array("Q"))
+        self[BETWEEN]  # noqa: B018
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.known) > MAX_WORDS:
-            self.clear()
-        known = self.known
-        for word in set(words).difference(known):
-            both = xxhash.xxh3_128_intdigest(word)
-            known[word] = len(self.lanes[0])
-            self.lanes[0].append(both >> 64)
-            self.lanes[1].append(both & 0xFFFFFFFFFFFFFFFF)
-        at = np.array(list(map(known.__getitem__, words)), dtype=np.int64)
-        return tuple(np.frombuffer(lane, dtype="u8")[at] for lane in self.lanes)
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        both = xxhash.xxh3_128_intdigest(word)
+        self.lanes[0].append(both >> 64)
+        self.lanes[1].append(both & _ALL)
+        return number
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > MAX_WORDS:
+            self.reset()
+        return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
-_PRINTS = WordPrints()
+    def lane(self, numbers: np.ndarray, lane: int) -> np.ndarray:
+        return np.frombuffer(self.lanes[lane], dtype="u8")[numbers]
 
 
 def _joined(left: np.ndarray, right: np.ndarray, lane: int) -> np.ndarray:
@@ -104,23 +109,26 @@ class Windows:
     """Words of a block's texts and the fingerprints of all windows that lie in one text."""
 
     def __init__(self, texts: list[bytes | None], width: int):
-        self.words = [(text or b"").split() for text in texts]
-        self.counts = np.array([len(w) for w in self.words], dtype=np.int64)
-        flat = [w for words in self.words for w in words]
-        ends = np.cumsum(self.counts)
-        room = np.repeat(ends, self.counts) - np.arange(len(flat))
-        lanes = _PRINTS.of(flat)
-        prints = [window_prints(lane, width, k) for k, lane in enumerate(lanes)]
-        self.starts = np.flatnonzero(room[: len(prints[0])] >= width)
-        self.first, self.second = (p[self.starts] for p in prints)
+        self.words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in texts).split()
+        prints = kept("word prints", WordPrints)
+        numbers = prints.numbers(self.words)
+        # Where each text ends, and the words from every place to the end of its text.
+        self.ends = np.flatnonzero(numbers == 0)
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(texts) else self.ends
+        self.counts = self.ends - self.begins
+        room = np.repeat(self.ends, self.counts + 1) - np.arange(len(numbers))
+        first = window_prints(prints.lane(numbers, 0), width, 0)
+        second = window_prints(prints.lane(numbers, 1), width, 1)
+        self.starts = np.flatnonzero(room[: len(first)] >= width)
+        self.first, self.second = first[self.starts], second[self.starts]
 
     def covered(self, repeated: np.ndarray, width: int) -> np.ndarray:
-        """Which words lie in a repeated window."""
-        marks = np.zeros(int(self.counts.sum()) + width + 1, dtype=np.int64)
+        """Which of `words` lie in a repeated window."""
+        marks = np.zeros(len(self.words) + width + 1, dtype=np.int64)
         at = self.starts[repeated]
         marks[at] += 1
         marks[at + width] -= 1
-        return np.cumsum(marks)[: int(self.counts.sum())] > 0
+        return np.cumsum(marks)[: len(self.words)] > 0
 
 
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -214,6 +222,18 @@ def merge_sketch(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray
     return [counts[cells] > 1 for cells, _ in pieces]
 
 
+def _among(wanted: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which numbers are in a sorted list; a table of their low bits settles most of them."""
+    low = np.uint64((1 << 22) - 1)
+    table_ = np.zeros(1 << 22, dtype=bool)
+    table_[(keys & low).astype(np.int64)] = True
+    found = table_[(wanted & low).astype(np.int64)]
+    rest = np.flatnonzero(found)
+    at = np.minimum(np.searchsorted(keys, wanted[rest]), len(keys) - 1)
+    found[rest] = keys[at] == wanted[rest]
+    return found
+
+
 def candidates(windows: Windows, shards: int, depth: int, answers: dict[int, bytes]) -> np.ndarray:
     """Windows all of whose cells are estimated repeated."""
     found = np.ones(len(windows.starts), dtype=bool)
@@ -226,9 +246,7 @@ def candidates(windows: Windows, shards: int, depth: int, answers: dict[int, byt
         keys = np.concatenate(flagged[row]) if flagged[row] else np.zeros(0, dtype=np.uint64)
         if not len(keys):
             return np.zeros(0, dtype=np.int64)
-        wanted = _cells(windows, row, shards)[found]
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        found[found] = keys[at] == wanted
+        found &= _among(_cells(windows, row, shards), keys)
     return np.flatnonzero(found)
 
 
@@ -351,13 +369,13 @@ def remove_repeated(
         for number, prints, _, which, group_of in exact_pieces(windows, chosen, shards):
             repeated[which] = _flags(exact[number], len(prints))[group_of]
         gone = windows.covered(repeated, window)
-        begins = np.cumsum(windows.counts) - windows.counts
+        stays = (~gone).tolist()
         left, removed, digests = [], [], []
         given = rows.column(here).to_pylist()
-        for text_, words, start in zip(given, windows.words, begins.tolist()):
-            out = gone[start : start + len(words)]
-            removed.append(int(out.sum()))
-            kept = b" ".join(w for w, o in zip(words, out.tolist()) if not o)
+        for text_, a, b in zip(given, windows.begins.tolist(), windows.ends.tolist()):
+            kept = list(compress(windows.words[a:b], stays[a:b]))
+            removed.append(b - a - len(kept))
+            kept = b" ".join(kept)
             left.append(kept if removed[-1] else text_)
             digests.append(hashlib.sha256(kept).hexdigest())
         rows = rows.drop_columns(["block"])

@@ -45,6 +45,9 @@ class Pieces:
     unknown: float
     longest: int
 
+    def __hash__(self) -> int:
+        return hash((frozenset(self.scores.items()), frozenset(self.ids.items()), self.bytes_))
+
     def surface(self) -> dict[int, bytes]:
         """What every id stands for."""
         back = {i: utf8(piece) for piece, i in self.ids.items()}

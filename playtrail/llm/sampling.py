@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.common import table
+from playtrail.llm.common import kept, table
 from playtrail.llm.pieces import Pieces, SampleTrie, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -118,15 +118,9 @@ class Sampler:
         return ids, widths
 
 
-_SAMPLERS: list[tuple[tuple, Sampler]] = []
-
-
 def _kept_sampler(pieces: Pieces, seed: int, sharpness: float) -> Sampler:
-    """The sampler that this worker has from earlier tasks, if it is the same one."""
-    wanted = (pieces, seed, sharpness)
-    if not (_SAMPLERS and _SAMPLERS[0][0] == wanted):
-        _SAMPLERS[:] = [(wanted, Sampler(*wanted))]
-    return _SAMPLERS[0][1]
+    key = ("sampler", hash(pieces), seed, sharpness)
+    return kept(key, lambda: Sampler(pieces, seed, sharpness))
 
 
 def decoder(pieces: Pieces):

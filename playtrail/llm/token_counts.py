@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import table, text_udf
+from playtrail.llm.common import kept, table, text_udf
 from playtrail.llm.pieces import CountTrie, Pieces, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -38,18 +38,9 @@ class TerminalCounts(dict):
         return count
 
 
-_COUNTS: list[TerminalCounts] = []
-
-
-def _kept_counts(pieces: Pieces, max_nodes: int) -> TerminalCounts:
-    """The counts that this worker has from earlier tasks, if they are of the same vocabulary."""
-    if not (_COUNTS and _COUNTS[0].trie.pieces == pieces and _COUNTS[0].max_nodes == max_nodes):
-        _COUNTS[:] = [TerminalCounts(pieces, max_nodes)]
-    return _COUNTS[0]
-
-
 def counter(pieces: Pieces, max_nodes: int = MAX_NODES):
-    counts = _kept_counts(pieces, max_nodes)
+    key = ("token counts", hash(pieces), max_nodes)
+    counts = kept(key, lambda: TerminalCounts(pieces, max_nodes))
 
     def count(text: bytes | None) -> tuple[int, int]:
         words = pre_tokens(text)
