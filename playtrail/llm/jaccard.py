@@ -3,13 +3,15 @@
 1. One pass counts the shingles of all texts in a table of fixed size, which orders them from rare to
    common. Two sets above the threshold share one of the first few shingles of each in that order.
 2. A second pass makes each text's set, its size, the first few shingles, and a bitmap: a bit for
-   the hash of every shingle, two bits or more per shingle. Equal sets become one node.
+   the hash of every shingle, four places or more per shingle. Equal sets become one node.
 3. A tile is the nodes that share one such shingle. In a first round every node of a tile is only
-   compared with one of them, the hub, which already ties large groups of near copies together. In
-   the second round tiles that still hold several components are cut by bands of size, and large
+   compared with one of them, the hub, which already ties large groups of near copies together. For
+   the later rounds tiles that still hold several components are cut by bands of size, and large
    ones into blocks, so that a task holds a bounded number of nodes; only nodes of different
-   components, of the same or neighbouring bands, are compared. No pair is left out: what shares no
-   tile, or is of bands further apart, cannot reach the threshold.
+   components, of the same or neighbouring bands, are compared. The second round passes on the few
+   most similar pairs of each node, which ties together what the hubs did not; the last one passes
+   on every pair that is left. No pair is left out: what shares no tile, or is of bands further
+   apart, cannot reach the threshold.
 4. A comparison first counts bits: bits that one bitmap has and the other lacks are shingles the
    other set lacks, which bounds the overlap from above. Only pairs that pass have their texts
    fetched and their sorted sets intersected exactly.
@@ -32,28 +34,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import table, workspace
+from playtrail.llm.common import kept, table, workspace
 from playtrail.llm.components import components
 from playtrail.llm.passages import WordPrints, window_prints
 from playtrail.llm.sampling import mixed
 
 SHINGLE = 3
 PERCENT = 90
-TABLE_BITS = 20  # of the table that counts shingles
-SEGMENTS = 16
+TABLE_BITS = 23  # of the table that counts shingles
+SEGMENTS = 64
 BLOCK_ROWS = 2000  # nodes of a tile that are compared in one task with as many others
 TASK_ROWS = 20_000  # rows of small tiles that share a task
 SMALL_ROWS = 2_000_000  # ids that may be broadcast
-
-_PRINTS = WordPrints()
-
+TRIES = 4  # pairs that a node of a tile is given in the second round
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; A-Z count as a-z."""
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    lane = _PRINTS.of(words)[0]
+    prints = kept("word prints", WordPrints)
+    lane = prints.lane(prints.numbers(words), 0)
     return np.unique(window_prints(lane, min(size, len(words)), 0))
 
 
@@ -67,7 +68,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def bitmap(hashes: np.ndarray) -> bytes:
     bits = 64
-    while bits < 2 * len(hashes):
+    while bits < 4 * len(hashes):
         bits *= 2
     marks = np.zeros(bits, dtype=np.uint8)
     marks[(mixed(hashes) & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -79,15 +80,15 @@ def folded(bits: bytes, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(bits, dtype="<u8").reshape(-1, words), axis=0)
 
 
-def may_link(
+def slack(
     sizes_a: np.ndarray, bits_a: np.ndarray, sizes_b: np.ndarray, bits_b: np.ndarray, percent: int
 ) -> np.ndarray:
-    """Whether the bound of overlap reaches the threshold, pair by pair; the bitmaps' last axis
-    holds their words, the others broadcast."""
+    """How far the bound of overlap is above what the threshold needs, pair by pair; a pair below 0
+    is no link. The bitmaps' last axis holds their words, the others broadcast."""
     only_a = np.bitwise_count(bits_a & ~bits_b).sum(axis=-1, dtype=np.int64)
     only_b = np.bitwise_count(bits_b & ~bits_a).sum(axis=-1, dtype=np.int64)
     most = np.minimum(sizes_a - only_a, sizes_b - only_b)
-    return (100 + percent) * most >= percent * (sizes_a + sizes_b)
+    return (100 + percent) * most - percent * (sizes_a + sizes_b)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -98,16 +99,18 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def shingle_classes(texts: DataFrame) -> np.ndarray:
+def shingle_classes(texts: DataFrame, size: int) -> np.ndarray:
     """Of every slot of the counting table, the logarithm of its count over all texts. The table is
     the same size for any corpus: it tells apart what is common at that corpus's size."""
     slots = 1 << TABLE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, dtype=np.int64)
+        # Counting no further than a byte in one task: it still orders the rare before the common.
+        counts = np.zeros(slots, dtype=np.uint8)
         for batch in batches:
             for text in batch.column(0):
-                np.add.at(counts, (shingles(text.as_py()) >> (64 - TABLE_BITS)).astype("i8"), 1)
+                slot = (shingles(text.as_py(), size) >> (64 - TABLE_BITS)).astype("i8")
+                counts[slot] = np.maximum(counts[slot], counts[slot] + np.uint8(1))
         pieces = [
             zstandard.ZstdCompressor(level=1).compress(p.tobytes())
             for p in np.split(counts, SEGMENTS)
@@ -117,7 +120,7 @@ def shingle_classes(texts: DataFrame) -> np.ndarray:
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(slots // SEGMENTS, dtype=np.int64)
         for piece in rows.column("counts").to_pylist():
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(piece), dtype="i8")
+            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(piece), dtype="u1")
         levels = np.floor(2 * np.log2(total + 1)).astype(np.uint8).tobytes()
         return pa.table({"segment": rows.column("segment")[:1], "levels": pa.array([levels])})
 
@@ -183,7 +186,7 @@ def _may_pass(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             passed = []
             for x, y, m, n in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5))):
                 words = min(len(x), len(y)) // 8
-                passed.append(may_link(m, folded(x, words), n, folded(y, words), percent))
+                passed.append(slack(m, folded(x, words), n, folded(y, words), percent) >= 0)
             chosen = pa.array(np.array(passed, dtype=bool))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"]
@@ -224,10 +227,11 @@ def verified(
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(keep, "a bigint, b bigint")
 
 
-def _tile_pairs(rows: pa.Table, percent: int) -> pa.Table:
+def _tile_pairs(rows: pa.Table, percent: int, tries: int | None) -> pa.Table:
     """Pairs of one task's tiles that pass the bound and are of different components. Rows of a
     tile's left block are compared with those of its right block, and with each other where both
-    are the same block."""
+    are the same block. With `tries` a row gets no more pairs than that, those of the highest bound,
+    each with another component, and what is paired counts as one component from then on."""
     names = ("token", "band", "left", "right", "block", "own", "node", "n", "component")
     c = {name: rows.column(name).to_numpy() for name in names}
     bits = rows.column("bits").to_pylist()
@@ -240,8 +244,12 @@ def _tile_pairs(rows: pa.Table, percent: int) -> pa.Table:
         right = tile[c["block"][tile] == c["right"][tile[0]]]
         words = min(len(bits[i]) for i in tile) // 8
         of_right = np.array([folded(bits[i], words) for i in right])
-        for i in left:
-            ok = c["component"][right] != c["component"][i]
+        group = c["component"][tile]
+        label = dict(zip(tile.tolist(), range(len(tile))))
+        of_left = group[[label[i] for i in left.tolist()]]
+        group_right = group[[label[i] for i in right.tolist()]]
+        for k, i in enumerate(left):
+            ok = group_right != of_left[k]
             # Two rows from the lower band meet in their own tile.
             ok &= c["own"][right] | c["own"][i]
             ok &= 100 * np.minimum(c["n"][right], c["n"][i]) >= percent * np.maximum(
@@ -250,7 +258,20 @@ def _tile_pairs(rows: pa.Table, percent: int) -> pa.Table:
             some = right[ok]
             if len(some):
                 mine = folded(bits[i], words)
-                some = some[may_link(c["n"][i], mine, c["n"][some], of_right[ok], percent)]
+                above = slack(c["n"][i], mine, c["n"][some], of_right[ok], percent)
+                if tries is not None:
+                    best = np.flatnonzero(ok)[np.argsort(-above, kind="stable")]
+                    best = best[: (above >= 0).sum()]
+                    some = []
+                    while len(best) and len(some) < tries:
+                        some.append(right[best[0]])
+                        old, new = group_right[best[0]], of_left[k]
+                        group_right[group_right == old] = new
+                        of_left[of_left == old] = new
+                        best = best[group_right[best] != new]
+                    some = np.array(some, dtype=np.int64)
+                else:
+                    some = some[above >= 0]
                 found_a.append(np.full(len(some), c["node"][i]))
                 found_b.append(c["node"][some])
     a = np.concatenate(found_a) if found_a else np.zeros(0, dtype=np.int64)
@@ -259,9 +280,11 @@ def _tile_pairs(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def remaining_pairs(tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a tile and pass the bound. `tiles` has a row for
-    each node of a tile, `found` the components so far."""
+def remaining_pairs(
+    tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, tries: int | None = None
+) -> DataFrame:
+    """Pairs of different components that share a tile and pass the bound, all or `tries` a node.
+    `tiles` has a row for each node of a tile, `found` the components so far."""
     labelled = tiles.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -296,7 +319,7 @@ def remaining_pairs(tiles: DataFrame, nodes: DataFrame, found: DataFrame, percen
     )
 
     def compare(rows: pa.Table) -> pa.Table:
-        return _tile_pairs(rows, percent)
+        return _tile_pairs(rows, percent, tries)
 
     return dealt.groupBy("task").applyInArrow(compare, "a bigint, b bigint").distinct()
 
@@ -314,7 +337,7 @@ def similar_documents(
         return spark.read.parquet(f"{path}/{name}")
 
     texts = _texts(docs)
-    sets = stored(document_sets(texts, shingle_classes(texts), percent, size), "sets")
+    sets = stored(document_sets(texts, shingle_classes(texts, size), percent, size), "sets")
     nodes = sets.where("n > 0").groupBy("fingerprint").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("rep"),
         *(F.first(c).alias(c) for c in ("n", "first", "bits")),
@@ -336,12 +359,14 @@ def similar_documents(
     first = stored(
         verified(star.distinct(), nodes, texts, f"{path}/likely1", percent, size), "links1"
     )
-    found = components(first)
-    rest = remaining_pairs(tiles.select("token", "node", "n"), nodes, found, percent)
-    second = verified(rest, nodes, texts, f"{path}/likely2", percent, size)
-    # What the first round tied together is one link each for the second.
-    ties = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    whole = components(ties.unionByName(second))
+    whole = components(first)
+    held = tiles.select("token", "node", "n")
+    for number, tries in ((2, TRIES), (3, None)):
+        rest = remaining_pairs(held, nodes, whole, percent, tries)
+        links = verified(rest, nodes, texts, f"{path}/likely{number}", percent, size)
+        # What earlier rounds tied together is one link each.
+        ties = whole.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        whole = components(ties.unionByName(links))
     members = sets.join(nodes.select("fingerprint", "node"), "fingerprint", "left")
     members = members.join(whole, "node", "left").select(
         "doc_id", "text_hash", "n", F.coalesce("component", "node").alias("component")
