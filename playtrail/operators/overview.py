@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.operators.ads import rewarded_ads, total_rewarded_ads
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, first_rows, name_matches
 from playtrail.operators.levels import average_completion_rate, level_analysis
@@ -83,12 +82,28 @@ def available_versions(
 def overview(
     events: DataFrame, filters: Filters = Filters(), level_count: int | str | None = 50
 ) -> DataFrame:
-    """The four headline numbers in one row."""
-    ads = total_rewarded_ads(rewarded_ads(events, filters))
+    """The four headline numbers in one row. One pass per user counts the users, their completions
+    and, on the days in range, their rewarded ads; the completion rate per level takes another."""
+    name, on_day = F.col("event_name"), F.lit(True)
+    if filters.has_cohort:
+        on_day = F.col("event_date").between(F.lit(filters.start), F.lit(filters.end))
+    per_user = (
+        filters.on_attributes(events)
+        .groupBy(USER)
+        .agg(
+            F.count_if(name_matches(REWARDED_AD_PATTERN) & on_day).alias("ads"),
+            F.count_if(name == LEVEL_COMPLETE).alias("completions"),
+        )
+    )
+    totals = keep_cohort(per_user, events, filters).agg(
+        F.count(USER).alias("total_users"),
+        F.coalesce(F.sum("ads"), F.lit(0)).alias("total_rewarded_ads"),
+        F.coalesce(F.sum("completions"), F.lit(0)).alias("total_level_completions"),
+    )
     rate = average_completion_rate(level_analysis(events, filters, level_count))
-    return overall_stats(events, filters).select(
+    return totals.select(
         "total_users",
-        ads.scalar().alias("total_rewarded_ads"),
+        "total_rewarded_ads",
         rate.scalar().alias("avg_completion_rate"),
         "total_level_completions",
     )

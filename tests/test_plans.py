@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from playtrail.operators import ads, churn, journey, levels, retention
+from playtrail.operators import ads, churn, journey, levels, overview, retention
 from playtrail.operators.filters import Filters
 from playtrail.plans.catalog import reports
 from playtrail.sources.events import read_flat_events, write_flat_events
@@ -129,3 +129,11 @@ def test_a_small_cohort_cuts_the_matrix_at_the_scan(spark, setting, stored):
         r".*BroadcastHashJoin.*LeftSemi",
         plan,
     )
+
+
+def test_overview_reads_the_log_three_times(spark, stored):
+    """Two passes over the events and one over the installs, whose exchange is used again."""
+    report = overview.overview(stored, WEEK)
+    report.collect()
+    final = plan_of(report).split("Initial Plan")[0]
+    assert final.count("FileScan") <= 4 and plan_of(overview.overview(stored)).count("FileScan") == 2
