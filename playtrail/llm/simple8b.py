@@ -32,21 +32,23 @@ def pack(ids: np.ndarray) -> np.ndarray:
         raise ValueError("ids must be below 2**60")
     # Zeros behind the end: they fit everywhere, so the last word may be filled up with them.
     padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
-    selector = np.full(len(padded), ESCAPE, dtype=np.int64)
+    selector = np.full(len(padded), ESCAPE, dtype=np.int8)
     # From the widest to the narrowest, so that the last that fits holds the most ids.
-    fit = np.arange(len(padded))
+    fit, values = np.arange(len(padded), dtype=np.int32), padded
     for k in range(len(BITS) - 1, -1, -1):
-        fit = fit[padded[fit] < np.uint64(1 << BITS[k])]
+        small = values < np.uint64(1 << BITS[k])
+        if not small.all():
+            fit, values = fit[small], values[small]
         more = COUNTS[k] - 1
         run = fit[more:] - fit[: len(fit) - more] == more
         selector[fit[: len(fit) - more][run]] = FIRST_SELECTOR + k
-    follow = (np.arange(n) + _COUNT_OF[selector[:n]]).tolist()
+    step = _COUNT_OF.astype(np.uint8)[selector[:n]].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
-        at = follow[at]
+        at += step[at]
     start = np.array(starts)
-    chosen = selector[start]
+    chosen = selector[start].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         which = np.flatnonzero(chosen == s)

@@ -70,7 +70,12 @@ class WordIds(dict):
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
+        # The tokenizer lowers all letters; plain ones may be lowered before, but for control tokens.
+        small = word.lower() if word.isascii() and b"<" not in word else word
+        if small != word:
+            number = self[word] = self[small]
+            return number
+        number = self[word] = len(self.first) - 1 + len(self.fresh)
         self.fresh.append(word)
         return number
 
