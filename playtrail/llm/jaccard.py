@@ -4,14 +4,15 @@
    common. Two sets above the threshold share one of the first few shingles of each in that order.
 2. A second pass makes each text's set, its size, the first few shingles, and a bitmap: a bit for
    the hash of every shingle, four places or more per shingle. Equal sets become one node.
-3. A tile is the nodes that share one such shingle. In a first round every node of a tile is only
-   compared with one of them, the hub, which already ties large groups of near copies together. For
-   the later rounds tiles that still hold several components are cut by bands of size, and large
-   ones into blocks, so that a task holds a bounded number of nodes; only nodes of different
-   components, of the same or neighbouring bands, are compared. The second round passes on the few
-   most similar pairs of each node, which ties together what the hubs did not; the last one passes
-   on every pair that is left. No pair is left out: what shares no tile, or is of bands further
-   apart, cannot reach the threshold.
+3. A tile is the nodes that share one such shingle. In a first round the nodes of a small tile are
+   paired where their sizes allow it, at most 32 for each; a node of a larger tile is only compared
+   with one of them, the hub, which already ties large groups of near copies together. For the later
+   rounds large tiles that still hold several components are cut by bands of size, and further into
+   blocks, so that a task holds a bounded number of nodes; only nodes of different components, of
+   the same or neighbouring bands, are compared. The second round passes on the few most similar
+   pairs of each node, which ties together what the hubs did not; the last one passes on every pair
+   that is left. No pair is left out: what shares no tile, or is of bands further apart, cannot
+   reach the threshold.
 4. A comparison first counts bits: bits that one bitmap has and the other lacks are shingles the
    other set lacks, which bounds the overlap from above. Only pairs that pass have their texts
    fetched and their sorted sets intersected exactly.
@@ -44,7 +45,8 @@ PERCENT = 90
 TABLE_BITS = 23  # of the table that counts shingles
 SEGMENTS = 64
 BLOCK_ROWS = 2000  # nodes of a tile that are compared in one task with as many others
-TASK_ROWS = 20_000  # rows of small tiles that share a task
+TASK_ROWS = 20_000  # rows of tiles that share a task
+SMALL_TILE = 32  # nodes of a tile whose pairs may be joined as they are
 SMALL_ROWS = 2_000_000  # ids that may be broadcast
 TRIES = 4  # pairs that a node of a tile is given in the second round
 
@@ -176,7 +178,8 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 def _may_pass(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (`a`, `b`) that pass the bound of their bitmaps."""
-    light = nodes.select("node", "n", "bits")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    light = nodes.select("node", "n", "bits").join(_bounded(ends), "node", "left_semi")
     sided = (
         pairs.join(light.toDF("a", "n_a", "bits_a"), "a").join(light.toDF("b", "n_b", "bits_b"), "b")
     )
@@ -199,7 +202,7 @@ def _may_pass(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def verified(
     pairs: DataFrame, nodes: DataFrame, texts: DataFrame, path: str, percent: int, size: int
 ) -> DataFrame:
-    """Pairs of nodes that are links: first by bitmaps, then by exact intersection of the sets."""
+    """Stored pairs of nodes that are links: by bitmaps first, then by exact intersection."""
     spark = pairs.sparkSession
     _may_pass(pairs, nodes, percent).write.parquet(path)
     likely = spark.read.parquet(path)
@@ -304,7 +307,7 @@ def remaining_pairs(
     heights = rows.groupBy("token", "band").agg(
         F.count("*").alias("height"), F.max("own").alias("any_own")
     )
-    rows = rows.join(heights.where("height > 1 and any_own"), ["token", "band"])
+    rows = rows.join(heights.where("height > 1 and any_own"), ["token", "band"]).drop("any_own")
     blocks = F.ceil(F.col("height") / BLOCK_ROWS).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "own"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -312,7 +315,7 @@ def remaining_pairs(
         {"left": F.least("block", "other"), "right": F.greatest("block", "other")}
     )
     rows = rows.join(nodes.select("node", "bits"), "node")
-    tasks = 1 + rows.count() // TASK_ROWS
+    tasks = 1 + 2 * tiles.count() // TASK_ROWS
     dealt = rows.select(
         F.pmod(F.xxhash64("token", "band", "left", "right"), F.lit(tasks)).alias("task"),
         "token", "band", "left", "right", "block", "own", "node", "n", "component", "bits",
@@ -349,20 +352,30 @@ def similar_documents(
         F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("hub"),
     )
     hubs = hubs.where("height > 1").select(
-        "token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")
+        "token", "height", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")
     )
     tiles = stored(tokens.join(hubs, "token"), "tiles")
-    near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    star = tiles.where((F.col("node") != F.col("hub")) & near).select(
+
+    def near(other: str):
+        return 100 * F.least("n", other) >= percent * F.greatest("n", other)
+
+    # The nodes of a small tile meet by a join: at most SMALL_TILE partners for each.
+    few = tiles.where(F.col("height") <= SMALL_TILE).select("token", "node", "n")
+    met = few.join(few.toDF("token", "node_", "n_"), "token")
+    met = met.where((F.col("node") < F.col("node_")) & near("n_"))
+    many = tiles.where(F.col("height") > SMALL_TILE)
+    star = many.where((F.col("node") != F.col("hub")) & near("hub_n")).select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
     )
-    first = stored(
-        verified(star.distinct(), nodes, texts, f"{path}/likely1", percent, size), "links1"
-    )
+    pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b")).unionByName(star)
+    pairs = stored(pairs.distinct(), "pairs1")
+    first = stored(verified(pairs, nodes, texts, f"{path}/likely1", percent, size), "links1")
     whole = components(first)
-    held = tiles.select("token", "node", "n")
+    held = many.select("token", "node", "n")
     for number, tries in ((2, TRIES), (3, None)):
-        rest = remaining_pairs(held, nodes, whole, percent, tries)
+        rest = stored(remaining_pairs(held, nodes, whole, percent, tries), f"pairs{number}")
+        if rest.isEmpty():
+            break
         links = verified(rest, nodes, texts, f"{path}/likely{number}", percent, size)
         # What earlier rounds tied together is one link each.
         ties = whole.select(F.col("node").alias("a"), F.col("component").alias("b"))

@@ -44,7 +44,7 @@ DEPTH = 2
 CELL_BITS = 24
 BLOCK_BYTES = 6_000_000  # of text in a block
 SHARD_BYTES = 8_000_000  # of text whose windows share a shard
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
 BETWEEN = b"\xff"  # no UTF-8 text holds this byte
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)

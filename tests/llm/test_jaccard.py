@@ -71,6 +71,7 @@ def test_equals_brute_force(documents, percent, size):
 def test_cut_tiles_give_the_same(documents, monkeypatch):
     monkeypatch.setattr(J, "BLOCK_ROWS", 5)
     monkeypatch.setattr(J, "TASK_ROWS", 40)
+    monkeypatch.setattr(J, "SMALL_TILE", 3)
     monkeypatch.setattr(J, "SMALL_ROWS", 0)
     rows = families(11, 140)
     assert found(documents(rows), 60, 1) == plain(rows, 60, 1)
