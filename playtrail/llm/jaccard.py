@@ -4,15 +4,14 @@
    common. Two sets above the threshold share one of the first few shingles of each in that order.
 2. A second pass makes each text's set, its size, the first few shingles, and a bitmap: a bit for
    the hash of every shingle, four places or more per shingle. Equal sets become one node.
-3. A tile is the nodes that share one such shingle. In a first round the nodes of a small tile are
-   paired where their sizes allow it, at most 32 for each; a node of a larger tile is only compared
-   with one of them, the hub, which already ties large groups of near copies together. For the later
-   rounds large tiles that still hold several components are cut by bands of size, and further into
-   blocks, so that a task holds a bounded number of nodes; only nodes of different components, of
-   the same or neighbouring bands, are compared. The second round passes on the few most similar
-   pairs of each node, which ties together what the hubs did not; the last one passes on every pair
-   that is left. No pair is left out: what shares no tile, or is of bands further apart, cannot
-   reach the threshold.
+3. A tile is the nodes that share one such shingle. The nodes of a small tile are paired where their
+   sizes allow it, at most 32 for each. Large tiles are cut by bands of size, and further into
+   blocks, so that a task holds a bounded number of nodes, and only nodes of the same or
+   neighbouring bands are compared. In a first round each node passes on a few pairs, the most
+   similar ones, and what is paired counts as one for the rest of the tile; that ties large groups
+   of near copies together. The second round passes on every pair of different components that is
+   left. No pair is left out: what shares no tile, or is of bands further apart, cannot reach the
+   threshold.
 4. A comparison first counts bits: bits that one bitmap has and the other lacks are shingles the
    other set lacks, which bounds the overlap from above. Only pairs that pass have their texts
    fetched and their sorted sets intersected exactly.
@@ -42,13 +41,13 @@ from playtrail.llm.sampling import mixed
 
 SHINGLE = 3
 PERCENT = 90
-TABLE_BITS = 23  # of the table that counts shingles
+TABLE_BITS = 22  # of the table that counts shingles
 SEGMENTS = 64
 BLOCK_ROWS = 2000  # nodes of a tile that are compared in one task with as many others
 TASK_ROWS = 20_000  # rows of tiles that share a task
 SMALL_TILE = 32  # nodes of a tile whose pairs may be joined as they are
 SMALL_ROWS = 2_000_000  # ids that may be broadcast
-TRIES = 4  # pairs that a node of a tile is given in the second round
+TRIES = 4  # pairs that a node of a large tile is given in the first round
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles; A-Z count as a-z."""
@@ -283,11 +282,12 @@ def _tile_pairs(rows: pa.Table, percent: int, tries: int | None) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def remaining_pairs(
+def tile_pairs(
     tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, tries: int | None = None
 ) -> DataFrame:
     """Pairs of different components that share a tile and pass the bound, all or `tries` a node.
-    `tiles` has a row for each node of a tile, `found` the components so far."""
+    `tiles` has a row for each node of a tile, `found` the components so far; a node without one is
+    a component of its own."""
     labelled = tiles.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -347,37 +347,24 @@ def similar_documents(
     )
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     tokens = nodes.select(F.explode("first").alias("token"), "node", "n")
-    hubs = tokens.groupBy("token").agg(
-        F.count("*").alias("height"),
-        F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("hub"),
-    )
-    hubs = hubs.where("height > 1").select(
-        "token", "height", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")
-    )
-    tiles = stored(tokens.join(hubs, "token"), "tiles")
-
-    def near(other: str):
-        return 100 * F.least("n", other) >= percent * F.greatest("n", other)
-
+    heights = tokens.groupBy("token").agg(F.count("*").alias("height")).where("height > 1")
+    tiles = stored(tokens.join(heights, "token"), "tiles")
     # The nodes of a small tile meet by a join: at most SMALL_TILE partners for each.
     few = tiles.where(F.col("height") <= SMALL_TILE).select("token", "node", "n")
-    met = few.join(few.toDF("token", "node_", "n_"), "token")
-    met = met.where((F.col("node") < F.col("node_")) & near("n_"))
-    many = tiles.where(F.col("height") > SMALL_TILE)
-    star = many.where((F.col("node") != F.col("hub")) & near("hub_n")).select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    met = few.join(few.toDF("token", "node_", "n_"), "token").where(
+        (F.col("node") < F.col("node_"))
+        & (100 * F.least("n", "n_") >= percent * F.greatest("n", "n_"))
     )
-    pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b")).unionByName(star)
+    pairs = met.select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    many = tiles.where(F.col("height") > SMALL_TILE).select("token", "node", "n")
+    alone = many.select("node", F.col("node").alias("component")).distinct()
+    pairs = pairs.unionByName(tile_pairs(many, nodes, alone, percent, TRIES))
     pairs = stored(pairs.distinct(), "pairs1")
-    first = stored(verified(pairs, nodes, texts, f"{path}/likely1", percent, size), "links1")
-    whole = components(first)
-    held = many.select("token", "node", "n")
-    for number, tries in ((2, TRIES), (3, None)):
-        rest = stored(remaining_pairs(held, nodes, whole, percent, tries), f"pairs{number}")
-        if rest.isEmpty():
-            break
-        links = verified(rest, nodes, texts, f"{path}/likely{number}", percent, size)
-        # What earlier rounds tied together is one link each.
+    whole = components(verified(pairs, nodes, texts, f"{path}/likely1", percent, size))
+    rest = stored(tile_pairs(many, nodes, whole, percent), "pairs2")
+    if not rest.isEmpty():
+        links = verified(rest, nodes, texts, f"{path}/likely2", percent, size)
+        # What the first round tied together is one link each.
         ties = whole.select(F.col("node").alias("a"), F.col("component").alias("b"))
         whole = components(ties.unionByName(links))
     members = sets.join(nodes.select("fingerprint", "node"), "fingerprint", "left")
