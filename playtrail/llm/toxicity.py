@@ -4,7 +4,9 @@ Both are interpolated bigram models with the three discounts of modified Kneser-
 estimated from the counts of counts of its class and order. A bigram backs off to the class's own
 unigrams, and those to one distribution shared by both classes: in how many different contexts a
 word was seen in either. So an expression that one class has not shown is judged by common counts
-and not by chance. Words seen in too few training texts count as one unknown word.
+and not by chance. Every word and bigram of the training texts is kept, however rare: what its counts
+say about the classes is shrunk towards the backoff, the more so the fewer they are and the more
+likely both classes have it alike. A word of no training text is no evidence.
 
 A text's evidence is the difference of the two log-likelihoods divided by the number of words: the
 highest of all stretches of `SPAN` words, so long texts are judged by their worst passage and not
@@ -19,7 +21,6 @@ classes every score is 0.5. Other columns are not read; equal texts have equal s
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +38,7 @@ from playtrail.llm.common import (
 
 THRESHOLD = 0.7
 SPAN = 4  # words of a stretch; shorter texts are divided by this many as well
-MIN_SHARE = 0.005  # of the training texts in which a word of the vocabulary stands
-MIN_TEXTS = 3
+WORD_TEXTS, PAIR_TEXTS = 20.0, 100.0  # texts that the backoff of a word or bigram stands for
 SHARED_WEIGHT = 50.0  # words of the backoff that every context counts besides its own
 UNKNOWN, BEGIN = 0, 1
 
@@ -105,12 +105,24 @@ def discounts(counts: np.ndarray) -> np.ndarray:
     return by_count[np.minimum(counts, 3).astype(int)]
 
 
+def differing(toxic: np.ndarray, ordinary: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Of each pair of counts the probability that the classes differ: the counts are a draw at the
+    expected log-odds `odds`, or at any others alike. How many differ is estimated from all."""
+    n = (toxic + ordinary).astype(np.int64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n.max(initial=0) + 1)))])
+    ways = logs[n] - logs[toxic.astype(np.int64)] - logs[ordinary.astype(np.int64)]
+    expected = ways - toxic * np.logaddexp(0, -odds) - ordinary * np.logaddexp(0, odds)
+    gain = np.exp(np.clip(-np.log(n + 1.0) - expected, -50, 50))
+    seen, share = gain[n > 0], 0.01
+    for _ in range(20 if len(seen) else 0):
+        share = np.clip((share * seen / (share * seen + 1 - share)).mean(), 1e-6, 0.5)
+    return share * gain / (share * gain + 1 - share)
+
+
 def learn_models(texts: list[list[list[str]]]) -> ToxicityModel:
     """Models of ordinary (0) and toxic (1) texts given as lists of words; no curve yet."""
-    in_texts = Counter(w for side in texts for words in side for w in set(words))
-    enough = max(MIN_TEXTS, MIN_SHARE * sum(map(len, texts)))
-    kept = sorted(w for w, n in in_texts.items() if n >= enough)
-    vocabulary = {w: i + 2 for i, w in enumerate(kept)}
+    seen_words = sorted({w for side in texts for words in side for w in words})
+    vocabulary = {w: i + 2 for i, w in enumerate(seen_words)}
     size = len(vocabulary) + 2
     seen = []
     for side in texts:
@@ -126,25 +138,32 @@ def learn_models(texts: list[list[list[str]]]) -> ToxicityModel:
     counted = np.zeros((2, len(keys)))
     for side, (own_keys, own_counts) in enumerate(seen):
         counted[side, np.searchsorted(keys, own_keys)] = own_counts
-    frequent = counted.sum(axis=0) >= MIN_TEXTS
-    pooled = np.where(frequent, counted.sum(axis=0), 0.0)
+    pooled = counted.sum(axis=0)
     held = np.bincount(context, pooled, minlength=size) + SHARED_WEIGHT
     backoff = 1 - np.bincount(context, pooled - discounts(pooled), minlength=size) / held
-    of_words, of_pairs = [], []
+    of_words, of_pairs, of_contexts, singles = [], [], [], []
     for counts in counted:
         single = np.bincount(word, counts, minlength=size)
         unigram = (single - discounts(single)) / max(single.sum(), 1.0)
         unigram = unigram + (1 - unigram.sum()) * shared
-        total = np.bincount(context, counts, minlength=size) + SHARED_WEIGHT
-        direct = np.where(frequent, counts - discounts(counts), 0.0) / total[context]
+        of_contexts.append(np.bincount(context, counts, minlength=size))
+        direct = (counts - discounts(counts)) / (of_contexts[-1] + SHARED_WEIGHT)[context]
         of_pairs.append(np.log(direct + backoff[context] * unigram[word]))
         of_words.append(np.log(unigram))
-    ratios, words_ = ((side[1] - side[0]).astype(np.float32) for side in (of_pairs, of_words))
-    # An unknown word stands for too many to be evidence.
+        singles.append(single)
+    raw = of_words[1] - of_words[0]
+    in_texts = singles[0] + singles[1]
+    odds = np.log(max(singles[1].sum(), 1.0) / max(singles[0].sum(), 1.0))
+    words_ = differing(singles[1], singles[0], np.full(size, odds)) * raw
+    words_ *= in_texts / (in_texts + WORD_TEXTS)
     words_[UNKNOWN] = 0.0
-    kept_keys = frequent & (word != UNKNOWN)
-    keys, ratios = keys[kept_keys], ratios[kept_keys]
-    return ToxicityModel(vocabulary, keys, ratios, words_, (0.0, 0.0, 0.0))
+    # Expected of a bigram is what its context's totals and its word say.
+    odds = np.log((of_contexts[1] + 0.5) / (of_contexts[0] + 0.5))[context] + words_[word]
+    own = differing(counted[1], counted[0], odds) * pooled / (pooled + PAIR_TEXTS)
+    ratios = words_[word] + own * (of_pairs[1] - of_pairs[0] - raw[word])
+    return ToxicityModel(
+        vocabulary, keys, ratios.astype(np.float32), words_.astype(np.float32), (0.0, 0.0, 0.0)
+    )
 
 
 def learn_toxicity(sample: list[tuple[bytes, int]]) -> ToxicityModel:

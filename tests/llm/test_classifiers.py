@@ -40,6 +40,24 @@ def test_toxicity_finds_planted_words():
     assert score(long)[1] == 0 and score(long + b" vile scum you fool " + long)[1] == 1
 
 
+def test_rare_toxic_words_are_evidence():
+    rows, rng = toxic_corpus(5, 8000), random.Random(6)
+
+    def planted(expression):
+        said = words(rng, rng.randrange(20, 60))
+        said.insert(rng.randrange(len(said)), expression)
+        return " ".join(said).encode()
+
+    # In 10 of some 1340 toxic training texts, and 3 of 4000 ordinary ones.
+    rows += [(planted("zug wortig blaf"), 1) for _ in range(15)]
+    rows += [(planted("harm loseful phrase"), 0) for _ in range(5)]
+    score = X.learn_toxicity(rows).scorer()
+    found = [score(planted("zug wortig blaf"))[1] for _ in range(100)]
+    assert np.mean(found) > 0.9
+    others = [score(planted(e))[1] for e in ("harm loseful phrase", "never seen") for _ in range(50)]
+    assert np.mean(others) < 0.02
+
+
 def test_toxicity_edges():
     model = X.learn_toxicity(toxic_corpus(1, 200))
     score = model.scorer()
