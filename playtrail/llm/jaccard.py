@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import kept, table, workspace
+from playtrail.llm.common import cut_lineage, kept, table, workspace
 from playtrail.llm.components import components
 from playtrail.llm.passages import WordPrints, window_prints
 from playtrail.llm.sampling import mixed
@@ -327,11 +327,9 @@ def tile_pairs(
     return dealt.groupBy("task").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def similar_documents(
-    docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
-) -> DataFrame:
-    """Per document: `doc_id`, `text_hash`, `n_shingles` and `component_id`, the smallest id that
-    links reach from it, its own included."""
+def component_members(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """Per document: `doc_id`, `text_hash`, `n`, the size of its set, and `component`, a number of
+    its component, null for an empty set."""
     spark = docs.sparkSession
     path = workspace(spark, "jaccard")
 
@@ -368,9 +366,17 @@ def similar_documents(
         ties = whole.select(F.col("node").alias("a"), F.col("component").alias("b"))
         whole = components(ties.unionByName(links))
     members = sets.join(nodes.select("fingerprint", "node"), "fingerprint", "left")
-    members = members.join(whole, "node", "left").select(
+    return members.join(whole, "node", "left").select(
         "doc_id", "text_hash", "n", F.coalesce("component", "node").alias("component")
     )
+
+
+def similar_documents(
+    docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
+) -> DataFrame:
+    """Per document: `doc_id`, `text_hash`, `n_shingles` and `component_id`, the smallest id that
+    links reach from it, its own included."""
+    members = component_members(docs, percent, size)
     least = members.where("component is not null").groupBy("component").agg(
         F.min("doc_id").alias("component_id")
     )
@@ -393,8 +399,26 @@ STAGE_PERCENT, STAGE_SHINGLE = 80, 5
 
 
 def stage_jaccard_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id. Documents without words stay.
-    Five words and a similarity of 0.8, as for all near-duplicate stages."""
-    found = similar_documents(docs, STAGE_PERCENT, STAGE_SHINGLE)
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """One row of each component: the first by id, nulls last, then by the text's hash; of rows with
+    the same id and text, the first by all columns. So repeated rows and copies with the same or a
+    null id leave one row, and another text with the id of a removed row stays. Rows without words
+    stay, repeated or not. Five words and a similarity of 0.8, as for all near-duplicate stages."""
+    members = component_members(docs, STAGE_PERCENT, STAGE_SHINGLE).where("component is not null")
+    rows = members.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = rows.groupBy("component").agg(F.min(place).alias("first"))
+    judged = rows.join(firsts, "component").select(
+        F.col("doc_id").alias("id_"),
+        F.col("text_hash").alias("hash_"),
+        (place == F.col("first")).alias("stays"),
+        "times",
+    )
+    judged = cut_lineage(judged.where("not stays or times > 1"))
+    same = docs["doc_id"].cast("bigint").eqNullSafe(judged["id_"]) & (
+        F.xxhash64(docs["text"]) == judged["hash_"]
+    )
+    single = docs.join(judged, same, "left_anti")
+    repeated = docs.join(judged.where("stays"), same).groupBy("id_", "hash_")
+    return single.unionByName(
+        repeated.agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row")).select("row.*")
+    )

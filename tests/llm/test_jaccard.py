@@ -133,3 +133,22 @@ def test_stage_keeps_one_of_each_group(spark, documents):
     left = J.stage_jaccard_join(spark, docs, SF)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 4, 5]
+
+
+def test_stage_with_repeated_clashing_and_null_ids(spark, documents):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(80)) for x in "abcd")
+    rows = [(3, a), (3, a), (3, a + " more")]  # repeated, and a near copy of the same id
+    rows += [(5, b), (4, b), (5, "a clean text without any copy")]  # an id of two texts
+    rows += [(None, c), (None, c), (None, c + " more")]
+    rows += [(None, d), (9, d), (6, "lone"), (7, None), (7, None), (None, "")]
+    left = J.stage_jaccard_join(spark, documents(rows), SF)
+    assert left.columns == documents(rows).columns
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    by_start = {x: [r for r in got if (r[1] or "").startswith(f"{x}0 ")] for x in "abcd"}
+    assert [len(by_start[x]) for x in "abcd"] == [1, 1, 1, 1]
+    assert by_start["a"][0][0] == 3 and by_start["b"] == [(4, b)] and by_start["d"] == [(9, d)]
+    rest = sorted((r for r in got if not any(r in v for v in by_start.values())), key=str)
+    assert rest == sorted(
+        [(5, "a clean text without any copy"), (6, "lone"), (7, None), (7, None), (None, "")],
+        key=str,
+    )
