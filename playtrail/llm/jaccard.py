@@ -282,12 +282,11 @@ def _tile_pairs(rows: pa.Table, percent: int, tries: int | None) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
-def tile_pairs(
-    tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, tries: int | None = None
+def dealt_tiles(
+    tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int
 ) -> DataFrame:
-    """Pairs of different components that share a tile and pass the bound, all or `tries` a node.
-    `tiles` has a row for each node of a tile, `found` the components so far; a node without one is
-    a component of its own."""
+    """The rows of tiles that hold different components, with their blocks and the `task` that
+    compares them. Two blocks of a large tile are a task of their own; small tiles share tasks."""
     labelled = tiles.join(found, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -315,12 +314,24 @@ def tile_pairs(
         {"left": F.least("block", "other"), "right": F.greatest("block", "other")}
     )
     rows = rows.join(nodes.select("node", "bits"), "node")
+    # A node of an uncut tile has two rows, one for each band.
     tasks = 1 + 2 * tiles.count() // TASK_ROWS
-    dealt = rows.select(
-        F.pmod(F.xxhash64("token", "band", "left", "right"), F.lit(tasks)).alias("task"),
+    place = F.xxhash64("token", "band", "left", "right")
+    shared = F.pmod(place, F.lit(tasks))
+    return rows.select(
+        F.when(blocks > 1, place).otherwise(shared).alias("task"),
         "token", "band", "left", "right", "block", "own", "node", "n", "component", "bits",
     )
 
+
+def tile_pairs(
+    tiles: DataFrame, nodes: DataFrame, found: DataFrame, percent: int, tries: int | None = None
+) -> DataFrame:
+    """Pairs of different components that share a tile and pass the bound, all or `tries` a node.
+    `tiles` has a row for each node of a tile, `found` the components so far; a node without one is
+    a component of its own."""
+    dealt = dealt_tiles(tiles, nodes, found, percent)
+
     def compare(rows: pa.Table) -> pa.Table:
         return _tile_pairs(rows, percent, tries)
 

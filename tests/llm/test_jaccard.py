@@ -152,3 +152,14 @@ def test_stage_with_repeated_clashing_and_null_ids(spark, documents):
         [(5, "a clean text without any copy"), (6, "lone"), (7, None), (7, None), (None, "")],
         key=str,
     )
+
+
+def test_blocks_of_a_large_tile_do_not_share_a_task(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(J, "TASK_ROWS", 200)
+    nodes = spark.range(600).selectExpr("id AS node", "50L AS n", "X'00' AS bits")
+    tiles = nodes.selectExpr("7L AS token", "node", "n")
+    alone = nodes.selectExpr("node", "node AS component")
+    rows = J.dealt_tiles(tiles, nodes, alone, 90)
+    held = [r["count"] for r in rows.groupBy("task").count().collect()]
+    assert sum(held) > 20 * 600 and max(held) <= 4 * 20
