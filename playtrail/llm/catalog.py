@@ -4,6 +4,7 @@ from playtrail.llm import (
     chat,
     compression,
     decontaminate,
+    divergence,
     jaccard,
     passages,
     quality_rules,
@@ -25,6 +26,11 @@ _QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_compression_quality": compression.op10_compression_quality,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
-SQL = {"op3_decontaminate": decontaminate.OP3_SQL, "op7_chat_format": chat.OP7_SQL}
+SQL = {
+    "op3_decontaminate": decontaminate.OP3_SQL,
+    "op7_chat_format": chat.OP7_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
+}
