@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
 from playtrail.llm import (
+    alignment,
     chat,
     compression,
     decontaminate,
     divergence,
     jaccard,
+    language,
     passages,
     quality_rules,
     sampling,
@@ -26,11 +28,15 @@ _QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_compression_quality": compression.op10_compression_quality,
+    "op11_language": language.op11_language,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
     "op7_chat_format": chat.OP7_SQL,
+    "op11_language": language.op11_language,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
     "op13_source_divergence": divergence.OP13_SQL,
 }
