@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +45,12 @@ BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 SPACE_MARK = "▁"
 PORTION = 1_000_000  # bytes of text aligned at a time
-KEPT_STRETCHES = 120_000  # in each of two generations
+CHUNK = 50_000  # characters of new stretches tokenized as one text
+SHIFT = 40
+KEPT_STRETCHES = 160_000  # in each of two generations
 MAX_STRETCH = 64  # characters of a stretch that is kept
 MAX_PAIRS = 4_000_000
 HELD_PAIRS = 1_000_000
-CUT = re.compile(r"(?<!\s)(?= )")
 
 
 def byte_of_sign() -> dict[str, int]:
@@ -61,8 +61,27 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _byte_reach(text: str) -> np.ndarray:
+    """Bytes before each character of a text, and before its end."""
+    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+    wide = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.append(0, np.cumsum(wide))
+
+
+def _refined(stops: np.ndarray, coarse: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Byte where each token ends: what its span says, or, where the span is `coarse`, the end of the
+    token before and the token's own bytes."""
+    by_bytes = np.cumsum(widths)
+    place = np.where(coarse, -1, np.arange(len(stops)))
+    last = np.maximum.accumulate(place) if len(place) else place
+    shift = np.where(last >= 0, stops[last] - by_bytes[last], 0)
+    return by_bytes + shift
+
+
 class Aligner:
-    """Both tokenizers and what they have aligned so far."""
+    """Both tokenizers and what they have aligned so far. An alignment is a tuple: the groups as
+    bytes, the id pair of every link as `a * width + b`, and the tokens of both sides and the groups
+    in one number, SHIFT bits each."""
 
     def __init__(self, byte_level: str, pieces: bytes):
         import sentencepiece
@@ -72,16 +91,25 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         signs = byte_of_sign()
+        n_a, self.width = self.a.get_vocab_size(), self.b.get_piece_size()
         self.a_bytes = [
-            bytes(signs[c] for c in self.a.id_to_token(i) or "" if c in signs)
-            for i in range(self.a.get_vocab_size())
+            bytes(signs[c] for c in self.a.id_to_token(i) or "" if c in signs) for i in range(n_a)
         ]
-        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        names = [self.b.id_to_piece(i) for i in range(self.width)]
+        self.b_spelled = np.array([self.b.is_byte(i) for i in range(self.width)])
         self.b_bytes = [
-            bytes([int(n[1:-1], 16)]) if self.b.is_byte(i) else n.replace(SPACE_MARK, " ").encode()
-            for i, n in enumerate(names)
+            bytes([int(n[1:-1], 16)]) if spelled else n.replace(SPACE_MARK, " ").encode()
+            for n, spelled in zip(names, self.b_spelled.tolist())
         ]
-        self.width = len(names)
+        self.a_widths, self.b_widths = (
+            np.array([len(x) for x in side], dtype=np.int64) for side in (self.a_bytes, self.b_bytes)
+        )
+        most = max(n_a, self.width)
+        self.code_type = np.int32 if n_a * self.width < 2**31 else np.int64
+        # Decimal digits of every id, right-aligned, and which of them are shown.
+        digits = len(str(most))
+        self.digits = np.array([list(str(i).zfill(digits).encode()) for i in range(most)], np.uint8)
+        self.shown = np.arange(digits) >= digits - np.array([[len(str(i))] for i in range(most)])
         before = json.loads(byte_level)["pre_tokenizer"] or {}
         self.cuts = (
             before.get("type") == "ByteLevel"
@@ -91,63 +119,103 @@ class Aligner:
         )
         self.known = Recent(self._stretches, KEPT_STRETCHES)
 
-    def _ends_a(self, encoding, text: str) -> list[int] | None:
-        """Byte where each token ends; None where the tokens' bytes do not join to the text."""
-        raw = [self.a_bytes[i] for i in encoding.ids]
-        if b"".join(raw) != text.encode():
+    def _tokens_a(self, text: str, raw: bytes, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and the byte where each ends; None where their bytes do not join to the text."""
+        coded = self.a.encode(text, add_special_tokens=False)
+        if b"".join(map(self.a_bytes.__getitem__, coded.ids)) != raw:
             return None
-        spans = encoding.offsets
-        reach = None if text.isascii() else [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        ends, end = [], 0
-        for i, (_, stop) in enumerate(spans):
-            shared = i + 1 < len(spans) and spans[i + 1][0] < stop
-            end = end + len(raw[i]) if shared else (stop if reach is None else reach[stop])
-            ends.append(end)
-        return ends
-
-    def _ends_b(self, proto, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids, and byte where each ends in the text, whose first space the model adds itself."""
-        ids = [p.id for p in proto.pieces]
-        raw = [self.b_bytes[i] for i in ids]
-        if b"".join(raw) != text.encode():
+        ids = np.array(coded.ids, dtype=np.int64)
+        spans = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)
+        stops = spans[:, 1]
+        # The tokens of one character have its span in common.
+        shared = np.append(spans[1:, 0] < stops[:-1], False)
+        if reach is not None:
+            stops = reach[stops]
+        return ids, _refined(stops, shared, self.a_widths[ids])
+
+    def _tokens_b(self, text: str, raw: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same; the model adds the text's first space itself."""
+        found = self.b.encode(text[1:], return_type="proto").pieces
+        listed = [p.id for p in found]
+        if b"".join(map(self.b_bytes.__getitem__, listed)) != raw:
             return None
-        ends, end = [], 0
-        for i, piece in enumerate(proto.pieces):
-            end = end + len(raw[i]) if self.b.is_byte(piece.id) else piece.end + 1
-            ends.append(end)
-        return ids, ends
-
-    def align(self, texts: list[str]) -> list[tuple | None]:
-        """For each text that begins with a space: groups as text, tokens of both sides, groups and
-        the id pair of every link as `a * width + b`; None where a side's bytes do not join to it."""
-        coded = self.a.encode_batch(texts, add_special_tokens=False)
-        protos = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
-        return [self._aligned(*x) for x in zip(texts, coded, protos)]
-
-    def _aligned(self, text: str, encoding, proto) -> tuple | None:
-        a_ends, b_side = self._ends_a(encoding, text), self._ends_b(proto, text)
-        if a_ends is None or b_side is None:
+        ids = np.array(listed, dtype=np.int64)
+        stops = np.fromiter((p.end for p in found), dtype=np.int64, count=len(ids)) + 1
+        return ids, _refined(stops, self.b_spelled[ids], self.b_widths[ids])
+
+    def align(self, stretches: list[str]) -> list[tuple] | None:
+        """Alignment of each of some stretches, which all begin with a space, taken as one text;
+        None where a side's bytes do not join to it, or tokens reach over two stretches."""
+        text = "".join(stretches)
+        raw = text.encode()
+        reach = None if text.isascii() else _byte_reach(text)
+        left, right = self._tokens_a(text, raw, reach), self._tokens_b(text, raw)
+        if left is None or right is None:
             return None
-        a_ids, (b_ids, b_ends) = encoding.ids, b_side
-        groups, links = [], []
-        i = j = a_first = b_first = 0
-        while i < len(a_ids) and j < len(b_ids):
-            links.append(a_ids[i] * self.width + b_ids[j])
-            a_end, b_end = a_ends[i], b_ends[j]
-            i += a_end <= b_end
-            j += b_end <= a_end
-            if a_end == b_end:
-                left, right = a_ids[a_first:i], b_ids[b_first:j]
-                groups.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
-                a_first, b_first = i, j
-        codes = np.array(links, dtype=np.int64).tobytes()
-        return ";".join(groups), len(a_ids), len(b_ids), len(groups), codes
+        (a_ids, a_ends), (b_ids, b_ends) = left, right
+        cuts = np.union1d(a_ends, b_ends)
+        a_at, b_at = np.searchsorted(a_ends, cuts), np.searchsorted(b_ends, cuts)
+        codes = (a_ids[a_at] * self.width + b_ids[b_at]).astype(self.code_type)
+        common = cuts[(a_ends[a_at] == cuts) & (b_ends[b_at] == cuts)]
+        stops = np.cumsum(np.fromiter(map(len, stretches), dtype=np.int64, count=len(stretches)))
+        if reach is not None:
+            stops = reach[stops]
+        n_groups = np.searchsorted(common, stops, "right")
+        if not np.array_equal(common[n_groups - 1], stops):
+            return None
+        # Groups of the tokens; the tokens of a group stand together, those of A first.
+        a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        a_many, b_many = np.bincount(a_group), np.bincount(b_group)
+        order = np.empty(len(a_ids) + len(b_ids), dtype=np.int64)
+        a_place = np.arange(len(a_ids)) + (np.cumsum(b_many) - b_many)[a_group]
+        b_place = np.arange(len(b_ids)) + np.cumsum(a_many)[b_group]
+        order[a_place], order[b_place] = a_ids, b_ids
+        signs = np.full(len(order), ord(","), dtype=np.uint8)
+        signs[a_place[a_ends == common[a_group]]] = ord("|")
+        signs[b_place[b_ends == common[b_group]]] = ord(";")
+        written = np.column_stack([self.digits[order], signs])
+        shown = np.column_stack([self.shown[order], np.ones(len(order), dtype=bool)])
+        groups = written[shown].tobytes()
+        written_to = np.append(0, np.cumsum(shown.sum(axis=1)))
+        n_a, n_b, n_cuts = (np.searchsorted(x, stops, "right") for x in (a_ends, b_ends, cuts))
+        ends = written_to[n_a + n_b]
+        packed = codes.tobytes()
+        size = codes.itemsize
+        counts = [np.diff(x, prepend=0).tolist() for x in (n_a, n_b, n_groups)]
+        return [
+            (groups[a : b - 1], packed[c * size : d * size], x + (y << SHIFT) + (z << 2 * SHIFT))
+            for a, b, c, d, x, y, z in zip(
+                np.append(0, ends[:-1]).tolist(),
+                ends.tolist(),
+                np.append(0, n_cuts[:-1]).tolist(),
+                n_cuts.tolist(),
+                *counts,
+            )
+        ]
+
+    def _each(self, stretches: list[str]) -> list[tuple]:
+        """Alignment of each stretch; an empty tuple where its bytes do not come back."""
+        if not stretches:
+            return []
+        found = self.align(stretches)
+        if found is None and len(stretches) > 1:
+            half = len(stretches) // 2
+            return self._each(stretches[:half]) + self._each(stretches[half:])
+        return [()] if found is None else found
 
     def _stretches(self, stretches: list[str]) -> list[tuple]:
-        """An empty tuple for a stretch that cannot stand alone."""
-        single = [s for s in stretches if s and not s[-1].isspace()]
-        found = dict(zip(single, self.align([" " + s for s in single])))
-        return [found.get(s) or () for s in stretches]
+        """The same for stretches without their space; an empty tuple also for one that runs of white
+        space belong to."""
+        alone = [s for s in stretches if s and not s[-1].isspace()]
+        found: dict[str, tuple] = {}
+        first = held = 0
+        for i, s in enumerate(alone, 1):
+            held += len(s)
+            if held > CHUNK or i == len(alone):
+                some = alone[first:i]
+                found.update(zip(some, self._each([" " + s for s in some])))
+                first, held = i, 0
+        return [found.get(s, ()) for s in stretches]
 
     def documents(self, texts: list[str | None]) -> list[tuple | None]:
         """The same for whole texts without their first space; None without tokens."""
@@ -160,24 +228,12 @@ class Aligner:
         return [self._document(t, s, known) if t else None for t, s in zip(texts, split)]
 
     def _document(self, text: str, split: list[str], known: dict) -> tuple | None:
-        parts = [known[s] for s in split]
+        parts = list(map(known.__getitem__, split))
         if not parts or () in parts:
-            return self._by_cuts(" " + text)
-        fragments, n_a, n_b, n_groups, codes = zip(*parts)
-        return ";".join(fragments), sum(n_a), sum(n_b), sum(n_groups), b"".join(codes)
-
-    def _by_cuts(self, text: str) -> tuple | None:
-        """A text with runs of white space, or with bytes that do not come back."""
-        if self.cuts:
-            stretches = CUT.split(text)
-            if stretches[0] == "":
-                del stretches[0]
-            if all(s != " " for s in stretches):
-                parts = self.align(stretches)
-                if None not in parts:
-                    fragments, n_a, n_b, n_groups, codes = zip(*parts)
-                    return ";".join(fragments), sum(n_a), sum(n_b), sum(n_groups), b"".join(codes)
-        return self.align([text])[0]
+            found = self.align([" " + text])
+            return found and found[0]
+        groups, codes, counts = zip(*parts)
+        return b";".join(groups), b"".join(codes), sum(counts)
 
 
 STORED = (
@@ -263,11 +319,13 @@ def _aligned_rows(name: str, sent):
         for ids, texts in _portions(batches):
             out = []
             for doc_id, found in zip(ids, aligner.documents(texts)):
-                groups, n_a, n_b, n_groups, packed = found or ("", 0, 0, 0, b"")
-                codes, times = np.unique(np.frombuffer(packed, dtype=np.int64), return_counts=True)
+                groups, packed, counts = found or (b"", b"", 0)
+                links = np.frombuffer(packed, dtype=aligner.code_type)
+                codes, times = np.unique(links, return_counts=True)
                 sums.add(codes, times)
-                digest = hashlib.sha256(groups.encode()).hexdigest() if found else ""
-                out.append((row, doc_id, n_a, n_b, n_groups, len(packed) // 8, digest, codes, times))
+                digest = hashlib.sha256(groups).hexdigest() if found else ""
+                n_a, n_b, n_groups = (counts >> k * SHIFT & (1 << SHIFT) - 1 for k in range(3))
+                out.append((row, doc_id, n_a, n_b, n_groups, len(links), digest, codes, times))
                 row += 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*out), _STORED_ARROW)], schema=_STORED_ARROW
