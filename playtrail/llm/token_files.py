@@ -9,7 +9,8 @@ files, one number per file.
 
 Every distinct word between ASCII white space is encoded once per worker and looked up afterwards.
 That gives the ids of the whole text for tokenizers that never look across white space, as the one
-used here; the tests compare.
+used here; the tests compare. A tokenizer that does, or that lacks the control token put between words,
+is refused.
 
 Defined results: a null or empty text has the end id only; documents of equal id follow each other
 in the order of a hash of their text, repeated ones each with their own row; a null id comes first;
@@ -41,6 +42,7 @@ PORTION = 2_000_000  # bytes of text encoded at a time
 MAX_WORDS = 1_000_000
 END_WORD = b"\xff"  # no UTF-8 text holds this byte
 BETWEEN = "<|endoftext|>"
+PROBE = ("a", "Word", "12", "x,y")
 
 BLOCK = (
     "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, "
@@ -60,18 +62,49 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(source)
         self.between, self.between_id = between, self.tokenizer.token_to_id(between)
-        self.end_id = end_id
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        # Plain letters may be lowered before they are looked up where the tokenizer lowers them.
+        normal = self.tokenizer.normalizer
+        self.lowers = normal is not None and normal.normalize_str("Az") == "az"
+        apart = [self._encoded(word) for word in PROBE]
+        if self.between_id is None or self._encoded(" ".join(PROBE)) != sum(apart, []):
+            raise ValueError("words cannot be encoded one by one with this tokenizer")
         self[END_WORD] = 0
-        self.ids, self.first = array("i", [self.end_id]), array("i", [0, 1])
+        self.ids, self.first = array("i", [end_id]), array("i", [0, 1])
         self.fresh: list[bytes] = []
+        self.used = np.zeros(1, dtype=np.int32)  # portions in which each word was met
+
+    def _encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def make_room(self, most: int) -> None:
+        """Forget the rare words: those met in one portion only, then in two, four and so on, until
+        `most` are left. No id depends on what is kept."""
+        least = 2
+        while (self.used >= least).sum() > most:
+            least *= 2
+        stays = self.used >= least
+        stays[0] = True
+        number = np.cumsum(stays) - 1
+        first, ids = np.frombuffer(self.first, dtype="i4"), np.frombuffer(self.ids, dtype="i4")
+        widths = np.diff(first)
+        kept = ids[np.repeat(stays, widths)]
+        ends = np.append(0, np.cumsum(widths[stays]))
+        words = {w: int(number[n]) for w, n in self.items() if stays[n]}
+        self.ids, self.first = (array("i", x.astype("i4").tobytes()) for x in (kept, ends))
+        self.used = self.used[stays] // 2
+        self.clear()
+        self.update(words)
+
+    def _count(self, numbers: np.ndarray) -> None:
+        more = np.zeros(len(self.first) - 1 - len(self.used), dtype=np.int32)
+        self.used = np.concatenate([self.used, more])
+        seen = np.zeros(len(self.used), dtype=bool)
+        seen[numbers] = True
+        self.used += seen
 
     def __missing__(self, word: bytes) -> int:
-        # The tokenizer lowers all letters; plain ones may be lowered before, but for control tokens.
-        small = word.lower() if word.isascii() and b"<" not in word else word
+        # Control tokens keep their letters.
+        small = word.lower() if self.lowers and word.isascii() and b"<" not in word else word
         if small != word:
             number = self[word] = self[small]
             return number
@@ -102,10 +135,11 @@ class WordIds(dict):
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
         if len(self) > MAX_WORDS:
-            self.reset()
+            self.make_room(MAX_WORDS // 4)
         words = b"".join((text or b"") + b" " + END_WORD + b" " for text in texts).split()
         numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         self._learn()
+        self._count(numbers)
         first, ids = np.frombuffer(self.first, dtype="i4"), np.frombuffer(self.ids, dtype="i4")
         starts = first[numbers]
         widths = first[numbers + 1] - starts

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,6 +56,30 @@ def test_words_give_the_ids_of_whole_texts():
             assert got.tolist() == [*coded.ids, 1]
 
 
+def test_forgotten_words_change_no_id(monkeypatch):
+    """Room for few words: the frequent ones stay, the ids are those of the tokenizer."""
+    monkeypatch.setattr(F, "MAX_WORDS", 120)
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole = Tokenizer.from_file(path)
+    draw = random.Random(2)
+    for k in range(30):
+        often = [f"Common{draw.randrange(12)}" for _ in range(30)]
+        rare = [f"w{draw.randrange(10**9)}" for _ in range(40)]
+        text = " ".join(often + rare + ["<|endoftext|>"])
+        ids, _ = words.encode([text.encode(), None])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1, 1]
+        assert len(words) < 300
+    assert sum(f"common{i}".encode() in words for i in range(12)) == 12
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokenizers_that_look_across_spaces_are_refused(name):
+    with open(public_tokenizers.path(name), encoding="utf-8") as file, pytest.raises(ValueError):
+        F.WordIds(file.read(), 1)
+
+
 def test_files_hold_documents_in_order(spark, documents, tmp_path):
     rows = [(k * 7 % 50, f"text number {k} of some words") for k in range(50)]
     rows += [(None, "no id"), (60, None), (61, "twice"), (61, "twice"), (62, "long " * 50_000)]
