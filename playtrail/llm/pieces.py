@@ -4,8 +4,9 @@ The vocabulary is read from a public SentencePiece file, never trained. Its scor
 ranks of merges; rank r gets the probability of Zipf's law, proportional to 1 / (r + 1).
 
 Texts are cut into pre-tokens: a run of word characters or of other signs, each with the space before
-it and cut after `LONGEST` characters, or a single white-space character. No piece crosses them, so
-each pre-token is a lattice of its own. A character without a piece is written as its UTF-8 bytes. An
+it, or a single white-space character. No piece crosses them, so each pre-token is a lattice of its
+own. A pre-token of more than `LONG` characters, as texts without spaces are, is computed like any
+other, but its prefixes are not kept to be shared. A character without a piece is written as its UTF-8 bytes. An
 extra space stands before every text that is not empty, as usual for such vocabularies; decoding
 takes it away again.
 """
@@ -17,8 +18,10 @@ from array import array
 from dataclasses import dataclass
 from math import exp, inf, log
 
-LONGEST = 48
-_PRE_TOKEN = re.compile(rf" ?\w{{1,{LONGEST}}}| ?[^\w\s]{{1,{LONGEST}}}|\s")
+import numpy as np
+
+LONG = 48
+_PRE_TOKEN = re.compile(r" ?\w+| ?[^\w\s]+|\s")
 # The mark of a space in the vocabulary, and what an unknown character costs more than
 # the rarest piece.
 SPACE = "▁"
@@ -104,6 +107,12 @@ class Trie:
     def insert(self, word: str) -> int:
         """The node where the pre-token ends."""
         children, node, path = self.children, 0, [0]
+        if len(word) > LONG:
+            for end in range(1, len(word) + 1):
+                self.enter(word, path, end)
+                path.append(self.size)
+                self.size += 1
+            return path[-1]
         for end, char in enumerate(word, 1):
             key = node << 21 | ord(char)
             node = children.get(key, 0)
@@ -192,3 +201,43 @@ class SampleTrie(Trie):
             self.piece.append(i)
             self.width.append(width)
         self.reached[-1] = 1.0
+
+    def thin_out(self, wanted: np.ndarray) -> np.ndarray:
+        """Leave only the nodes on the way to `wanted` ones, which are of shared prefixes, and give
+        the new number of every node, or -1. Nothing is computed anew."""
+        many = len(self.children)
+        keys = np.fromiter(self.children.keys(), dtype=np.int64, count=many)
+        nodes = np.fromiter(self.children.values(), dtype=np.int64, count=many)
+        parent, char = (np.zeros(self.size, dtype=np.int64) for _ in range(2))
+        parent[nodes], char[nodes] = keys >> 21, keys & (1 << 21) - 1
+        needed = np.zeros(self.size, dtype=bool)
+        needed[0] = True
+        level = np.unique(wanted)
+        while len(level):
+            level = level[~needed[level]]
+            needed[level] = True
+            level = np.unique(parent[level])
+        kept = np.flatnonzero(needed)
+        number = np.where(needed, np.cumsum(needed) - 1, -1)
+        starts = np.append(np.frombuffer(self.first, dtype="i4"), len(self.reached)).astype(np.int64)
+        width = np.diff(starts)[kept]
+        first = np.cumsum(width) - width
+        edge = np.arange(int(width.sum())) + np.repeat(starts[kept] - first, width)
+        origin = number[np.frombuffer(self.origin, dtype="i4")[edge]] if len(edge) else edge
+        self.children = dict(
+            zip((number[parent[kept[1:]]] << 21 | char[kept[1:]]).tolist(), range(1, len(kept)))
+        )
+        self.forward = _taken(self.forward, kept)
+        self.first = array("i", first.astype("i4").tobytes())
+        self.origin = array("i", origin.astype("i4").tobytes())
+        for name in ("reached", "piece", "width"):
+            setattr(self, name, _taken(getattr(self, name), edge))
+        self.size = len(kept)
+        return number
+
+
+def _taken(values: array, at: np.ndarray) -> array:
+    """Some of the values, in order."""
+    if not len(at):
+        return array(values.typecode)
+    return array(values.typecode, np.frombuffer(values, dtype=values.typecode)[at].tobytes())

@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from playtrail.llm.common import kept, table
-from playtrail.llm.pieces import Pieces, SampleTrie, pre_tokens, read_pieces
+from playtrail.llm.pieces import LONG, Pieces, SampleTrie, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_NODES = 500_000
+MAX_NODES = 800_000
 PIECE_BYTES = 2_000_000  # text sampled at a time
 
 
@@ -54,7 +54,9 @@ class Ends(dict):
         self.trie = trie
 
     def __missing__(self, word: str) -> int:
-        node = self[word] = self.trie.insert(word)
+        node = self.trie.insert(word)
+        if len(word) <= LONG:
+            self[word] = node
         return node
 
 
@@ -64,15 +66,42 @@ class Sampler:
         self.ends = Ends(self.trie)
         self.seed, self.max_nodes = seed, max_nodes
         self.bytes_ = np.array(pieces.bytes_)
+        self.used = np.zeros(1, dtype=np.int32)  # portions of text in which a pre-token ended here
+
+    def _make_room(self) -> None:
+        """Drop the rare pre-tokens of a full trie: those met in one portion only, then in two, four
+        and so on, until it is half empty. No sample depends on what is kept."""
+        nodes = np.fromiter(self.ends.values(), dtype=np.int64, count=len(self.ends))
+        self._count(nodes[:0])
+        times, least = self.used[nodes], 2
+        while (times >= least).sum() > self.max_nodes // 8:
+            least *= 2
+        number = self.trie.thin_out(nodes[times >= least])
+        kept = {w: int(number[n]) for w, n in self.ends.items() if self.used[n] >= least}
+        self.used = self.used[number >= 0] // 2
+        self.ends.clear()
+        if self.trie.size > self.max_nodes // 2:
+            self.trie.clear()
+            self.used = np.zeros(1, dtype=np.int32)
+        else:
+            self.ends.update(kept)
+
+    def _count(self, ends: np.ndarray) -> None:
+        if len(self.used) < self.trie.size:
+            more = np.zeros(self.trie.size - len(self.used), dtype=np.int32)
+            self.used = np.concatenate([self.used, more])
+        seen = np.zeros(self.trie.size, dtype=bool)
+        seen[ends] = True
+        self.used += seen
 
     def encode(self, keys: list[str], texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of every text."""
         if self.trie.size > self.max_nodes:
-            self.trie.clear()
-            self.ends.clear()
+            self._make_room()
         words = [list(map(self.ends.__getitem__, pre_tokens(text))) for text in texts]
         many = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.array([n for w in words for n in w], dtype=np.int32)
+        self._count(ends)
         first = np.concatenate([[0], np.cumsum(many)])
         place = np.arange(len(ends)) - np.repeat(first[:-1], many)
         streams = np.array([xxhash.xxh64_intdigest(k, self.seed) for k in keys], dtype=np.uint64)

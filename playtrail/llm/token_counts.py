@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.llm.common import kept, table, text_udf
-from playtrail.llm.pieces import CountTrie, Pieces, pre_tokens, read_pieces
+from playtrail.llm.pieces import LONG, CountTrie, Pieces, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 MAX_NODES = 700_000
@@ -34,7 +34,9 @@ class TerminalCounts(dict):
         if self.trie.size > self.max_nodes:
             self.trie.clear()
             self.clear()
-        count = self[word] = self.trie.tokens(word)
+        count = self.trie.tokens(word)
+        if len(word) <= LONG:
+            self[word] = count
         return count
 
 

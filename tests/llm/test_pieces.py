@@ -71,6 +71,73 @@ def test_counts_equal_brute_force(pieces):
                 assert counts[word] == best_count(vocabulary, word)
 
 
+def plain_count(pieces, word):
+    """Fewest tokens of a best segmentation, by the usual table over ends."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        options = []
+        for first in range(max(0, end - pieces.longest), end):
+            piece, (score, n) = word[first:end], best[first]
+            if piece in pieces.ids:
+                options.append((score + pieces.scores[piece], -(n + 1)))
+            elif len(piece) == 1:
+                options.append((score + pieces.unknown, -(n + len(utf8(piece)))))
+        score, n = max(options)
+        best.append((score, -n))
+    return best[-1][1]
+
+
+def long_runs():
+    rng = random.Random(4)
+    return {
+        "letters": "".join(rng.choice("etaoinshrdlu") for _ in range(10_000)),
+        "address": "httpswwwexamplecom" * 30,
+        "cjk": "".join(rng.choice("中文字日本語の一二三") for _ in range(10_000)),
+        "signs": "-=/." * 2_500,
+        "one letter": "a" * 10_000,
+        "longer by one": "the" * 16 + "x",
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(long_runs()))
+def test_long_runs_are_not_cut(pieces, kind):
+    run = long_runs()[kind]
+    assert pre_tokens(run.encode()) == [" " + run]
+    count = K.counter(pieces)
+    wanted = plain_count(pieces, " " + run)
+    assert count(run.encode()) == count(run.encode()) == (1, wanted)
+    sharp = S.Sampler(pieces, 0, 1e6).encode(["k", "k"], [run.encode()] * 2)
+    assert sharp[0].tolist() == sharp[1].tolist() and len(sharp[0]) == wanted
+    free = S.Sampler(pieces, 0, 1.0).encode(["k"], [run.encode()])[0]
+    assert S.decoder(pieces)(free.tolist()) == run.encode()
+
+
+def test_count_query_over_a_table(spark, documents, pieces):
+    texts = list(long_runs().values()) + ["the cat sat on the mat", "é" * 60, None, ""]
+    docs = documents(list(enumerate(texts)))
+    got = {r[0]: (r[1], r[2]) for r in docs.select("doc_id", K.token_counts(docs, F.col("text")).alias("c")).select("doc_id", "c.*").collect()}
+    for i, text in enumerate(texts):
+        words = pre_tokens((text or "").encode())
+        assert got[i] == (len(words), sum(plain_count(pieces, w) for w in words))
+
+
+def test_thinning_out_changes_nothing(pieces):
+    """A trie of few nodes that keeps what comes back, against one that never fills."""
+    rng = random.Random(9)
+    often = ["".join(rng.choice("abethé") for _ in range(5)) for _ in range(30)]
+    small, whole = S.Sampler(pieces, 3, 1.0, max_nodes=1500), S.Sampler(pieces, 3, 1.0)
+    sizes = []
+    for k in range(60):
+        rare = ["".join(rng.choice("abethé") for _ in range(7)) for _ in range(60)]
+        text = " ".join(rng.choices(often, k=80) + rare + ["x" * 60]).encode()
+        one, other = (s.encode([str(k)], [text])[0] for s in (small, whole))
+        assert one.tolist() == other.tolist()
+        sizes.append(small.trie.size)
+    assert max(sizes) < 3000 < whole.trie.size
+    kept = sum(" " + w in small.ends for w in often)
+    assert kept > 20
+
+
 def test_count_query_columns(spark, documents, pieces):
     docs = documents([(1, None), (1, None), (None, ""), (2, "the cat " * 20_000), (3, "zé▁")])
     rows = docs.select("doc_id", K.token_counts(docs, F.col("text")).alias("c")).collect()
