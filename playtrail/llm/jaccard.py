@@ -371,15 +371,24 @@ def component_members(docs: DataFrame, percent: int, size: int) -> DataFrame:
     pairs = stored(pairs.distinct(), "pairs1")
     whole = components(verified(pairs, nodes, texts, f"{path}/likely1", percent, size))
     rest = stored(tile_pairs(many, nodes, whole, percent), "pairs2")
-    if not rest.isEmpty():
-        links = verified(rest, nodes, texts, f"{path}/likely2", percent, size)
-        # What the first round tied together is one link each.
-        ties = whole.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        whole = components(ties.unionByName(links))
     members = sets.join(nodes.select("fingerprint", "node"), "fingerprint", "left")
-    return members.join(whole, "node", "left").select(
-        "doc_id", "text_hash", "n", F.coalesce("component", "node").alias("component")
+    members = members.join(whole, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
+    if not rest.isEmpty():
+        links = verified(rest, nodes, texts, f"{path}/likely2", percent, size)
+        # The links between what the first round tied together, if any is left.
+        for end in ("a", "b"):
+            tied = whole.toDF(end, "tied")
+            links = links.join(tied, end, "left").withColumn(end, F.coalesce("tied", end))
+            links = links.drop("tied")
+        links = stored(links.where("a <> b").distinct(), "links2")
+        if not links.isEmpty():
+            merged = components(links).toDF("component", "merged")
+            members = members.join(merged, "component", "left").withColumn(
+                "component", F.coalesce("merged", "component")
+            )
+    return members.select("doc_id", "text_hash", "n", "component")
 
 
 def similar_documents(
