@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import percent2, round2
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, first_rows
+from playtrail.operators.weights import last_at
 from playtrail.sources.schema import LEVEL_COMPLETE, LEVEL_FAIL, SILVER_COIN_ADS, USER
 
 # An outcome is boosted when an ad for the same user and level came at or before it. Of one user's
@@ -21,13 +22,15 @@ CASES = (
 
 
 def _cases(events: DataFrame, filters: Filters) -> DataFrame:
-    name, at = F.col("event_name"), F.col("event_timestamp")
+    name, at, last = F.col("event_name"), F.col("event_timestamp"), last_at(events)
     kinds = events.filter(name.isin(LEVEL_COMPLETE, LEVEL_FAIL, *SILVER_COIN_ADS))
     rows = filters.on_attributes(kinds).filter(F.col("level").isNotNull())
 
     def span(kind: str, label: str) -> list:
-        when = F.when(name == kind, at)
-        return [F.min(when).alias(f"first_{label}"), F.max(when).alias(f"last_{label}")]
+        return [
+            F.min(F.when(name == kind, at)).alias(f"first_{label}"),
+            F.max(F.when(name == kind, last)).alias(f"last_{label}"),
+        ]
 
     per_user = rows.groupBy(USER, "level").agg(
         # Events without a user are one group here but belong to no common user: no boost.

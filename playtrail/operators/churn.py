@@ -7,6 +7,7 @@ from playtrail.functions.numeric import percent2, ratio2, round2
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, first_rows
 from playtrail.operators.levels import completed, failed, level_events
+from playtrail.operators.weights import number
 from playtrail.sources.schema import USER
 
 
@@ -15,8 +16,8 @@ def _per_user_level(events: DataFrame, filters: Filters) -> DataFrame:
         level_events(events, filters)
         .groupBy(USER, "level")
         .agg(
-            F.count_if(failed()).alias("failures"),
-            F.count_if(completed()).alias("completions"),
+            number(events, failed()).alias("failures"),
+            number(events, completed()).alias("completions"),
         )
     )
     return keep_cohort(per_user, events, filters)

@@ -5,19 +5,26 @@ cohort's users, then add up. Counting first means that a user who holds a third
 the join, and the shuffle before it, as a handful of rows.
 """
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from playtrail.operators.filters import Filters
 from playtrail.sources.schema import FIRST_OPEN, USER
 
 
+def is_install(filters: Filters = Filters()) -> Column:
+    """Whether an event counts as an install, whatever its day."""
+    tests = filters.attribute_tests() if filters.cohort_scope == "filtered" else []
+    return reduce(and_, tests, F.col("event_name") == FIRST_OPEN)
+
+
 def user_cohort(events: DataFrame, filters: Filters = Filters()) -> DataFrame:
     """(user_pseudo_id, cohort_date): day of the first install event; users installed in the date
     range, or every user with an install event when there is no range."""
-    opens = events.filter(F.col("event_name") == FIRST_OPEN)
-    if filters.cohort_scope == "filtered":
-        opens = filters.on_attributes(opens)
+    opens = events.filter(is_install(filters))
     if filters.has_cohort:
         # A first install up to `end` is decided by the days up to `end`; later days stay unread.
         opens = opens.filter(F.col("event_date") <= F.lit(filters.end))

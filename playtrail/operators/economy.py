@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import ratio2
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters
+from playtrail.operators.weights import number
 from playtrail.sources.schema import BASE_UPGRADE, BOX_OPENED, USER
 
 
@@ -16,7 +17,7 @@ def booster_boxes(events: DataFrame, filters: Filters = Filters()) -> DataFrame:
     opened = filters.on_attributes(events.filter(F.col("event_name") == BOX_OPENED)).filter(
         F.col("box_id").isNotNull()
     )
-    per_user = opened.groupBy(USER, "box_id").agg(F.count("*").alias("opened"))
+    per_user = opened.groupBy(USER, "box_id").agg(number(events).alias("opened"))
     return (
         keep_cohort(per_user, events, filters)
         .groupBy("box_id")
@@ -34,7 +35,7 @@ def base_station(events: DataFrame, filters: Filters = Filters()) -> DataFrame:
     upgrades = filters.on_attributes(events.filter(F.col("event_name") == BASE_UPGRADE)).filter(
         F.col("skill").isNotNull()
     )
-    per_user = upgrades.groupBy(USER, "skill", "level").agg(F.count("*").alias("upgrades"))
+    per_user = upgrades.groupBy(USER, "skill", "level").agg(number(events).alias("upgrades"))
     return (
         keep_cohort(per_user, events, filters)
         .groupBy("skill", F.col("level").alias("upgrade_level"))

@@ -50,13 +50,19 @@ class Filters:
     def without(self, *names: str) -> Filters:
         return replace(self, **dict.fromkeys(names))
 
-    def on_attributes(self, events: DataFrame) -> DataFrame:
+    def attribute_tests(self) -> list[Column]:
         # Only the empty text and 'all' switch the platform off; a blank one matches nothing.
+        tests = []
         if self.platform and self.platform != ALL:
-            events = events.filter(F.col("platform") == self.platform.upper())
+            tests.append(F.col("platform") == self.platform.upper())
         for column, value in (("country", self.country), ("version", self.version)):
             if _chosen(value) is not None:
-                events = events.filter(F.col(column) == value)
+                tests.append(F.col(column) == value)
+        return tests
+
+    def on_attributes(self, events: DataFrame) -> DataFrame:
+        for test in self.attribute_tests():
+            events = events.filter(test)
         return events
 
     def on_event_date(self, events: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ RULES = (DISTINCT_LEVELS, COMPLETIONS, FROM_FIRST)
 MILESTONES = (100, 250, 500, 750, 1000)
 
 AT = "event_timestamp"
+BEFORE_ALL = -(2**62)
 
 
 def _is(event: str) -> Column:
@@ -102,9 +103,8 @@ def _loadout() -> Column:
     return F.when(_is(LOADOUT), F.struct(AT, "event_id", "unit_names"))
 
 
-def _cells(
-    rows: DataFrame, n: int, rule: str, in_play: Column, loadouts: bool, stop_after: int | None
-) -> DataFrame:
+def summed_cells(rows: DataFrame, in_play: Column, loadouts: bool) -> DataFrame:
+    """Completions and the newest loadout per user, level and slice."""
     moment = F.when(in_play, F.col(AT))
     cells = (
         rows.filter(_is(LEVEL_COMPLETE))
@@ -126,6 +126,23 @@ def _cells(
             .withColumns({"done": F.lit(0).cast("bigint"), "counted": F.lit(0).cast("bigint")})
         )
         cells = cells.unionByName(newest, allowMissingColumns=True)
+    return cells
+
+
+def _cells(
+    rows: DataFrame,
+    n: int,
+    rule: str | None,
+    in_play: Column,
+    loadouts: bool,
+    stop_after: int | None,
+    carried: DataFrame | None,
+) -> DataFrame:
+    cells = summed_cells(rows, in_play, loadouts)
+    if carried is not None:
+        # What the rows' users did before any of the rows is one more, first slice.
+        first = F.lit(BEFORE_ALL).cast("bigint")
+        cells = cells.unionByName(carried.withColumn("slice", first), allowMissingColumns=True)
     user = Window.partitionBy(USER)
     before = user.orderBy("slice").rangeBetween(Window.unboundedPreceding, -1)
     same_level = Window.partitionBy(USER, "level")
@@ -148,6 +165,8 @@ def _cells(
         qualifies = F.count_if("new_level").over(user) >= n
     elif rule == COMPLETIONS:
         qualifies = F.sum(F.when(_has_level(), F.col("done"))).over(user) >= n
+    elif rule is None:
+        qualifies = F.lit(True)
     elif rule == FROM_FIRST:
         qualifies = (F.min(leveled).over(user) == 1) & (F.max(leveled).over(user) >= n)
     else:
@@ -168,23 +187,30 @@ def _cells(
     )
 
 
-def _numbered(
+def journey_rows(events: DataFrame, loadouts: bool = True) -> DataFrame:
+    """The events that journeys are made of."""
+    done = _is(LEVEL_COMPLETE)
+    wanted = done | (_is(LOADOUT) & _has_level()) if loadouts else done
+    return events.filter(wanted & F.col(USER).isNotNull())
+
+
+def numbered_completions(
     events: DataFrame,
     n: int,
-    rule: str,
+    rule: str | None,
     bounded: bool = False,
     loadouts: bool = False,
     stop_after: int | None = None,
     slice_width: int = HOUR,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
-    """Completions of the qualified users with `number`, `previous_at`, `start_at`, `loadout`."""
+    """Completions of the qualified users, of all without a rule, with `number`, `previous_at`,
+    `start_at`, `loadout`. `carried` holds what the users have done before the events, summed by
+    user and level; numbers, times and loadouts then go on from there."""
     done, level = _is(LEVEL_COMPLETE), F.col("level")
-    wanted = done | (_is(LOADOUT) & _has_level()) if loadouts else done
     in_play = level.between(1, n) if bounded else F.lit(True)
-    rows = events.filter(wanted & F.col(USER).isNotNull()).withColumn(
-        "slice", slice_of(F.col(AT), slice_width)
-    )
-    cells = _cells(rows, n, rule, in_play, loadouts, stop_after)
+    rows = journey_rows(events, loadouts).withColumn("slice", slice_of(F.col(AT), slice_width))
+    cells = _cells(rows, n, rule, in_play, loadouts, stop_after, carried)
     # Levels meet null-safe: a completion without a level is numbered too.
     same_cell = (
         (F.col(USER) == F.col("cell_user"))
@@ -231,7 +257,7 @@ def user_level_progression(
     them; these come in time order.
     """
     chosen = _chosen(events, min_levels, DISTINCT_LEVELS, users, sample, seed)
-    numbered = _numbered(chosen, min_levels, DISTINCT_LEVELS, slice_width=slice_width)
+    numbered = numbered_completions(chosen, min_levels, DISTINCT_LEVELS, slice_width=slice_width)
     moment = to_timestamp_ntz(F.col(AT))
     journeys = numbered.select(
         USER,
@@ -247,7 +273,7 @@ def user_level_progression(
     return _in_order(journeys, "level_completion_number", users, sample)
 
 
-def _timeline(numbered: DataFrame) -> DataFrame:
+def timeline(numbered: DataFrame) -> DataFrame:
     moment = to_timestamp_ntz(F.col(AT))
     since_start = elapsed(F.col(AT), F.col("start_at"))
     return numbered.select(
@@ -278,10 +304,10 @@ def time_to_n_levels(
     """First n completions, replays included, of the users with n different levels; each with the
     newest loadout at or before it for the same level."""
     chosen = _chosen(events, n, DISTINCT_LEVELS, users, sample, seed)
-    numbered = _numbered(
+    numbered = numbered_completions(
         chosen, n, DISTINCT_LEVELS, loadouts=True, stop_after=n, slice_width=slice_width
     )
-    return _in_order(_timeline(numbered), "completion_number", users, sample)
+    return _in_order(timeline(numbered), "completion_number", users, sample)
 
 
 def time_to_n_levels_from_first(
@@ -295,10 +321,10 @@ def time_to_n_levels_from_first(
     """The same for the users who started at level 1 and reached level n: all their completions of
     the levels 1 to n."""
     chosen = _chosen(events, n, FROM_FIRST, users, sample, seed)
-    numbered = _numbered(
+    numbered = numbered_completions(
         chosen, n, FROM_FIRST, bounded=True, loadouts=True, slice_width=slice_width
     )
-    return _in_order(_timeline(numbered), "completion_number", users, sample)
+    return _in_order(timeline(numbered), "completion_number", users, sample)
 
 
 def milestone_summary(
@@ -313,7 +339,7 @@ def milestone_summary(
     """One row per user with n completions: time from the first to the n-th and to each milestone.
     The mean is over n, not over the n - 1 gaps."""
     chosen = _chosen(events, n, COMPLETIONS, users, sample, seed)
-    numbered = _numbered(
+    numbered = numbered_completions(
         chosen, n, COMPLETIONS, stop_after=max(n, *milestones), slice_width=slice_width
     )
     marks = sorted({1, n, *milestones})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import percent2, round2
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, first_rows
+from playtrail.operators.weights import number, timed
 from playtrail.sources.schema import LEVEL_COMPLETE, LEVEL_FAIL, USER
 
 
@@ -26,17 +27,17 @@ def level_events(events: DataFrame, filters: Filters) -> DataFrame:
 def _per_user_level(events: DataFrame, filters: Filters) -> DataFrame:
     """One row per user and level with everything the level reports add up: the log is read and
     shuffled once, and the rows of a hot level or a hot user are summed before the shuffle."""
-    seconds = F.col("duration_seconds")
+    seconds, with_time = F.col("duration_seconds"), timed(events)
     per_user = (
         level_events(events, filters)
         .groupBy(USER, "level")
         .agg(
-            F.count("*").alias("attempts"),
-            F.count_if(completed()).alias("done"),
+            number(events).alias("attempts"),
+            number(events, completed()).alias("done"),
             F.sum(F.when(completed(), seconds)).alias("done_seconds"),
-            F.count(F.when(completed(), seconds)).alias("done_timed"),
+            F.sum(F.when(completed(), with_time).otherwise(0)).alias("done_timed"),
             F.sum(F.when(failed(), seconds)).alias("fail_seconds"),
-            F.count(F.when(failed(), seconds)).alias("fail_timed"),
+            F.sum(F.when(failed(), with_time).otherwise(0)).alias("fail_timed"),
         )
     )
     return keep_cohort(per_user, events, filters)

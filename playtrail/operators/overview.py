@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from playtrail.operators.cohort import keep_cohort
 from playtrail.operators.filters import Filters, first_rows, name_matches
 from playtrail.operators.levels import average_completion_rate, level_analysis
+from playtrail.operators.weights import number
 from playtrail.sources.schema import (
     BOX_OPENED,
     LEVEL_COMPLETE,
@@ -35,7 +36,7 @@ def overall_stats(events: DataFrame, filters: Filters = Filters()) -> DataFrame:
     per_user = (
         filters.on_attributes(events)
         .groupBy(USER)
-        .agg(*[F.count_if(test).alias(label) for label, test in wanted.items()])
+        .agg(*[number(events, test).alias(label) for label, test in wanted.items()])
     )
     kept = keep_cohort(per_user, events, filters)
     sums = [
@@ -91,8 +92,8 @@ def overview(
         filters.on_attributes(events)
         .groupBy(USER)
         .agg(
-            F.count_if(name_matches(REWARDED_AD_PATTERN) & on_day).alias("ads"),
-            F.count_if(name == LEVEL_COMPLETE).alias("completions"),
+            number(events, name_matches(REWARDED_AD_PATTERN) & on_day).alias("ads"),
+            number(events, name == LEVEL_COMPLETE).alias("completions"),
         )
     )
     totals = keep_cohort(per_user, events, filters).agg(

@@ -6,8 +6,9 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from playtrail.operators.cohort import user_cohort
+from playtrail.operators.cohort import is_install, user_cohort
 from playtrail.operators.filters import Filters, first_rows, name_matches, row_limit
+from playtrail.operators.weights import number
 from playtrail.sources.schema import AD_FORMATS, AD_IMPRESSION, USER
 
 # The day offsets and the number of install days that are reported, and the shares of
@@ -24,37 +25,40 @@ def _matrix(
     counted kind, of the first `limit` install days.
 
     Events are summed per user and day, which leaves at most one row per day of the log for the
-    busiest user; with that grain every later count is a plain sum. The cohort cuts the users by a
-    semi-join, which Spark moves below the sum, to the scan, where the cohort is small enough to
-    broadcast; its dates are attached afterwards. A user is active on the install day by the install
-    itself, so cohort_size is the users at offset 0 and the cohort needs no outer join. An install
-    day whose only installs carry no user id has no cohort and no row. Events of the user count
-    whatever their platform, country or version; the filters choose the installs only.
+    busiest user; with that grain every later count is a plain sum. The same rows say on which days
+    the user installed, and the first of these is the cohort date: a minimum over the user's rows,
+    so the cohort is not joined for it. Only a date range joins the cohort, once, by a semi-join,
+    which Spark moves below the sum, to the scan, where the cohort is small enough to broadcast. A
+    user is active on the install day by the install itself, so cohort_size is the users at offset
+    0. An install day whose only installs carry no user id has no cohort and no row. Events of the
+    user count whatever their platform, country or version; the filters choose the installs only.
+
+    Over the activity table of `sources.activity`, whose rows stand for `events` events each and are
+    bucketed by user, all of this happens where the rows lie; only the sums per install day move.
     """
-    cohort = user_cohort(events, filters)
     days = row_limit(limit, DAYS_SHOWN)
-    known = events.filter(F.col("event_name").isNotNull())
+    known = events.filter(F.col("event_name").isNotNull() & F.col(USER).isNotNull())
     # Days outside every offset of every install day shown are not read.
     span = max(DAY_OFFSETS)
     if filters.has_cohort:
         last = filters.end + timedelta(days=span)
         known = known.filter(F.col("event_date").between(F.lit(filters.start), F.lit(last)))
+        known = known.join(user_cohort(events, filters).select(USER), USER, "left_semi")
     elif days is not None:
         # The last install day shown is known from the installs alone.
-        shown = cohort.filter(F.col(USER).isNotNull()).select("cohort_date").distinct()
+        cohort = user_cohort(events, filters).filter(F.col(USER).isNotNull())
+        shown = cohort.select("cohort_date").distinct()
         newest = shown.orderBy("cohort_date").limit(days).agg(F.max("cohort_date")).scalar()
         known = known.filter(F.col("event_date") <= F.date_add(newest, span))
-        cohort = cohort.filter(F.col("cohort_date") <= newest)
     daily = known.groupBy(USER, "event_date").agg(
-        *[F.count_if(test).alias(label) for label, test in counted.items()]
-    )
-    offset = F.datediff("event_date", "cohort_date")
-    cells = (
-        daily.join(cohort.select(USER), USER, "left_semi")
-        .join(cohort, USER)
-        .select(F.col("cohort_date").alias("install_date"), offset.alias("offset"), *counted)
-        .filter(F.col("offset").isin(*DAY_OFFSETS))
+        F.count_if(is_install(filters)).alias("installs"),
+        *[number(events, test).alias(label) for label, test in counted.items()],
     )
+    installed = F.when(F.col("installs") > 0, F.col("event_date"))
+    dated = daily.withColumn("install_date", F.min(installed).over(Window.partitionBy(USER)))
+    cells = dated.select(
+        "install_date", F.datediff("event_date", "install_date").alias("offset"), *counted
+    ).filter(F.col("offset").isin(*DAY_OFFSETS))
     sums = [F.count_if(F.col("offset") == 0).alias("cohort_size")]
     for k in DAY_OFFSETS:
         here = F.col("offset") == k

@@ -6,21 +6,30 @@ from pyspark.sql import functions as F
 from playtrail.functions.numeric import ratio2
 from playtrail.functions.texts import clean_loadout, clean_unit_name, split_units
 from playtrail.operators.cohort import keep_cohort
-from playtrail.operators.filters import Filters, first_rows, level_choice
+from playtrail.operators.filters import Filters, first_rows, level_choice, row_limit
+from playtrail.operators.weights import number, times
 from playtrail.sources.schema import LOADOUT, UNIT_UPGRADE, USER
 
 
-def _loadouts(events: DataFrame, filters: Filters, level: int | str | None) -> DataFrame:
-    """Use of each loadout text. Counting before splitting keeps the split to one row per text."""
+def _loadout_events(events: DataFrame, filters: Filters, level: int | str | None) -> DataFrame:
     chosen = level_choice(level)
     starts = filters.on_attributes(events.filter(F.col("event_name") == LOADOUT))
     if chosen is not None:
         starts = starts.filter(F.col("level") == chosen)
-    starts = starts.filter(F.col("unit_names").isNotNull())
+    return starts.filter(F.col("unit_names").isNotNull())
+
+
+def _uses(loadouts: DataFrame, column: str) -> DataFrame:
+    return loadouts.groupBy(column).agg(number(loadouts).alias("uses"))
+
+
+def _loadouts(events: DataFrame, filters: Filters, level: int | str | None) -> DataFrame:
+    """Use of each loadout text. Counting before splitting keeps the split to one row per text."""
+    starts = _loadout_events(events, filters, level)
     # Without a cohort the user is not needed, and a hot loadout is one row per task at once.
     if not filters.has_cohort:
-        return starts.groupBy("unit_names").agg(F.count("*").alias("uses"))
-    per_user = starts.groupBy(USER, "unit_names").agg(F.count("*").alias("uses"))
+        return _uses(starts, "unit_names")
+    per_user = starts.groupBy(USER, "unit_names").agg(number(events).alias("uses"))
     kept = keep_cohort(per_user, events, filters)
     return kept.groupBy("unit_names").agg(F.sum("uses").alias("uses"))
 
@@ -68,6 +77,35 @@ def top_loadouts(
     return _top_loadouts(_loadouts(events, filters, level), k)
 
 
+def top_loadouts_by_hash(
+    events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int | str = 20
+) -> DataFrame:
+    """The same as `top_loadouts`, for logs with very many different loadouts, or long ones.
+
+    First, uses are summed by a hash of the text: 16 bytes a loadout are shuffled instead of the
+    text. The exact uses of the k most used hashes give a bound that the last of the top k reaches
+    at least: the k-th most used text among theirs. Only texts whose hash reaches the bound are then
+    counted as texts. Texts of one hash have no more uses than the hash has, so none of the top k is
+    missed; where fewer than k texts were found, the bound is 0. Three passes over two columns, so it
+    pays where the texts would be most of what is shuffled; where many loadouts tie with the last
+    one, all of these are counted as texts.
+    """
+    count = row_limit(k, 20)
+    loadouts = _loadout_events(events, filters, level)
+    if filters.has_cohort:
+        loadouts = keep_cohort(loadouts, events, filters)
+    if count is None:
+        return _top_loadouts(_uses(loadouts, "unit_names"), k)
+    hashed = loadouts.withColumn("hash", F.xxhash64("unit_names"))
+    per_hash = _uses(hashed, "hash")
+    most_used = per_hash.orderBy(F.desc("uses"), "hash").limit(count).select("hash")
+    first = _uses(hashed.join(most_used, "hash", "left_semi"), "unit_names")
+    best = first.orderBy(F.desc("uses")).limit(count)
+    bound = best.agg(F.when(F.count("*") == count, F.min("uses")).otherwise(F.lit(0))).scalar()
+    able = per_hash.filter(F.col("uses") >= bound).select("hash")
+    return _top_loadouts(_uses(hashed.join(able, "hash", "left_semi"), "unit_names"), k)
+
+
 def unit_loadout(
     events: DataFrame, filters: Filters = Filters(), level: int | str | None = None, k: int | str = 20
 ) -> DataFrame:
@@ -122,8 +160,8 @@ def unit_upgrades(events: DataFrame, filters: Filters = Filters()) -> DataFrame:
         F.col("unit_name").isNotNull() & (F.col("unit_name") != "") & level.isNotNull()
     )
     per_user = upgrades.groupBy(USER, "unit_name").agg(
-        F.count("*").alias("upgrades"),
-        F.sum("level").alias("levels"),
+        number(events).alias("upgrades"),
+        F.sum(level * times(events)).alias("levels"),
         F.min("level").alias("lowest"),
         F.max("level").alias("highest"),
     )

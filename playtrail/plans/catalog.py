@@ -71,6 +71,8 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rewarded_ads_country": lambda ev: ads.rewarded_ads(ev, ONE_COUNTRY),
     "rewarded_ads_totals": lambda ev: ads.rewarded_ads_totals(ads.rewarded_ads(ev)),
     "rewarded_ads_totals_week": lambda ev: ads.rewarded_ads_totals(ads.rewarded_ads(ev, WEEK)),
+    "rewarded_ads_with_totals": lambda ev: ads.rewarded_ads_with_totals(ev),
+    "rewarded_ads_with_totals_week": lambda ev: ads.rewarded_ads_with_totals(ev, WEEK),
     "rewarded_ads_by_install": lambda ev: ads.rewarded_ads_by_install(ev, WEEK_IOS_ANY),
     "rewarded_ads_labels": lambda ev: ads.ad_labels(ads.rewarded_ads(ev)),
     "total_rewarded_ads": lambda ev: ads.total_rewarded_ads(ads.rewarded_ads(ev)),
@@ -96,6 +98,7 @@ REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     # units
     "unit_frequency": lambda ev: units.unit_frequency(ev),
     "top_loadouts": lambda ev: units.top_loadouts(ev),
+    "top_loadouts_by_hash": lambda ev: units.top_loadouts_by_hash(ev),
     "unit_loadout": lambda ev: units.unit_loadout(ev),
     "unit_loadout_week": lambda ev: units.unit_loadout(ev, WEEK),
     "unit_loadout_level": lambda ev: units.unit_loadout(ev, level="10"),

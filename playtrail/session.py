@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +58,14 @@ def local_session(cores: int | None = None, app: str = "playtrail") -> SparkSess
 def checkpoint_root(spark: SparkSession) -> str | None:
     """Shared folder the cluster names for checkpoints, or None where it names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a job writes and reads again: below the cluster's folder for
+    checkpoints, or, on one machine without one, below a temporary folder."""
+    root = checkpoint_root(spark)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("no folder that all executors see: set spark.checkpoint.dir")
+        root = tempfile.mkdtemp(prefix="playtrail-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,0 +1,175 @@
+"""Loads that replace themselves, and the merging of their folders."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+from small import rows
+
+from playtrail.sources import events as E
+from playtrail.sources import loads as merging
+from playtrail.sources.folders import folder_states
+from playtrail.sources.sample_tables import sample_events
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def log(spark):
+    days = F.col("event_date") <= "2024-01-06"
+    return sample_events(spark, SF).filter(days).cache()
+
+
+def part(log, k, of=4):
+    return log.filter(F.col("event_id") % of == k)
+
+
+def fill(log, path, of=4):
+    for k in range(of):
+        E.write_flat_events(part(log, k, of), path, f"load-{k}")
+
+
+def stored(spark, path):
+    return rows(E.read_flat_events(spark, path))
+
+
+def folders(path):
+    return sorted(p.name for p in path.glob("event_date=*/load_id=*"))
+
+
+def test_a_corrected_load_takes_back_its_days(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    fill(log, path)
+    fewer = part(log, 1).filter("event_date in ('2024-01-02', '2024-01-04')")
+    E.write_flat_events(fewer, path, "load-1")
+    wanted = log.filter("event_id % 4 <> 1").unionByName(fewer)
+    assert stored(spark, path) == rows(wanted)
+    E.write_flat_events(part(log, 1), path, "load-1")
+    assert stored(spark, path) == rows(log)
+    E.write_flat_events(log.limit(0), path, "load-1")
+    assert stored(spark, path) == rows(log.filter("event_id % 4 <> 1"))
+
+
+def test_load_ids(spark, log, tmp_path):
+    for bad in ("", "a/b", "a b", "x=1", "merged-1"):
+        with pytest.raises(ValueError):
+            E.write_flat_events(log.limit(1), str(tmp_path / "flat"), bad)
+
+
+def test_merging_keeps_the_rows_and_bounds_the_files(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    fill(log, path)
+    before = stored(spark, path)
+    assert len(folders(tmp_path / "flat")) == 24
+    assert merging.merge_loads(spark, path) == [f"2024-01-{d:02d}" for d in range(1, 7)]
+    assert stored(spark, path) == before
+    assert len(folders(tmp_path / "flat")) == 6
+    files = folder_states(spark, path).agg(F.sum("files")).first()[0]
+    assert files == 6
+    names = spark.read.parquet(path).filter("event_date = '2024-01-02'").select("event_name")
+    found = [r[0] for r in names.collect()]
+    assert found == sorted(found)
+    assert merging.merge_loads(spark, path) == []
+
+
+def test_some_days_and_later_loads(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    fill(part(log, 0, 2), path)
+    assert merging.merge_loads(spark, path, [dt.date(2024, 1, 2)]) == ["2024-01-02"]
+    assert len(folders(tmp_path / "flat")) == 11
+    E.write_flat_events(part(log, 1, 2), path, "later")
+    assert stored(spark, path) == rows(log)
+    assert "2024-01-02" in merging.merge_loads(spark, path)
+    assert stored(spark, path) == rows(log)
+    assert len(folders(tmp_path / "flat")) == 6
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_a_merged_load_can_be_repeated(spark, log, tmp_path, rounds):
+    path = str(tmp_path / "flat")
+    fill(log, path)
+    for _ in range(rounds):
+        merging.merge_loads(spark, path)
+        E.write_flat_events(part(log, 2), path, "load-2")
+        assert stored(spark, path) == rows(log)
+    fewer = part(log, 2).filter("event_date = '2024-01-03'")
+    E.write_flat_events(fewer, path, "load-2")
+    wanted = log.filter("event_id % 4 <> 2").unionByName(fewer)
+    assert stored(spark, path) == rows(wanted)
+    merging.merge_loads(spark, path)
+    assert stored(spark, path) == rows(wanted)
+
+
+def test_a_load_that_is_all_of_a_merged_folder(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    fill(log, path, 2)
+    merging.merge_loads(spark, path)
+    for k in range(2):
+        E.write_flat_events(log.limit(0), path, f"load-{k}")
+    assert E.read_flat_events(spark, path).count() == 0 if folders(tmp_path / "flat") else True
+    E.write_flat_events(log, path, "load-0")
+    assert stored(spark, path) == rows(log)
+
+
+@pytest.mark.parametrize("stop", ["write_text", "move", "remove"])
+@pytest.mark.parametrize("after", [0, 1, 3])
+def test_stopped_at_any_step(spark, log, tmp_path, monkeypatch, stop, after):
+    """Readers see every row once, and the next merge finishes the work."""
+    path = str(tmp_path / "flat")
+    fill(log, path)
+    before = stored(spark, path)
+    real, calls = getattr(merging, stop), []
+
+    def failing(*args):
+        calls.append(args)
+        if len(calls) > after:
+            raise OSError("stopped")
+        return real(*args)
+
+    monkeypatch.setattr(merging, stop, failing)
+    with pytest.raises(OSError):
+        merging.merge_loads(spark, path)
+    assert stored(spark, path) == before
+    assert rows(merging.loads(spark, path).groupBy().agg(F.sum("rows"))) == [{"sum(rows)": len(before)}]
+    monkeypatch.setattr(merging, stop, real)
+    merging.merge_loads(spark, path)
+    assert stored(spark, path) == before
+    assert len(folders(tmp_path / "flat")) == 6
+    E.write_flat_events(part(log, 3), path, "load-3")
+    assert stored(spark, path) == before
+
+
+def test_a_day_that_changes_meanwhile_is_left(spark, log, tmp_path, monkeypatch):
+    path = str(tmp_path / "flat")
+    fill(log, path)
+    real, calls = merging.folder_states, []
+
+    def late(spark, *paths):
+        calls.append(paths)
+        if len(calls) == 2:
+            day = part(log, 0).filter("event_date = '2024-01-05'")
+            merging._write_by_day(day.withColumn("load_id", F.lit("load-0")), path, merging.FLAT)
+        return real(spark, *paths)
+
+    monkeypatch.setattr(merging, "folder_states", late)
+    assert "2024-01-05" not in merging.merge_loads(spark, path)
+    assert stored(spark, path) == rows(log)
+
+
+def test_loads_are_listed(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    assert merging.loads(spark, path).count() == 0
+    fill(log, path, 2)
+    merging.merge_loads(spark, path, [dt.date(2024, 1, 2)])
+    got = {(r[0].day, r[1]): (r[2], r[3]) for r in merging.loads(spark, path).collect()}
+    counts = log.groupBy(F.day("event_date"), F.col("event_id") % 2).count().collect()
+    assert got == {(d, f"load-{k}"): (d == 2, n) for d, k, n in counts}
+
+
+def test_rows_without_a_day(spark, log, tmp_path):
+    path = str(tmp_path / "flat")
+    nowhen = log.withColumn("event_date", F.lit(None).cast("date"))
+    fill(nowhen, path)
+    merging.merge_loads(spark, path)
+    E.write_flat_events(part(nowhen, 1), path, "load-1")
+    assert stored(spark, path) == rows(nowhen)

@@ -34,7 +34,7 @@ def test_no_pairwise_joins_no_row_copies_no_python(spark, name):
 
 
 # Windows that see every row at once are allowed on the per-level table, the cells of one matrix
-# and the 20 ranked loadouts.
+# the 20 ranked loadouts, and the rows of the ad table.
 SMALL_WINDOWS = {
     "churn",
     "churn_all",
@@ -45,6 +45,8 @@ SMALL_WINDOWS = {
     "level_retention",
     "cohort_cells",
     "top_loadouts_clean",
+    "rewarded_ads_with_totals",
+    "rewarded_ads_with_totals_week",
 }
 
 
@@ -114,7 +116,7 @@ def test_a_hot_user_is_spread(spark, stored):
     than one slice of them."""
     hot = F.when(F.rand(1) < 0.9, F.lit("hot")).otherwise(F.col("user_pseudo_id"))
     events = stored.withColumn("user_pseudo_id", hot)
-    numbered = journey._numbered(events, 5, journey.DISTINCT_LEVELS)
+    numbered = journey.numbered_completions(events, 5, journey.DISTINCT_LEVELS)
     per_slice = numbered.groupBy("user_pseudo_id", "slice").count().agg(F.max("count")).first()[0]
     total = numbered.count()
     assert total > 100 and per_slice <= 5

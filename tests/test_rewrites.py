@@ -52,7 +52,7 @@ def test_reach(events):
 
 @pytest.mark.parametrize("width", [HOUR, DAY])
 def test_newest_loadout(events, width):
-    numbered = journey._numbered(
+    numbered = journey.numbered_completions(
         events, 1, journey.DISTINCT_LEVELS, loadouts=True, slice_width=width
     )
     got = sorted(

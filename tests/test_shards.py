@@ -1,0 +1,132 @@
+"""Bounds of raw shards: which of them a read of some days opens."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+from small import event, raw, rows
+
+from playtrail.sources import events as E
+from playtrail.sources.sample_tables import raw_sample_events, sample_events
+from playtrail.sources.shards import shards_between, update_bounds
+
+SF = "/root/testdata/sf0.001"
+FEB = dt.date(2024, 2, 1)
+
+
+def put(spark, root, folder, *moments):
+    log = raw(spark, [event("u", "x", m) for m in moments])
+    log.write.mode("append").parquet(f"{root}/{folder}")
+
+
+def days(log):
+    found = E.flatten_events(log).select("event_date").collect()
+    return sorted(r[0].isoformat() for r in found)
+
+
+def opened(log):
+    return sorted({path.rsplit("/", 2)[1] for path in log.inputFiles()})
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    """Five days, the last of which also holds an event of the first, a week late or more."""
+    root = str(tmp_path / "raw")
+    for d in range(1, 6):
+        put(spark, root, f"event_date=2024-01-{d * 2:02d}", f"2024-01-{d * 2:02d} 12:00:00")
+    put(spark, root, "event_date=2024-01-10", "2024-01-02 09:00:00")
+    return root, str(tmp_path / "bounds")
+
+
+def test_a_late_event_is_found_and_other_shards_stay_closed(spark, log):
+    root, bounds = log
+    read = update_bounds(spark, root, bounds)
+    assert read == [f"event_date=2024-01-{d:02d}" for d in (2, 4, 6, 8, 10)]
+    second = dt.date(2024, 1, 2)
+    exact = E.read_events(spark, root, second, second, bounds=bounds)
+    assert days(exact) == ["2024-01-02", "2024-01-02"]
+    assert opened(exact) == ["event_date=2024-01-02", "event_date=2024-01-10"]
+    assert days(E.read_events(spark, root, second, second)) == ["2024-01-02"]
+    everywhere = E.read_events(spark, root, second, second, margin_days=None)
+    assert days(everywhere) == ["2024-01-02", "2024-01-02"]
+    later = E.read_events(spark, root, start=dt.date(2024, 1, 9), bounds=bounds)
+    assert (days(later), opened(later)) == (["2024-01-10"], ["event_date=2024-01-10"])
+    assert days(E.read_events(spark, root, FEB, bounds=bounds)) == []
+    assert days(E.read_events(spark, root, bounds=bounds)) == days(E.read_events(spark, root))
+
+
+def test_changed_and_new_shards_are_read_until_known(spark, log):
+    root, bounds = log
+    update_bounds(spark, root, bounds)
+    put(spark, root, "event_date=2024-01-04", "2024-02-01 01:00:00")
+    put(spark, root, "event_date=2024-01-20", "2024-01-20")
+    late = E.read_events(spark, root, FEB, FEB, bounds=bounds)
+    assert days(late) == ["2024-02-01"]
+    assert opened(late) == ["event_date=2024-01-04", "event_date=2024-01-20"]
+    assert update_bounds(spark, root, bounds) == ["event_date=2024-01-04", "event_date=2024-01-20"]
+    assert update_bounds(spark, root, bounds) == []
+    late = E.read_events(spark, root, FEB, FEB, bounds=bounds)
+    assert (days(late), opened(late)) == (["2024-02-01"], ["event_date=2024-01-04"])
+
+
+def test_a_missing_table_and_a_removed_shard_lose_nothing(spark, log):
+    root, bounds = log
+    second = dt.date(2024, 1, 2)
+    exact = E.read_events(spark, root, second, second, bounds=bounds)
+    assert (days(exact), len(opened(exact))) == (["2024-01-02"] * 2, 5)
+    update_bounds(spark, root, bounds)
+    from playtrail.sources.folders import remove
+
+    remove(spark, f"{root}/event_date=2024-01-02")
+    assert update_bounds(spark, root, bounds) == []
+    exact = E.read_events(spark, root, second, second, bounds=bounds)
+    assert (days(exact), opened(exact)) == (["2024-01-02"], ["event_date=2024-01-10"])
+
+
+def test_events_without_a_time_and_an_empty_log(spark, tmp_path):
+    root, bounds = str(tmp_path / "raw"), str(tmp_path / "bounds")
+    assert update_bounds(spark, root, bounds) == []
+    assert E.read_events(spark, root, FEB, FEB, bounds=bounds).count() == 0
+    put(spark, root, "event_date=2024-02-01", None, None)
+    update_bounds(spark, root, bounds)
+    assert shards_between(spark, root, bounds, 0, None) == []
+    assert E.read_events(spark, root, FEB, bounds=bounds).count() == 0
+
+
+def test_shards_by_folder_name(spark, tmp_path):
+    root, bounds = str(tmp_path / "raw"), str(tmp_path / "bounds")
+    put(spark, root, "events_20240102", "2024-01-02")
+    put(spark, root, "events_20240112", "2024-01-12", "2024-01-02 05:00:00")
+    put(spark, root, "events_intraday_20240113", "2024-01-13")
+    put(spark, root, "events_old_20240102", "2024-01-02")
+    update_bounds(spark, root, bounds, "events_*")
+    second = dt.date(2024, 1, 2)
+    exact = E.read_event_shards(spark, root, second, second, bounds=bounds)
+    assert (days(exact), opened(exact)) == (
+        ["2024-01-02", "2024-01-02"],
+        ["events_20240102", "events_20240112"],
+    )
+    assert days(E.read_event_shards(spark, root, second, second)) == ["2024-01-02"]
+    assert days(E.read_event_shards(spark, root, second, second, margin_days=None)) == ["2024-01-02"] * 2
+    assert days(E.read_event_shards(spark, root, FEB, FEB, bounds=bounds)) == []
+    today = E.read_event_shards(spark, root, start=dt.date(2024, 1, 13), bounds=bounds)
+    assert opened(today) == ["events_intraday_20240113"]
+
+
+def test_any_range_equals_the_whole_log_filtered(spark, tmp_path):
+    """Shards up to nine days off their events."""
+    root, bounds = str(tmp_path / "raw"), str(tmp_path / "bounds")
+    log = raw_sample_events(spark, SF)
+    off = (F.hash("event_id") % 10).cast("int")
+    moved = log.withColumn("event_date", F.date_add("event_date", off))
+    moved.repartition("event_date").write.partitionBy("event_date").parquet(root)
+    update_bounds(spark, root, bounds)
+    for low, high in ((3, 4), (28, None), (None, 1)):
+        start, end = (d and dt.date(2024, 1, d) for d in (low, high))
+        wanted = sample_events(spark, SF)
+        if start:
+            wanted = wanted.filter(F.col("event_date") >= F.lit(start))
+        if end:
+            wanted = wanted.filter(F.col("event_date") <= F.lit(end))
+        exact = E.read_events(spark, root, start, end, bounds=bounds)
+        assert rows(E.flatten_events(exact)) == rows(wanted)
