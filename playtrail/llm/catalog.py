@@ -35,8 +35,8 @@ _QUERIES = {
 QUERIES = {name: shipped(query) for name, query in _QUERIES.items()}
 SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
+    "op5_substring_dedup": passages.OP5_SQL,
     "op7_chat_format": chat.OP7_SQL,
-    "op11_language": language.op11_language,
-    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "op13_source_divergence": divergence.OP13_SQL,
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from playtrail.session import scratch
+
 # Fixed value: the table path of every registered query is `<sf_dir>/<name>.parquet`.
 TABLE = "{dir}/{name}.parquet"
 
@@ -54,17 +56,33 @@ def kept(key, make: Callable[[], object]):
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder below the one the cluster shares for checkpoints; where the session names none
-    (a local test), below a temporary folder of the driver, which then is the only machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="playtrail-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster shares for checkpoints. Where the session names none,
+    it is below a temporary folder on one machine, and an error on a cluster."""
+    return scratch(spark, name)
+
+
+# What stages read and change; all other columns are only handed on.
+STAGE_COLUMNS = ("doc_id", "text", "n_chars")
+
+
+def own_columns(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The same stage, to which columns may have any names: those it does not know get names that
+    none of its own have, and their old ones back."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        inner = [n if n in STAGE_COLUMNS else f"extra_{i}" for i, n in enumerate(names)]
+        return stage(spark, docs.toDF(*inner), sf_dir).select(*inner).toDF(*names)
+
+    return call
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of `df` from a reliable checkpoint, which outlives lost executors."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="playtrail-"))
+        context.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

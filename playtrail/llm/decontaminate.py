@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import table
+from playtrail.llm.common import own_columns, table
 
 WINDOW = 10
 SLICE_WINDOWS = 100_000
@@ -177,6 +177,7 @@ def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@own_columns
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a word in a benchmark window."""
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0")

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import cut_lineage, kept, table, workspace
+from playtrail.llm.common import cut_lineage, kept, own_columns, table, workspace
 from playtrail.llm.components import components
 from playtrail.llm.passages import WordPrints, window_prints
 from playtrail.llm.sampling import mixed
@@ -418,9 +418,10 @@ def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
 STAGE_PERCENT, STAGE_SHINGLE = 80, 5
 
 
+@own_columns
 def stage_jaccard_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component: the first by id, nulls last, then by the text's hash; of rows with
-    the same id and text, the first by all columns. So repeated rows and copies with the same or a
+    the same id and text, the first by all columns as JSON. So repeated rows and copies with the same or a
     null id leave one row, and another text with the id of a removed row stays. Rows without words
     stay, repeated or not. Five words and a similarity of 0.8, as for all near-duplicate stages."""
     members = component_members(docs, STAGE_PERCENT, STAGE_SHINGLE).where("component is not null")
@@ -439,6 +440,39 @@ def stage_jaccard_join(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     single = docs.join(judged, same, "left_anti")
     repeated = docs.join(judged.where("stays"), same).groupBy("id_", "hash_")
-    return single.unionByName(
-        repeated.agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row")).select("row.*")
-    )
+    row = F.struct(*(docs[c] for c in docs.columns))
+    # Maps have no order, their texts do.
+    return single.unionByName(repeated.agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id,
+           regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+places AS (
+    SELECT doc_id, w, least(len(w), 3) AS k, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS p
+    FROM docs WHERE len(w) > 0
+),
+shingles AS (SELECT DISTINCT doc_id, k, list_slice(w, p, p + k - 1) AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * n_both >= 90 * (x.n + y.n - n_both)
+),
+reach AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+),
+least_of AS (SELECT a AS doc_id, min(b) AS first FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(first, doc_id)) AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""

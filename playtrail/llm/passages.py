@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.common import kept, table
+from playtrail.llm.common import kept, own_columns, table
 from playtrail.llm.sampling import mixed
 
 WINDOW = 35
@@ -410,11 +410,43 @@ def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeated(docs).select("doc_id", "passages.*")
 
 
+@own_columns
 def stage_substring_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with what is left of their texts and its length."""
-    left = remove_repeated(docs.withColumnRenamed("passages", "_passages"))
-    changed = F.col("passages.n_removed") > 0
-    left = left.withColumn(
-        "n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    )
-    return left.drop("passages").withColumnRenamed("_passages", "passages").select(docs.columns)
+    """All documents with all their columns; of changed ones what is left of the text, and its
+    length where there is a column `n_chars`."""
+    left = remove_repeated(docs)
+    if "n_chars" in docs.columns:
+        changed = F.when(F.col("passages.n_removed") > 0, F.length("text").cast("bigint"))
+        left = left.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
+    return left.drop("passages")
+
+
+# A word is removed where the last repeated window that begins at or before it reaches it.
+OP5_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS p FROM docs WHERE len(w) >= 35),
+windows AS (SELECT r, p, array_to_string(list_slice(w, p, p + 34), ' ') AS t FROM starts),
+repeated AS (
+    SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY t) AS n FROM windows) WHERE n > 1
+),
+words AS (
+    SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM docs
+),
+marked AS (
+    SELECT words.r, word, i,
+           coalesce(max(p) OVER (PARTITION BY words.r ORDER BY i) >= i - 34, FALSE) AS gone
+    FROM words LEFT JOIN repeated ON repeated.r = words.r AND p = i
+),
+summed AS (
+    SELECT r, count(*) FILTER (gone) AS n_removed,
+           string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+    FROM marked GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN summed USING (r)
+"""

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import labelled_sample, table, text_udf
+from playtrail.llm.common import labelled_sample, own_columns, table, text_udf
 
 # Fixed values of the statistics and base limits.
 SYMBOLS = b"#*$%&|<>"
@@ -283,9 +283,8 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(docs, rules).select("doc_id", *(f"quality.{name}" for name in names))
 
 
+@own_columns
 def stage_quality_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base limits and the learned list keep."""
+    """Documents that the base limits and the learned list keep, with all their columns."""
     rules = fit_quality_rules(docs, table(spark, sf_dir, "labels"))
-    kept = judge(docs.withColumnRenamed("quality", "_quality"), rules)
-    kept = kept.where("quality.kept").drop("quality").withColumnRenamed("_quality", "quality")
-    return kept.select(docs.columns)
+    return judge(docs, rules).where("quality.kept").drop("quality")
