@@ -65,7 +65,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     checkpoints, or, on one machine without one, below a temporary folder."""
     root = checkpoint_root(spark)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("no folder that all executors see: set spark.checkpoint.dir")
         root = tempfile.mkdtemp(prefix="playtrail-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
