@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from playtrail.llm.common import kept, table, workspace
 from playtrail.llm.perfect_hash import PerfectHash, build
-from playtrail.llm.tally import LIMIT, counted_batches, tallies
+from playtrail.llm.tally import counted_batches, tallies
 
 MIN_DOCS = 10
 TOP_TERMS = 10
@@ -44,7 +44,8 @@ SCALE = 10**9
 MAX_KEYS = 4_000_000
 SHARD_KEYS = 20_000
 CELLS = 4_000_000  # counters of one shard's matrix: slots times sources
-SLOT_BYTES = 96 << 20
+LIMIT = 250_000  # terms a task counts before it hands its sums on
+SLOT_BYTES = 64 << 20
 JVM_SEED = 42  # of Spark's xxhash64
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -63,9 +64,9 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _doc_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = (
-        (lang, set(terms(text)))
+        (lang, set(terms(text.as_py())))
         for batch in batches
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"))
     )
     yield from counted_batches(tallies(rows, LIMIT), "lang", "term", pa.binary())
 
@@ -158,9 +159,11 @@ def _recount(name: str, sent, limit: int, slot_bytes: int):
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = kept(("hashes", name), lambda: Hashes(*sent.value))
         rows = (
-            ((lang, source), terms(text))
+            ((lang, source), terms(text.as_py()))
             for batch in batches
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)))
+            for lang, source, text in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+            )
         )
         dense: dict[tuple, np.ndarray] = {}
         held = 0

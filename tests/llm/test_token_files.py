@@ -37,6 +37,7 @@ TEXTS = [
     "日本語 text 123 4,5.6 ...",
     "x" * 3000,
     "the the the",
+    "End. And, it's, x.. y,, z.' 1, é, é. Ａ, a.\u0301 b.\n c,\td.",
     "",
     None,
 ]
