@@ -119,7 +119,9 @@ class Aligner:
         )
         self.known = Recent(self._stretches, KEPT_STRETCHES)
 
-    def _tokens_a(self, text: str, raw: bytes, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray] | None:
+    def _tokens_a(
+        self, text: str, raw: bytes, reach: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and the byte where each ends; None where their bytes do not join to the text."""
         coded = self.a.encode(text, add_special_tokens=False)
         if b"".join(map(self.a_bytes.__getitem__, coded.ids)) != raw:

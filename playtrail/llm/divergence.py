@@ -325,10 +325,12 @@ def _compared_shards(
         portions[-1].append((lang, shard))
         room -= n_keys
     for at, portion in enumerate(portions):
-        (low, high) = portion[0], portion[-1]
         place = F.struct("lang", "shard")
-        ends = [F.struct(F.lit(a).alias("lang"), F.lit(b).cast("bigint").alias("shard")) for a, b in (low, high)]
-        rows = hashes.where((place >= ends[0]) & (place <= ends[1])).drop("n_keys").collect()
+        low, high = (
+            F.struct(F.lit(a).alias("lang"), F.lit(b).cast("bigint").alias("shard"))
+            for a, b in (portion[0], portion[-1])
+        )
+        rows = hashes.where((place >= low) & (place <= high)).drop("n_keys").collect()
         sent = spark.sparkContext.broadcast(
             ([(r[0], r[1], *(bytes(x) for x in r[2:5]), r[5]) for r in rows], shards)
         )

@@ -193,7 +193,8 @@ class Scorer:
         known = self.known.resolve(every)
         known.update(zip(long, self._packed(long)))
         number = {w: i for i, w in enumerate(known)}
-        vectors = np.frombuffer(b"".join(known.values()), dtype=np.int64).reshape(len(number), len(self.model.names))
+        vectors = np.frombuffer(b"".join(known.values()), dtype=np.int64)
+        vectors = vectors.reshape(len(number), len(self.model.names))
         out = []
         for own in split:
             if not own:

@@ -6,9 +6,9 @@ ranks of merges; rank r gets the probability of Zipf's law, proportional to 1 /
 Texts are cut into pre-tokens: a run of word characters or of other signs, each with the space before
 it, or a single white-space character. No piece crosses them, so each pre-token is a lattice of its
 own. A pre-token of more than `LONG` characters, as texts without spaces are, is computed like any
-other, but its prefixes are not kept to be shared. A character without a piece is written as its UTF-8 bytes. An
-extra space stands before every text that is not empty, as usual for such vocabularies; decoding
-takes it away again.
+other, but its prefixes are not kept to be shared. A character without a piece is written as its UTF-8
+bytes. An extra space stands before every text that is not empty, as usual for such vocabularies;
+decoding takes it away again.
 """
 
 from __future__ import annotations
