@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from playtrail.functions.times import HOUR
 from playtrail.operators.journey import (
     AT,
-    DISTINCT_LEVELS,
     journey_rows,
     numbered_completions,
     summed_cells,
