@@ -141,8 +141,7 @@ def stored(spark, log, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", sorted(MATRICES))
-@pytest.mark.parametrize("filters", FILTERS)
-@pytest.mark.parametrize("limit", [5, ALL])
+@pytest.mark.parametrize("filters, limit", [(FILTERS[0], 5), *((f, ALL) for f in FILTERS)])
 def test_matrix_over_activity_equals_that_over_the_log(log, stored, name, filters, limit):
     matrix = MATRICES[name]
     assert rows(matrix(stored, filters, limit)) == rows(matrix(log, filters, limit))
