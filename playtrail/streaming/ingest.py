@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -28,13 +29,16 @@ def ingest(
     name: str = "flat_events",
     checkpoint: str | None = None,
     box_key: str = BOX_KEY,
+    also: Sequence[Callable[[DataFrame, str], None]] = (),
     **trigger,
 ) -> StreamingQuery:
     """Add flattened events to the table at `path`, each file once.
 
     Every micro-batch is a load of its own, written like a batch load and named after the query and
     its number: one that is repeated after a failure replaces itself, and batch loads to the same
-    table stay. Progress is kept under the cluster's checkpoint folder unless `checkpoint` names
+    table stay. `also` names what else takes over each load, as functions of its flat events and its
+    id: `lambda flat, load: update_installs(flat, installs, load)` keeps a cohort table up to date.
+    They run after the flat table has the load and are repeated with it. Progress is kept under the cluster's checkpoint folder unless `checkpoint` names
     another. The default trigger takes what is there and stops; pass
     `processingTime='5 minutes'` to keep on.
     """
@@ -49,7 +53,10 @@ def ingest(
     def load(batch: DataFrame, number: int) -> None:
         # The query's id is kept with its progress, so it is the same after a restart.
         started.wait()
-        write_flat_events(flatten_events(batch, box_key), path, f"{name}-{query[0].id}-{number}")
+        load_id, flat = f"{name}-{query[0].id}-{number}", flatten_events(batch, box_key)
+        write_flat_events(flat, path, load_id)
+        for update in also:
+            update(flat, load_id)
 
     stream = raw.writeStream.queryName(name).foreachBatch(load)
     stream = stream.option("checkpointLocation", checkpoint)

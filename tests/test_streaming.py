@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from small import rows
 
+from playtrail.operators.cohort import user_cohort
+from playtrail.sources import installs, sketches
 from playtrail.sources.events import flatten_events, read_flat_events, write_flat_events
 from playtrail.sources.sample_tables import raw_sample_events, sample_events
 from playtrail.streaming.ingest import ingest, stream_events
@@ -30,6 +32,27 @@ def test_arriving_days_are_appended_once(spark, tmp_path):
     assert rows(stored) == rows(sample_events(spark, SF).drop("event_id"))
 
 
+def test_a_stream_keeps_other_tables_up_to_date(spark, tmp_path):
+    """Installs and sketches of every micro-batch; what they give is that of the whole log."""
+    raw, path, state, kept, users = (
+        str(tmp_path / d) for d in ("raw", "flat", "state", "installs", "users")
+    )
+    log = raw_sample_events(spark, SF).drop("event_id").filter("event_date <= '2024-01-08'")
+    also = [
+        lambda flat, load: installs.update_installs(flat, kept, load),
+        lambda flat, load: sketches.update_sketches(flat, users, load),
+    ]
+    for part in (F.col("event_date") < "2024-01-05", F.col("event_date") >= "2024-01-05"):
+        log.filter(part).write.mode("append").partitionBy("event_date").parquet(raw)
+        stream = stream_events(spark, raw)
+        ingest(stream, path, checkpoint=state, also=also).awaitTermination(120)
+    stored = read_flat_events(spark, path)
+    assert rows(user_cohort(installs.read_installs(spark, kept))) == rows(user_cohort(stored))
+    exact = stored.select("user_pseudo_id").distinct().count()
+    found = sketches.approx_users(sketches.read_sketches(spark, users)).first()[0]
+    assert found == pytest.approx(exact, abs=1)
+
+
 def test_batch_and_stream_share_a_table(spark, tmp_path):
     """Either order keeps all rows, and streamed days have the layout of loaded ones."""
     log = raw_sample_events(spark, SF)
