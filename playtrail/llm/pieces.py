@@ -208,6 +208,7 @@ class SampleTrie(Trie):
         many = len(self.children)
         keys = np.fromiter(self.children.keys(), dtype=np.int64, count=many)
         nodes = np.fromiter(self.children.values(), dtype=np.int64, count=many)
+        self.children = {}  # its memory is needed for the new one
         parent, char = (np.zeros(self.size, dtype=np.int64) for _ in range(2))
         parent[nodes], char[nodes] = keys >> 21, keys & (1 << 21) - 1
         needed = np.zeros(self.size, dtype=bool)
