@@ -32,7 +32,7 @@ from playtrail.llm.common import kept, table
 from playtrail.llm.pieces import LONG, Pieces, SampleTrie, pre_tokens, read_pieces
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_NODES = 400_000
+MAX_NODES = 600_000
 PIECE_BYTES = 2_000_000  # text sampled at a time
 
 
