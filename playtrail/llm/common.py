@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import os
 import shutil
 import tempfile
@@ -50,11 +52,28 @@ def kept(key, make: Callable[[], object]):
     """What this worker has made for the key in an earlier task. It keeps the last one only, so the
     operators of a pipeline do not pile up their tables in one process."""
     if key not in _KEPT:
-        _KEPT.clear()
+        forget()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def forget() -> None:
+    """Drop what this worker has kept, and its memory with it."""
+    if _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system, where the C library can: otherwise the worker holds
+    what its largest task once took, beside all that the executor needs for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder below the one the cluster shares for checkpoints. Where the session names none,
     it is below a temporary folder on one machine, and an error on a cluster."""

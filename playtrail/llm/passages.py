@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from playtrail.llm.common import kept, own_columns, table
+from playtrail.llm.common import give_back, kept, own_columns, table
 from playtrail.llm.sampling import mixed
 
 WINDOW = 35
@@ -106,12 +106,15 @@ def window_prints(words: np.ndarray, width: int, lane: int) -> np.ndarray:
 
 
 class Windows:
-    """Words of a block's texts and the fingerprints of all windows that lie in one text."""
+    """Words of a block's texts, where they are asked for, and the fingerprints of all windows that
+    lie in one text."""
 
-    def __init__(self, texts: list[bytes | None], width: int):
-        self.words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in texts).split()
+    def __init__(self, texts: list[bytes | None], width: int, with_words: bool = True):
+        words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in texts).split()
         prints = kept("word prints", WordPrints)
-        numbers = prints.numbers(self.words)
+        numbers = prints.numbers(words)
+        self.words, self.n_words = words if with_words else None, len(words)
+        del words  # as objects they take several times the memory of the rest
         # Where each text ends, and the words from every place to the end of its text.
         self.ends = np.flatnonzero(numbers == 0)
         self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(texts) else self.ends
@@ -123,12 +126,12 @@ class Windows:
         self.first, self.second = first[self.starts], second[self.starts]
 
     def covered(self, repeated: np.ndarray, width: int) -> np.ndarray:
-        """Which of `words` lie in a repeated window."""
-        marks = np.zeros(len(self.words) + width + 1, dtype=np.int64)
+        """Which of the words lie in a repeated window."""
+        marks = np.zeros(self.n_words + width + 1, dtype=np.int64)
         at = self.starts[repeated]
         marks[at] += 1
         marks[at + width] -= 1
-        return np.cumsum(marks)[: len(self.words)] > 0
+        return np.cumsum(marks)[: self.n_words] > 0
 
 
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -300,8 +303,9 @@ def remove_repeated(
     placed = docs.select(F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), *columns)
     here = f"c{at}"
 
-    def windows_of(rows: pa.Table) -> Windows:
-        return Windows(rows.column(here).to_pylist(), window)
+    def windows_of(rows: pa.Table, with_words: bool = False) -> Windows:
+        give_back()  # what the block before took
+        return Windows(rows.column(here).to_pylist(), window, with_words)
 
     def sketch(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
@@ -362,7 +366,7 @@ def remove_repeated(
     ]
 
     def remove(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        windows = windows_of(rows)
+        windows = windows_of(rows, with_words=True)
         estimated, exact = answers_of(replies)
         repeated = np.zeros(len(windows.starts), dtype=bool)
         chosen = candidates(windows, shards, depth, estimated)
@@ -378,9 +382,11 @@ def remove_repeated(
             kept = b" ".join(kept)
             left.append(kept if removed[-1] else text_)
             digests.append(hashlib.sha256(kept).hexdigest())
+        counts = pa.array(windows.counts, pa.int64())
+        del windows, stays, gone  # the worker may wait while later stages need the memory
+        give_back()
         rows = rows.drop_columns(["block"])
         rows = rows.set_column(at, here, pa.array(left, rows.schema.field(here).type))
-        counts = pa.array(windows.counts, pa.int64())
         rows = rows.append_column("n_words", counts)
         rows = rows.append_column("n_removed", pa.array(removed, pa.int64()))
         return rows.append_column("kept_sha256", pa.array(digests, pa.string()))
