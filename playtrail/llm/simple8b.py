@@ -32,14 +32,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
         raise ValueError("ids must be below 2**60")
     # Zeros behind the end: they fit everywhere, so the last word may be filled up with them.
     padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
+    narrow = padded.astype(np.uint32) if not ids.max() >> np.uint64(32) else padded
     selector = np.full(len(padded), ESCAPE, dtype=np.int8)
     # From the widest to the narrowest, so that the last that fits holds the most ids.
-    fit, values = np.arange(len(padded), dtype=np.int32), padded
+    fit, values = np.arange(len(padded), dtype=np.int32), narrow
     for k in range(len(BITS) - 1, -1, -1):
-        small = values < np.uint64(1 << BITS[k])
+        small = values < values.dtype.type(1 << BITS[k])
         if not small.all():
             fit, values = fit[small], values[small]
         more = COUNTS[k] - 1
+        if len(fit) == len(padded):  # all fit, so do those beside each other
+            selector[: len(fit) - more] = FIRST_SELECTOR + k
+            continue
         run = fit[more:] - fit[: len(fit) - more] == more
         selector[fit[: len(fit) - more][run]] = FIRST_SELECTOR + k
     step = _COUNT_OF.astype(np.uint8)[selector[:n]].tobytes()
@@ -52,8 +56,11 @@ def pack(ids: np.ndarray) -> np.ndarray:
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         which = np.flatnonzero(chosen == s)
-        for j in range(_COUNT_OF[s]):
-            words[which] |= padded[start[which] + j] << np.uint64(j * _BITS_OF[s])
+        at = start[which]
+        word = padded[at]
+        for j in range(1, _COUNT_OF[s]):
+            word |= padded[at + j] << np.uint64(j * _BITS_OF[s])
+        words[which] |= word
     return words
 
 

@@ -102,6 +102,11 @@ class WordIds(dict):
         seen[numbers] = True
         self.used += seen
 
+    def _plain(self, text: bytes | None) -> bytes:
+        """The text, lowered as a whole where that is what becomes of each of its words."""
+        text = text or b""
+        return text.lower() if self.lowers and text.isascii() and b"<" not in text else text
+
     def __missing__(self, word: bytes) -> int:
         # Control tokens keep their letters.
         small = word.lower() if self.lowers and word.isascii() and b"<" not in word else word
@@ -136,7 +141,7 @@ class WordIds(dict):
         """Ids of all texts one after the other, each with the end id, and how many each has."""
         if len(self) > MAX_WORDS:
             self.make_room(MAX_WORDS // 4)
-        words = b"".join((text or b"") + b" " + END_WORD + b" " for text in texts).split()
+        words = b"".join(self._plain(text) + b" " + END_WORD + b" " for text in texts).split()
         numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         self._learn()
         self._count(numbers)

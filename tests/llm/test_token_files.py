@@ -75,6 +75,19 @@ def test_forgotten_words_change_no_id(monkeypatch):
     assert sum(f"common{i}".encode() in words for i in range(12)) == 12
 
 
+def test_plain_texts_are_looked_up_in_lower_case():
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole = Tokenizer.from_file(path)
+    # Control tokens and what is composed before it is lowered keep their letters.
+    texts = ["Hello HELLO hello", "<|ENDOFTEXT|> <|endoftext|> Az", "H\u0331 h\u0331 A\u0300 K\u212a"]
+    for text in texts:
+        ids, _ = words.encode([text.encode()])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+    assert b"hello" in words and b"Hello" not in words
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_tokenizers_that_look_across_spaces_are_refused(name):
     with open(public_tokenizers.path(name), encoding="utf-8") as file, pytest.raises(ValueError):
