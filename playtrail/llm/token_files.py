@@ -10,7 +10,10 @@ files, one number per file.
 Every distinct word between ASCII white space is encoded once per worker and looked up afterwards.
 That gives the ids of the whole text for tokenizers that never look across white space, as the one
 used here; the tests compare. A tokenizer that does, or that lacks the control token put between words,
-is refused.
+is refused. Of a new word of plain letters, with signs behind them or not, the normalizer and the
+pre-tokenizer of this file only make small letters and cut the signs off. So its letters are encoded
+by the same model without these two steps, once for all words that share them. A tokenizer with other
+such steps encodes every word by them.
 
 Defined results: a null or empty text has the end id only; documents of equal id follow each other
 in the order of a hash of their text, repeated ones each with their own row; a null id comes first;
@@ -19,7 +22,9 @@ no documents give no blocks. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -44,16 +49,93 @@ END_WORD = b"\xff"  # no UTF-8 text holds this byte
 BETWEEN = "<|endoftext|>"
 PROBE = ("a", "Word", "12", "x,y")
 
+# Letters of one code point that no normal form changes and whose lowering is one such letter, and
+# signs that are cut off them. What follows are the steps of a tokenizer for which that holds.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+NORMALIZERS = (
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+)
+LETTER_RUNS = {
+    "type": "Split",
+    "pattern": {
+        "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    },
+    "behavior": "Removed",
+    "invert": True,
+}
+BY_BYTE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+
 BLOCK = (
     "part int, block int, before bigint, n_ids bigint, doc_ids array<bigint>, "
     "lengths array<bigint>, words binary"
 )
 
 
+def _slices(values: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Stretches of the values, one after the other."""
+    reach = np.cumsum(widths, dtype=np.int64)
+    total = int(reach[-1]) if len(reach) else 0
+    return values[np.arange(total) + np.repeat(starts - (reach - widths), widths)]
+
+
+class PlainWords:
+    """Encodes words of plain small letters with the model of a tokenizer. They are told apart by
+    the pieces that end a word."""
+
+    def __init__(self, tokenizer, suffix: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer(tokenizer.model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all words one after the other, and how many each has; nothing if a word has no
+        piece at its end."""
+        found, ends = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for some in (words[a : a + 4096] for a in range(0, len(words), 4096)):
+            text = " ".join(some)
+            coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(coded, dtype=np.int32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some):
+                return None
+            found.append(ids)
+            ends.append(np.diff(last, prepend=-1))
+        return np.concatenate(found), np.concatenate(ends)
+
+
+def plain_words(tokenizer, source: str) -> PlainWords | None:
+    """What encodes plain words, if the tokenizer's steps are known to leave them as they are."""
+    spec = json.loads(source)
+    normal, cut, model = spec.get("normalizer"), spec.get("pre_tokenizer"), spec["model"]
+    suffix = model.get("end_of_word_suffix")
+    if model.get("type") != "BPE" or not suffix or model.get("dropout"):
+        return None
+    steps = (normal or {}).get("normalizers", [normal] if normal else [])
+    runs, *rest = (cut or {}).get("pretokenizers") or [None]
+    by_byte = [{k: v for k, v in step.items() if k != "trim_offsets"} for step in rest] == [BY_BYTE]
+    if any(step not in NORMALIZERS for step in steps) or runs != LETTER_RUNS or not by_byte:
+        return None
+    # Control tokens are found before all else, and plain words must not hold one.
+    if not all("<" in token["content"] for token in spec["added_tokens"]):
+        return None
+    return PlainWords(tokenizer, suffix)
+
+
 class WordIds(dict):
     """Number of each word, and its ids by that number. A word gets its number when it is first
     asked for; the ids of all new words of a portion are then encoded together, with a control
-    token of the tokenizer between them. Word 0 is the end of a document."""
+    token of the tokenizer between them where it is needed. Word 0 is the end of a document."""
 
     def __init__(self, source: str, end_id: int, between: str = BETWEEN):
         from tokenizers import Tokenizer
@@ -68,6 +150,7 @@ class WordIds(dict):
         apart = [self._encoded(word) for word in PROBE]
         if self.between_id is None or self._encoded(" ".join(PROBE)) != sum(apart, []):
             raise ValueError("words cannot be encoded one by one with this tokenizer")
+        self.plain = plain_words(self.tokenizer, source)
         self[END_WORD] = 0
         self.ids, self.first = array("i", [end_id]), array("i", [0, 1])
         self.fresh: list[bytes] = []
@@ -118,24 +201,60 @@ class WordIds(dict):
         return number
 
     def _learn(self) -> None:
-        words = [w.decode("utf-8", "replace") for w in self.fresh]
-        self.fresh = []
+        """Encode the new words and append their ids. What a plain word consists of is taken from
+        known words, or encoded once for all new words that have it."""
+        words, self.fresh = [w.decode("utf-8", "replace") for w in self.fresh], []
+        known = len(self.first) - 1
+        stems: dict[str, int] = {}
+        others: dict[str, int] = {}
+        # What a word consists of: known words, then stems; others from -2 downwards, -1 is nothing.
+        parts = np.full((len(words), 2), -1, dtype=np.int64)
+        for k, word in enumerate(words):
+            cut = self.plain and PLAIN.fullmatch(word)
+            if not cut:
+                parts[k, 0] = -2 - others.setdefault(word, len(others))
+                continue
+            stem, signs = cut.groups()
+            if self.lowers:
+                stem = stem.lower()
+            number = self.get(stem.encode(), known)
+            if number >= known:
+                number = known + stems.setdefault(stem, len(stems))
+            parts[k, 0] = number
+            if signs:
+                number = self.get(signs.encode(), known)
+                parts[k, 1] = number if number < known else -2 - others.setdefault(signs, len(others))
+        parts = np.where(parts < -1, known + len(stems) - 2 - parts, parts)
+        plain = self.plain.encode(list(stems)) if stems else None
+        coded = [plain or self._by_steps(list(stems)), self._by_steps(list(others))]
+        first, old = np.frombuffer(self.first, dtype="i4"), np.frombuffer(self.ids, dtype="i4")
+        ids = np.concatenate([old, *(found for found, _ in coded)])
+        # The last place is that of nothing.
+        widths = np.concatenate([np.diff(first), *(many for _, many in coded), [0]])
+        starts = np.cumsum(widths) - widths
+        del first, old  # arrays cannot grow while they are looked into
+        many = widths[parts].sum(axis=1)
+        self.first.frombytes((len(self.ids) + np.cumsum(many)).astype("i4").tobytes())
+        self.ids.frombytes(_slices(ids, starts[parts.ravel()], widths[parts.ravel()]).tobytes())
+
+    def _by_steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words by every step of the tokenizer, and how many each has."""
+        found, widths = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for some in (words[a : a + 512] for a in range(0, len(words), 512)):
             # A word that holds a control token itself is encoded by itself.
             groups = [some] if self.between not in "".join(some) else [[w] for w in some]
             for group in groups:
                 text = self.between.join(group)
                 coded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-                base = len(self.ids)
+                coded = np.array(coded, dtype=np.int32)
                 if len(group) == 1:
-                    self.ids.extend(coded)
-                    self.first.append(len(self.ids))
+                    found.append(coded)
+                    widths.append(np.array([len(coded)]))
                     continue
-                coded = np.array(coded, dtype=np.int32)
                 cuts = np.flatnonzero(coded == self.between_id)
-                self.ids.frombytes(np.delete(coded, cuts).tobytes())
-                ends = [*(cuts - np.arange(len(cuts))).tolist(), len(coded) - len(cuts)]
-                self.first.extend(base + e for e in ends)
+                found.append(np.delete(coded, cuts))
+                widths.append(np.diff(np.append(cuts, len(coded)), prepend=-1) - 1)
+        return np.concatenate(found), np.concatenate(widths)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
@@ -149,9 +268,7 @@ class WordIds(dict):
         starts = first[numbers]
         widths = first[numbers + 1] - starts
         reach = np.cumsum(widths, dtype=np.int64)
-        total = int(reach[-1]) if len(reach) else 0
-        at = np.arange(total) + np.repeat(starts - (reach - widths), widths)
-        return ids[at], np.diff(reach[numbers == 0], prepend=0)
+        return _slices(ids, starts, widths), np.diff(reach[numbers == 0], prepend=0)
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -88,6 +89,59 @@ def test_plain_texts_are_looked_up_in_lower_case():
     assert b"hello" in words and b"Hello" not in words
 
 
+PLAIN = "über. Über, ÜBER! hello Hello.,; ñ?! é(x) straße... a_ a<b it's 'tis Ø× ÿ÷ End.%%% a. .a $$$"
+
+
+def test_letters_of_plain_words_are_encoded_once(monkeypatch):
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole, by_steps, plain = Tokenizer.from_file(path), [], []
+
+    def noted(encode, seen):
+        return lambda some: (seen.extend(some), encode(some))[1]
+
+    monkeypatch.setattr(words, "_by_steps", noted(words._by_steps, by_steps))
+    monkeypatch.setattr(words.plain, "encode", noted(words.plain.encode, plain))
+    for text in ("hello", PLAIN, f"{PLAIN} {PLAIN} <|endoftext|>"):
+        ids, _ = words.encode([text.encode()])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+    assert len(plain) == len(set(plain)) and {"über", "hello", "straße", "end"} <= set(plain)
+    assert not {"über.", "hello", "hello.,;", "end.%%%"} & set(by_steps)
+
+
+def test_random_words_have_the_ids_of_the_tokenizer():
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole, draw = Tokenizer.from_file(path), random.Random(8)
+    signs = "".join(map(chr, range(33, 127)))
+    for _ in range(300):
+        text = " ".join(
+            "".join(draw.choices("aeinst" * 3 + "ÀÞßöÿ×÷ĀŉΣ\u0301日" + signs, k=draw.randrange(1, 9)))
+            for _ in range(30)
+        )
+        ids, _ = words.encode([text.encode()])
+        assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
+
+
+@pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "added_tokens"])
+def test_other_steps_are_not_left_out(change):
+    with open(public_tokenizers.path(F.VOCABULARY), encoding="utf-8") as file:
+        spec = json.load(file)
+    if change == "normalizer":
+        spec[change]["normalizers"].append({"type": "StripAccents"})
+    elif change == "pre_tokenizer":
+        spec[change]["pretokenizers"][0]["pattern"]["Regex"] = r"\p{L}|[^\s\p{L}]+"
+    else:
+        spec[change].append(spec[change][0] | {"id": 320, "content": "ell"})
+    whole = Tokenizer.from_str(json.dumps(spec))
+    words = F.WordIds(json.dumps(spec), 1)
+    ids, _ = words.encode([PLAIN.encode()])
+    assert words.plain is None
+    assert ids.tolist() == [*whole.encode(PLAIN, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
 def test_tokenizers_that_look_across_spaces_are_refused(name):
     with open(public_tokenizers.path(name), encoding="utf-8") as file, pytest.raises(ValueError):
