@@ -159,11 +159,23 @@ class CountTrie(Trie):
 class SampleTrie(Trie):
     """Forward sums of each prefix, and for every node its incoming edges with the cumulative
     probability with which backward sampling takes them. The edges of a node lie side by side from
-    `first` on; the cumulative probability of its last one is 1."""
+    `first` on; the cumulative probability of its last one is 1.
+
+    Many pre-tokens are inserted together: `reach` gives them their nodes, and `fill` then computes
+    the edges of all new nodes, a step back at a time, and their sums, a depth at a time."""
 
     def __init__(self, pieces: Pieces, sharpness: float = 1.0):
         self.sharpness = sharpness
         super().__init__(pieces)
+        # Endings of pieces as a trie read backwards: keys of its steps in order, where each leads
+        # (0 is the start), and the piece found there, or -1, with its score.
+        state = {"": 0} | {ending: k for k, ending in enumerate(self.endings, 1)}
+        keys = np.array([state[e[1:]] << 21 | ord(e[0]) for e in self.endings], dtype=np.int64)
+        order = np.argsort(keys)
+        self.steps, self.leads = keys[order], order + 1
+        self.found = np.array([-1, *self.endings.values()], dtype=np.int32)
+        scores = pieces.scores
+        self.score = sharpness * np.array([0.0, *(scores.get(e, 0.0) for e in self.endings)])
 
     def start(self) -> None:
         self.forward = array("d", [0.0])
@@ -172,6 +184,86 @@ class SampleTrie(Trie):
         self.origin = array("i")
         self.piece = array("i")  # id, or -1 - code point of a character written as bytes
         self.width = array("i")
+        self.parent, self.char = array("i", [0]), array("i", [0])
+        self.depths = array("i")  # of nodes whose edges are not computed yet, the last ones
+
+    def reach(self, word: str) -> int:
+        """The node where a pre-token of at most `LONG` characters ends; `fill` must follow."""
+        children, node = self.children, 0
+        for at, char in enumerate(word):
+            after = children.get(node << 21 | ord(char))
+            if after is None:
+                break
+            node = after
+        else:
+            return node
+        size, rest = self.size, list(map(ord, word[at:]))
+        for code in rest:
+            children[node << 21 | code] = size
+            self.parent.append(node)
+            node, size = size, size + 1
+        self.char.extend(rest)
+        self.depths.extend(range(at + 1, len(word) + 1))
+        self.size = size
+        return node
+
+    def fill(self) -> None:
+        """Edges and sums of the new nodes."""
+        many = len(self.depths)
+        if not many:
+            return
+        new = self.size - many
+        parent, char = np.frombuffer(self.parent, "i4"), np.frombuffer(self.char, "i4")
+        edges, count = [], np.zeros(many, dtype=np.int32)
+        row, node = np.arange(many), np.arange(new, self.size)
+        state = np.zeros(many, dtype=np.int64)
+        while len(row):
+            code, before = char[node], parent[node]
+            key = state << 21 | code
+            step = np.minimum(np.searchsorted(self.steps, key), len(self.steps) - 1)
+            known = self.steps[step] == key
+            state = np.where(known, self.leads[step], 0)
+            piece, score = self.found[state], self.score[state]
+            width = np.ones(len(row), dtype=np.int32)
+            if not edges:  # a character without a piece is written as its bytes
+                bare = piece < 0
+                piece, width = np.where(bare, -1 - code, piece), np.where(bare, _utf8_width(code), 1)
+                score = np.where(bare, self.sharpness * self.pieces.unknown, score)
+                taken = np.arange(len(row))
+            else:
+                taken = np.flatnonzero(piece >= 0)
+            rows = row[taken]
+            edges.append((rows, count[rows], before[taken], piece[taken], width[taken], score[taken]))
+            count[rows] += 1
+            longer = np.flatnonzero(known & (before > 0))
+            row, node, state = row[longer], before[longer], state[longer]
+        first = np.cumsum(count, dtype=np.int64) - count
+        at = np.concatenate([first[rows] + rank for rows, rank, *_ in edges])
+        origin, piece, width, score = (_placed([e[k] for e in edges], at) for k in range(2, 6))
+        forward = np.append(np.frombuffer(self.forward), np.zeros(many))
+        reached = np.zeros(len(at))
+        depths = np.frombuffer(self.depths, "i4")
+        by_depth = np.argsort(depths, kind="stable")
+        for nodes in np.split(by_depth, np.flatnonzero(np.diff(depths[by_depth])) + 1):
+            # Sums run from edge to edge, so that none depends on the other nodes.
+            place = np.arange(count[nodes].max())
+            there = place < count[nodes][:, None]
+            edge = np.where(there, first[nodes][:, None] + place, 0)
+            logs = np.where(there, forward[origin[edge]] + score[edge], -np.inf)
+            top = logs.max(axis=1)
+            shares = np.exp(logs - top[:, None])
+            total = np.cumsum(shares, axis=1)[:, -1]
+            forward[new + nodes] = top + np.log(total)
+            reached[edge[there]] = np.cumsum(shares / total[:, None], axis=1)[there]
+        reached[first + count - 1] = 1.0
+        first += len(self.reached)
+        del parent, char, depths  # arrays cannot grow while they are looked into
+        self.forward.frombytes(forward[new:].tobytes())
+        self.reached.frombytes(reached.tobytes())
+        columns = (self.first, first), (self.origin, origin), (self.piece, piece), (self.width, width)
+        for held, more in columns:
+            held.frombytes(more.astype("i4").tobytes())
+        del self.depths[:]
 
     def enter(self, word: str, path: list[int], end: int) -> None:
         forward, endings, scores = self.forward, self.endings, self.pieces.scores
@@ -188,6 +280,8 @@ class SampleTrie(Trie):
             if i >= 0:
                 logs.append(forward[path[first]] + sharpness * scores[piece])
                 edges.append((path[first], i, 1))
+        self.parent.append(path[-1])
+        self.char.append(ord(word[end - 1]))
         top = max(logs)
         shares = [exp(x - top) for x in logs]
         total = sum(shares)
@@ -205,12 +299,8 @@ class SampleTrie(Trie):
     def thin_out(self, wanted: np.ndarray) -> np.ndarray:
         """Leave only the nodes on the way to `wanted` ones, which are of shared prefixes, and give
         the new number of every node, or -1. Nothing is computed anew."""
-        many = len(self.children)
-        keys = np.fromiter(self.children.keys(), dtype=np.int64, count=many)
-        nodes = np.fromiter(self.children.values(), dtype=np.int64, count=many)
         self.children = {}  # its memory is needed for the new one
-        parent, char = (np.zeros(self.size, dtype=np.int64) for _ in range(2))
-        parent[nodes], char[nodes] = keys >> 21, keys & (1 << 21) - 1
+        parent, char = (np.array(x, dtype=np.int64) for x in (self.parent, self.char))
         needed = np.zeros(self.size, dtype=bool)
         needed[0] = True
         level = np.unique(wanted)
@@ -225,9 +315,9 @@ class SampleTrie(Trie):
         first = np.cumsum(width) - width
         edge = np.arange(int(width.sum())) + np.repeat(starts[kept] - first, width)
         origin = number[np.frombuffer(self.origin, dtype="i4")[edge]] if len(edge) else edge
-        self.children = dict(
-            zip((number[parent[kept[1:]]] << 21 | char[kept[1:]]).tolist(), range(1, len(kept)))
-        )
+        parent, char = number[parent[kept]], char[kept]
+        self.children = dict(zip((parent[1:] << 21 | char[1:]).tolist(), range(1, len(kept))))
+        self.parent, self.char = (array("i", x.astype("i4").tobytes()) for x in (parent, char))
         self.forward = _taken(self.forward, kept)
         self.first = array("i", first.astype("i4").tobytes())
         self.origin = array("i", origin.astype("i4").tobytes())
@@ -237,6 +327,19 @@ class SampleTrie(Trie):
         return number
 
 
+def _utf8_width(codes: np.ndarray) -> np.ndarray:
+    """Bytes of each character; a surrogate stands for one that is no UTF-8."""
+    width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    return np.where((codes >= 0xDC80) & (codes <= 0xDCFF), 1, width)
+
+
+def _placed(parts: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    values = np.concatenate(parts)
+    placed = np.empty_like(values)
+    placed[at] = values
+    return placed
+
+
 def _taken(values: array, at: np.ndarray) -> array:
     """Some of the values, in order."""
     if not len(at):

@@ -1,8 +1,8 @@
 """Sampled piece segmentations that can be drawn again, and lossless decoding.
 
 Encoding draws from the distribution of all segmentations of each pre-token: forward sums are
-filtered over the lattice once per prefix, then a segmentation is sampled backwards from the end.
-The random numbers are a hash of the seed, the row's key, the pre-token's place in the text and the
+filtered over the lattice once per prefix, for all new prefixes of a portion of text together; then
+a segmentation is sampled backwards from the end. The random numbers are a hash of the seed, the row's key, the pre-token's place in the text and the
 step, so a row gets the same ids on any cluster, in any partition and order of rows. All pre-tokens
 of a batch are sampled together in Numpy.
 
@@ -47,18 +47,30 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Ends(dict):
-    """Node of each pre-token; one that is missing is inserted in the trie first."""
+    """Node of each pre-token; one that is missing gets its node in the trie first. Long ones get
+    the numbers -1, -2, ... until `settled` inserts them."""
 
     def __init__(self, trie: SampleTrie):
         super().__init__()
         self.trie = trie
+        self.long: list[str] = []
 
     def __missing__(self, word: str) -> int:
-        node = self.trie.insert(word)
-        if len(word) <= LONG:
-            self[word] = node
+        if len(word) > LONG:
+            self.long.append(word)
+            return -len(self.long)
+        node = self[word] = self.trie.reach(word)
         return node
 
+    def settled(self, nodes: np.ndarray) -> np.ndarray:
+        """The nodes, after all that is new in the trie has been computed."""
+        self.trie.fill()
+        long = np.array([self.trie.insert(word) for word in self.long], dtype=nodes.dtype)
+        self.long = []
+        below = np.flatnonzero(nodes < 0)
+        nodes[below] = long[-1 - nodes[below]]
+        return nodes
+
 
 class Sampler:
     def __init__(self, pieces: Pieces, seed: int, sharpness: float, max_nodes: int = MAX_NODES):
@@ -100,7 +112,7 @@ class Sampler:
             self._make_room()
         words = [list(map(self.ends.__getitem__, pre_tokens(text))) for text in texts]
         many = np.array([len(w) for w in words], dtype=np.int64)
-        ends = np.array([n for w in words for n in w], dtype=np.int32)
+        ends = self.ends.settled(np.array([n for w in words for n in w], dtype=np.int32))
         self._count(ends)
         first = np.concatenate([[0], np.cumsum(many)])
         place = np.arange(len(ends)) - np.repeat(first[:-1], many)

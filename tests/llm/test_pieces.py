@@ -52,6 +52,7 @@ def best_count(pieces, word):
     return min(n for s, _, n in segmentations(pieces, word) if math.isclose(s, top, abs_tol=1e-12))
 
 
+ENTER = S.SampleTrie.enter
 TEXTS = ["", "abab a", "aé▁b", "  ab\n\tba", "a" * 100, "日本 x", "<|x|> \x00\x7f", " a b"]
 
 
@@ -138,6 +139,53 @@ def test_thinning_out_changes_nothing(pieces):
     assert kept > 20
 
 
+@pytest.mark.parametrize("sharpness", [0.0, 1.0, 1e6])
+def test_nodes_computed_together_are_those_computed_one_by_one(pieces, sharpness):
+    rng = random.Random(6)
+    signs = " abethé▁日\U0001f600\x00\udc80"
+    for vocabulary in (TOY, pieces):
+        together, single = (S.SampleTrie(vocabulary, sharpness) for _ in range(2))
+        for _ in range(5):
+            words = ["".join(rng.choices(signs, k=rng.randrange(1, 20))) for _ in range(40)]
+            nodes = [together.reach(w) for w in words]
+            together.fill()
+            together.fill()
+            assert nodes == [single.insert(w) for w in words]
+            assert together.insert("ab" * 40) == single.insert("ab" * 40)
+        assert together.children == single.children and together.size == single.size
+        for name in ("first", "origin", "piece", "width", "parent", "char"):
+            assert getattr(together, name) == getattr(single, name), name
+        for name in ("reached", "forward"):
+            assert list(getattr(together, name)) == pytest.approx(list(getattr(single, name)), rel=1e-12)
+
+
+def test_sums_do_not_depend_on_what_is_computed_with_them(pieces):
+    words = ["the", "thethe", " thunder", "日本", "é", "a" * 40]
+    alone, beside = S.SampleTrie(pieces), S.SampleTrie(pieces)
+    others = [f" {k}other{k * k}" for k in range(500)]
+    nodes = [beside.reach(w) for w in others + words][len(others) :]
+    beside.fill()
+    for word, node in zip(words, nodes):
+        end = alone.reach(word)
+        alone.fill()
+        assert alone.forward[end] == beside.forward[node]
+        ends = [[*t.first, len(t.reached)] for t in (alone, beside)]
+        a, b = (slice(e[n], e[n + 1]) for e, n in zip(ends, (end, node)))
+        assert alone.reached[a] == beside.reached[b] and alone.piece[a] == beside.piece[b]
+
+
+def test_only_long_pre_tokens_are_inserted_alone(pieces, monkeypatch):
+    alone = []
+    monkeypatch.setattr(
+        S.SampleTrie, "enter", lambda trie, word, *rest: (alone.append(word), ENTER(trie, word, *rest))
+    )
+    texts = [b"the quick brown fox", b"x" * 60 + b" y", None, b"", b"z" * 60]
+    sampler = S.Sampler(pieces, 0, 1.0)
+    found = [S.decoder(pieces)(ids.tolist()) for ids in sampler.encode(list("abcde"), texts)]
+    assert found == [t or b"" for t in texts]
+    assert set(alone) == {" " + "x" * 60, " " + "z" * 60}
+
+
 def test_count_query_columns(spark, documents, pieces):
     docs = documents([(1, None), (1, None), (None, ""), (2, "the cat " * 20_000), (3, "zé▁")])
     rows = docs.select("doc_id", K.token_counts(docs, F.col("text")).alias("c")).collect()
