@@ -259,7 +259,7 @@ class WordIds(dict):
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, each with the end id, and how many each has."""
         if len(self) > MAX_WORDS:
-            self.make_room(MAX_WORDS // 4)
+            self.make_room(MAX_WORDS // 2)
         words = b"".join(self._plain(text) + b" " + END_WORD + b" " for text in texts).split()
         numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         self._learn()
