@@ -2,9 +2,10 @@
 
 Encoding draws from the distribution of all segmentations of each pre-token: forward sums are
 filtered over the lattice once per prefix, for all new prefixes of a portion of text together; then
-a segmentation is sampled backwards from the end. The random numbers are a hash of the seed, the row's key, the pre-token's place in the text and the
-step, so a row gets the same ids on any cluster, in any partition and order of rows. All pre-tokens
-of a batch are sampled together in Numpy.
+a segmentation is sampled backwards from the end. The random numbers are a hash of the seed, the
+row's key, the pre-token's place in the text and the step, so a row gets the same ids on any
+cluster, in any partition and order of rows. All pre-tokens of a batch are sampled together in
+Numpy.
 
 Decoding concatenates what the ids stand for and takes the first space away. Any text comes back
 byte by byte: spaces are pieces, and whatever has no piece, also the vocabulary's own mark for
