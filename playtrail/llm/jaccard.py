@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from playtrail.llm.common import cut_lineage, kept, own_columns, table, workspace
+from playtrail.llm.common import cut_lineage, give_back, kept, own_columns, table, workspace
 from playtrail.llm.components import components
 from playtrail.llm.passages import WordPrints, window_prints
 from playtrail.llm.sampling import mixed
@@ -166,6 +166,7 @@ def document_sets(texts: DataFrame, classes: np.ndarray, percent: int, size: int
                     ],
                     names=["doc_id", "text_hash", "n", "fingerprint", "first", "bits"],
                 )
+        give_back()
 
     return texts.mapInArrow(sets, SETS)
 
@@ -193,6 +194,7 @@ def _may_pass(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"]
             )
+        give_back()
 
     ordered = sided.select("a", "b", "bits_a", "bits_b", "n_a", "n_b")
     return ordered.mapInArrow(keep, "a bigint, b bigint")
@@ -225,6 +227,7 @@ def verified(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"]
             )
+        give_back()
 
     return sided.select("a", "b", "text_a", "text_b").mapInArrow(keep, "a bigint, b bigint")
 
@@ -333,7 +336,9 @@ def tile_pairs(
     dealt = dealt_tiles(tiles, nodes, found, percent)
 
     def compare(rows: pa.Table) -> pa.Table:
-        return _tile_pairs(rows, percent, tries)
+        pairs = _tile_pairs(rows, percent, tries)
+        give_back()  # the worker may wait while joins need the memory
+        return pairs
 
     return dealt.groupBy("task").applyInArrow(compare, "a bigint, b bigint").distinct()
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ DEPTH = 2
 CELL_BITS = 24
 BLOCK_BYTES = 6_000_000  # of text in a block
 SHARD_BYTES = 8_000_000  # of text whose windows share a shard
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
+PORTION_BYTES = 1_000_000  # of text that is split into words at a time
 BETWEEN = b"\xff"  # no UTF-8 text holds this byte
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -105,25 +106,47 @@ def window_prints(words: np.ndarray, width: int, lane: int) -> np.ndarray:
     return result
 
 
+def _portions(texts: list[bytes | None]):
+    """The texts in their order, PORTION_BYTES or one text at a time."""
+    some, held = [], 0
+    for text in texts:
+        some.append(text)
+        held += len(text or b"")
+        if held >= PORTION_BYTES:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 class Windows:
     """Words of a block's texts, where they are asked for, and the fingerprints of all windows that
-    lie in one text."""
+    lie in one text. Words as objects take several times the memory of the rest, so a portion of
+    the texts is split at a time."""
 
     def __init__(self, texts: list[bytes | None], width: int, with_words: bool = True):
-        words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in texts).split()
         prints = kept("word prints", WordPrints)
-        numbers = prints.numbers(words)
-        self.words, self.n_words = words if with_words else None, len(words)
-        del words  # as objects they take several times the memory of the rest
-        # Where each text ends, and the words from every place to the end of its text.
-        self.ends = np.flatnonzero(numbers == 0)
+        self.words, self.n_words = [] if with_words else None, 0
+        ends, starts, first, second = ([np.zeros(0, dtype=t)] for t in ("i8", "i8", "u8", "u8"))
+        for some in _portions(texts):
+            words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in some).split()
+            numbers = prints.numbers(words)
+            if with_words:
+                self.words += words
+            del words
+            # Where each text ends, and the words from every place to the end of its text.
+            stops = np.flatnonzero(numbers == 0)
+            room = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(numbers))
+            inside = np.flatnonzero(room >= width)
+            for lane, found in enumerate((first, second)):
+                found.append(window_prints(prints.lane(numbers, lane), width, lane)[inside])
+            ends.append(stops + self.n_words)
+            starts.append(inside + self.n_words)
+            self.n_words += len(numbers)
+        self.ends = np.concatenate(ends)
         self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(texts) else self.ends
         self.counts = self.ends - self.begins
-        room = np.repeat(self.ends, self.counts + 1) - np.arange(len(numbers))
-        first = window_prints(prints.lane(numbers, 0), width, 0)
-        second = window_prints(prints.lane(numbers, 1), width, 1)
-        self.starts = np.flatnonzero(room[: len(first)] >= width)
-        self.first, self.second = first[self.starts], second[self.starts]
+        self.starts, self.first, self.second = map(np.concatenate, (starts, first, second))
 
     def covered(self, repeated: np.ndarray, width: int) -> np.ndarray:
         """Which of the words lie in a repeated window."""
@@ -140,17 +163,21 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 def _cells(windows: Windows, row: int, shards: int) -> np.ndarray:
     """Shard and cell of every window in one row of the sketch, as one number."""
-    hashes = mixed(windows.first + np.uint64(int(_ODD) * (row + 1) & _ALL))
-    cell = hashes & np.uint64((1 << CELL_BITS) - 1)
-    return _shard_of(hashes, shards) << np.uint64(CELL_BITS) | cell
+    cells = np.empty(len(windows.first), dtype=np.uint64)
+    for at in range(0, len(cells), 1 << 16):
+        some = windows.first[at : at + (1 << 16)]
+        hashes = mixed(some + np.uint64(int(_ODD) * (row + 1) & _ALL))
+        cell = hashes & np.uint64((1 << CELL_BITS) - 1)
+        cells[at : at + (1 << 16)] = _shard_of(hashes, shards) << np.uint64(CELL_BITS) | cell
+    return cells
 
 
 def _counted(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and whether each stands there twice or more."""
-    new = np.ones(len(sorted_keys), dtype=bool)
-    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
-    at = np.flatnonzero(new)
-    return sorted_keys[at], np.diff(np.append(at, len(sorted_keys))) > 1
+    # One more than there are keys: the end is new, too.
+    new = np.ones(len(sorted_keys) + 1, dtype=bool)
+    new[1:-1] = sorted_keys[1:] != sorted_keys[:-1]
+    return sorted_keys[new[:-1]], ~new[1:][new[:-1]]
 
 
 def _slices(shards: np.ndarray):
@@ -210,10 +237,15 @@ _ANSWER = pa.schema(
 def sketch_pieces(windows: Windows, shards: int, depth: int):
     """Row after row, shard after shard: the block's cells and which of them it fills twice."""
     for row in range(depth):
-        keys, twice = _counted(np.sort(_cells(windows, row, shards)))
-        for shard, a, b in _slices((keys >> np.uint64(CELL_BITS)).astype(np.int64)):
-            cells = keys[a:b] & np.uint64((1 << CELL_BITS) - 1)
-            yield row * shards + shard, cells, twice[a:b]
+        keys = _cells(windows, row, shards)
+        keys.sort()
+        keys, twice = _counted(keys)
+        first = np.arange(shards + 1, dtype=np.uint64) << np.uint64(CELL_BITS)
+        at = np.searchsorted(keys, first).tolist()
+        for shard, (a, b) in enumerate(pairwise(at)):
+            if a < b:
+                cells = keys[a:b] & np.uint64((1 << CELL_BITS) - 1)
+                yield row * shards + shard, cells, twice[a:b]
 
 
 def merge_sketch(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -303,9 +335,9 @@ def remove_repeated(
     placed = docs.select(F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), *columns)
     here = f"c{at}"
 
-    def windows_of(rows: pa.Table, with_words: bool = False) -> Windows:
+    def windows_of(rows: pa.Table) -> Windows:
         give_back()  # what the block before took
-        return Windows(rows.column(here).to_pylist(), window, with_words)
+        return Windows(rows.column(here).to_pylist(), window, with_words=False)
 
     def sketch(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
@@ -366,24 +398,23 @@ def remove_repeated(
     ]
 
     def remove(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        windows = windows_of(rows, with_words=True)
+        windows = windows_of(rows)
         estimated, exact = answers_of(replies)
         repeated = np.zeros(len(windows.starts), dtype=bool)
         chosen = candidates(windows, shards, depth, estimated)
         for number, prints, _, which, group_of in exact_pieces(windows, chosen, shards):
             repeated[which] = _flags(exact[number], len(prints))[group_of]
-        gone = windows.covered(repeated, window)
-        stays = (~gone).tolist()
+        stays = ~windows.covered(repeated, window)
         left, removed, digests = [], [], []
         given = rows.column(here).to_pylist()
         for text_, a, b in zip(given, windows.begins.tolist(), windows.ends.tolist()):
-            kept = list(compress(windows.words[a:b], stays[a:b]))
+            kept = list(compress((text_ or b"").split(), stays[a:b].tolist()))
             removed.append(b - a - len(kept))
             kept = b" ".join(kept)
             left.append(kept if removed[-1] else text_)
             digests.append(hashlib.sha256(kept).hexdigest())
         counts = pa.array(windows.counts, pa.int64())
-        del windows, stays, gone  # the worker may wait while later stages need the memory
+        del windows, stays  # the worker may wait while later stages need the memory
         give_back()
         rows = rows.drop_columns(["block"])
         rows = rows.set_column(at, here, pa.array(left, rows.schema.field(here).type))

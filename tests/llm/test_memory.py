@@ -3,7 +3,7 @@
 import subprocess
 import sys
 
-from playtrail.llm import common
+from playtrail.llm import common, passages
 from playtrail.llm.passages import Windows
 from playtrail.llm.quality_rules import _counter, text_statistics
 
@@ -47,3 +47,17 @@ def test_windows_hold_no_words_unless_asked():
     assert (lean.first == whole.first).all() and (lean.second == whole.second).all()
     repeated = lean.first == lean.first[1]
     assert (lean.covered(repeated, 3) == whole.covered(repeated, 3)).all()
+
+
+def test_words_of_a_block_are_split_by_portions(monkeypatch):
+    texts = [b" ".join(b"%d" % (n * 7 + k) for k in range(20)) for n in range(40)] + [None, b"0 1"]
+    common.forget()
+    whole = Windows(texts, 3, with_words=False)
+    monkeypatch.setattr(passages, "PORTION_BYTES", 100, raising=False)
+    monkeypatch.setattr(passages, "MAX_WORDS", 50)
+    common.forget()
+    lean = Windows(texts, 3, with_words=False)
+    # A block of 293 words: the table holds no more than the limit and two portions.
+    assert len(common.kept("word prints", dict)) <= 150
+    for name in ("starts", "first", "second", "begins", "ends", "counts"):
+        assert (getattr(lean, name) == getattr(whole, name)).all()
