@@ -10,7 +10,9 @@ Both tokenizers cut at a space that follows no white space, if the byte-level si
 usual pattern and no piece holds a space after another character. Then each distinct stretch from
 such a space to the next is aligned once per worker and kept for later texts. `Aligner` looks both
 conditions up; where one fails, and for a text that holds a stretch of which a side's bytes do not
-join to the text, the whole text is aligned at once.
+join to the text, the whole text is aligned at once. Letters and signs behind them are aligned apart,
+once for all stretches that have them, where no piece holds a letter before a sign; the byte-level
+side always cuts there.
 
 The counts of id pairs are corpus-wide, so the work has two passes. The first aligns every text and
 stores each document's id pairs with their number, and the sums of each task; the sums are added by
@@ -28,7 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -39,7 +44,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from playtrail.llm.common import kept, table, workspace
-from playtrail.llm.tally import Recent
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -47,11 +51,16 @@ SPACE_MARK = "▁"
 PORTION = 1_000_000  # bytes of text aligned at a time
 CHUNK = 50_000  # characters of new stretches tokenized as one text
 SHIFT = 40
-KEPT_STRETCHES = 160_000  # in each of two generations
-MAX_STRETCH = 64  # characters of a stretch that is kept
+KEPT_STRETCHES = 500_000
+KEPT_BYTES = 40_000_000  # of their groups
 MAX_PAIRS = 4_000_000
 HELD_PAIRS = 1_000_000
 
+# A letter of one code point, and a sign that the byte-level side cuts off it.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][!-/:-@\[-`{-~]")
+
 
 def byte_of_sign() -> dict[str, int]:
     """The bytes that the printable signs of a byte-level vocabulary stand for: printable Latin-1
@@ -117,7 +126,18 @@ class Aligner:
             and not before.get("add_prefix_space")
             and not any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names)
         )
-        self.known = Recent(self._stretches, KEPT_STRETCHES)
+        # Letters and signs behind them are cut by the byte-level side, and by the other one where no
+        # piece holds both. Control pieces stand for themselves, not for their text.
+        added = json.loads(byte_level).get("added_tokens") or []
+        texts = [t["content"] for t in added if not t["special"]]
+        b = self.b
+        texts += [
+            n
+            for i, n in enumerate(names)
+            if not (b.is_control(i) or b.is_unknown(i) or b.is_byte(i))
+        ]
+        self.apart = self.cuts and not any(map(MIXED.search, texts))
+        self.known = Stretches(self)
 
     def _tokens_a(
         self, text: str, raw: bytes, reach: np.ndarray | None
@@ -219,23 +239,176 @@ class Aligner:
                 first, held = i, 0
         return [found.get(s, ()) for s in stretches]
 
+    def _after_letters(self, signs: list[str]) -> list[tuple]:
+        """The same for signs that letters stand before."""
+        if not signs:
+            return []
+        found = self.align([x for s in signs for x in (" a", s)])
+        if found is None and len(signs) > 1:
+            half = len(signs) // 2
+            return self._after_letters(signs[:half]) + self._after_letters(signs[half:])
+        return [()] if found is None else found[1::2]
+
+    def parts(self, keys: list[bytes]) -> list[tuple]:
+        """The same for keys of `Stretches`: stretches, and signs with a space before them."""
+        texts = [k.decode("utf-8", "replace") for k in keys]
+        whole = [t for t in texts if not t.startswith(" ")]
+        signs = [t for t in texts if t.startswith(" ")]
+        found = dict(zip(whole, self._stretches(whole)))
+        for at in range(0, len(signs), 2000):
+            some = signs[at : at + 2000]
+            found.update(zip(some, self._after_letters([t[1:] for t in some])))
+        return [found[t] for t in texts]
+
     def documents(self, texts: list[str | None]) -> list[tuple | None]:
         """The same for whole texts without their first space; None without tokens."""
-        split = [t.split(" ") if t and self.cuts else [] for t in texts]
-        every = set().union(*split)
-        long = [s for s in every if len(s) > MAX_STRETCH]
-        every.difference_update(long)
-        known = self.known.resolve(every)
-        known.update(zip(long, self._stretches(long)))
-        return [self._document(t, s, known) if t else None for t, s in zip(texts, split)]
-
-    def _document(self, text: str, split: list[str], known: dict) -> tuple | None:
-        parts = list(map(known.__getitem__, split))
-        if not parts or () in parts:
-            found = self.align([" " + text])
-            return found and found[0]
-        groups, codes, counts = zip(*parts)
-        return b";".join(groups), b"".join(codes), sum(counts)
+        found = self.known.joined([t.encode() if t else b"" for t in texts]) if self.cuts else texts
+        return [(f if self.cuts and f else self._whole(t)) if t else None for t, f in zip(texts, found)]
+
+    def _whole(self, text: str) -> tuple | None:
+        found = self.align([" " + text])
+        return found and found[0]
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Stretches of the values, one after the other."""
+    reach = np.cumsum(widths)
+    return values[np.arange(reach[-1]) + np.repeat(starts - (reach - widths), widths)]
+
+
+class Stretches(dict):
+    """Number of each stretch without its space, and by that number its alignment: the groups with a
+    `;` behind them, the codes, and how many tokens of both sides and groups it has; nothing where it
+    has no alignment. Signs that stand behind letters are kept as well, with a space before them.
+    A stretch of letters and signs is put together from the alignments of both."""
+
+    def __init__(self, aligner: Aligner):
+        super().__init__()
+        self.aligner = aligner
+        self.fresh: list[bytes] = []
+        self.groups, self.codes = bytearray(), bytearray()
+        self.group_at, self.code_at = array("q", [0]), array("q", [0])
+        self.counts = array("q")
+        self.used = np.zeros(0, dtype=np.int32)  # portions in which each stretch was met
+
+    def __missing__(self, stretch: bytes) -> int:
+        number = self[stretch] = len(self)
+        self.fresh.append(stretch)
+        return number
+
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """Groups, codes, where both begin and end, and counts. The table cannot grow while any of
+        them is held."""
+        return (
+            np.frombuffer(self.groups, dtype="u1"),
+            np.frombuffer(self.codes, dtype=self.aligner.code_type),
+            np.frombuffer(self.group_at, dtype="i8"),
+            np.frombuffer(self.code_at, dtype="i8"),
+            np.frombuffer(self.counts, dtype="i8").reshape(-1, 3),
+        )
+
+    def make_room(self, most: int, most_bytes: int) -> None:
+        """Forget the rare stretches: those met in one portion only, then in two, four and so on,
+        until few enough are left. No result depends on what is kept."""
+        groups, codes, group_at, code_at, counts = self._arrays()
+        widths, least = np.diff(group_at), 2
+        stays = self.used >= least
+        while stays.sum() > most or widths[stays].sum() > most_bytes:
+            least *= 2
+            stays = self.used >= least
+        number = np.cumsum(stays) - 1
+        left = {s: int(number[n]) for s, n in self.items() if stays[n]}
+        many = np.diff(code_at)
+        self.groups = bytearray(groups[np.repeat(stays, widths)].tobytes())
+        self.codes = bytearray(codes[np.repeat(stays, many)].tobytes())
+        self.group_at = array("q", np.append(0, np.cumsum(widths[stays])).tobytes())
+        self.code_at = array("q", np.append(0, np.cumsum(many[stays])).tobytes())
+        self.counts = array("q", counts[stays].tobytes())
+        self.used = self.used[stays] // 2
+        self.clear()
+        self.update(left)
+
+    def _learn(self) -> None:
+        """Align what is new. Letters and signs that are new themselves follow behind the stretch
+        that consists of them."""
+        known, alone, joined = len(self) - len(self.fresh), [], []
+        apart = self.aligner.apart
+        for place, stretch in enumerate(self.fresh):
+            letters = stretch.rstrip(SIGNS)
+            if apart and 0 < len(letters) < len(stretch) and (
+                letters.isalpha() or LETTERS.fullmatch(letters.decode("utf-8", "replace"))
+            ):
+                signs = self[b" " + stretch[len(letters) :]]
+                joined.append((place, self[letters], signs))
+            else:
+                alone.append(place)
+        found: list[tuple] = [()] * len(self.fresh)
+        most = (1 << SHIFT) - 1
+        for place, one in zip(alone, self.aligner.parts([self.fresh[i] for i in alone])):
+            if one:
+                groups, codes, n = one
+                sizes = n & most, n >> SHIFT & most, n >> 2 * SHIFT
+                found[place] = (groups + b";", codes, sizes)
+        size = np.dtype(self.aligner.code_type).itemsize
+
+        def part(n: int) -> tuple:
+            if n >= known:
+                return found[n - known]
+            sizes = self.counts[3 * n : 3 * n + 3]
+            if not sizes[2]:
+                return ()
+            groups = self.groups[self.group_at[n] : self.group_at[n + 1]]
+            return groups, self.codes[size * self.code_at[n] : size * self.code_at[n + 1]], sizes
+
+        for place, letters, signs in joined:
+            left, right = part(letters), part(signs)
+            if left and right:
+                (a, b, c), (d, e, f) = left[2], right[2]
+                found[place] = (left[0] + right[0], left[1] + right[1], (a + d, b + e, c + f))
+        self.fresh = []
+        if not found:
+            return
+        groups, codes, counts = zip(*(one or (b"", b"", (0, 0, 0)) for one in found))
+        for ends, stored, new, unit in (
+            (self.group_at, self.groups, groups, 1),
+            (self.code_at, self.codes, codes, size),
+        ):
+            widths = np.fromiter(map(len, new), dtype=np.int64, count=len(new)) // unit
+            ends.frombytes((ends[-1] + np.cumsum(widths)).tobytes())
+            stored += b"".join(new)
+        self.counts.extend(chain.from_iterable(counts))
+        self.used = np.append(self.used, np.zeros(len(found), dtype=np.int32))
+
+    def joined(self, texts: list[bytes]) -> list[tuple | None]:
+        """Alignment of each text from its stretches; None where one of them has none, or the text
+        is empty."""
+        if len(self) > KEPT_STRETCHES or len(self.groups) > KEPT_BYTES:
+            self.make_room(KEPT_STRETCHES // 2, KEPT_BYTES // 2)
+        split = [t.split(b" ") for t in texts if t]
+        if not split:
+            return [None] * len(texts)
+        many = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        each = map(self.__getitem__, chain.from_iterable(split))
+        numbers = np.fromiter(each, dtype=np.int64, count=many.sum())
+        self._learn()
+        seen = np.zeros(len(self.used), dtype=bool)
+        seen[numbers] = True
+        self.used += seen
+        groups, codes, group_at, code_at, counts = self._arrays()
+        last = np.cumsum(many) - 1
+        whole = np.logical_and.reduceat(counts[numbers, 2] > 0, last + 1 - many).tolist()
+        sums = np.add.reduceat(counts[numbers], last + 1 - many).tolist()
+        widths = (group_at[numbers + 1] - group_at[numbers], code_at[numbers + 1] - code_at[numbers])
+        group_ends, code_ends = (np.cumsum(w)[last].tolist() for w in widths)
+        groups = _gathered(groups, group_at[numbers], widths[0]).tobytes()
+        codes = _gathered(codes, code_at[numbers], widths[1])
+        found, a, c = [], 0, 0
+        for ok, b, d, (x, y, z) in zip(whole, group_ends, code_ends, sums):
+            one = groups[a : b - 1], codes[c:d].tobytes(), x + (y << SHIFT) + (z << 2 * SHIFT)
+            found.append(one if ok else None)
+            a, c = b, d
+        each = iter(found)
+        return [next(each) if t else None for t in texts]
 
 
 STORED = (

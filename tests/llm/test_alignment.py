@@ -157,3 +157,48 @@ def test_empty_table_null_ids_and_invalid_text(spark, documents):
     assert rows[0] == rows[1] and rows[0][0] is None and rows[0][6] > 0
     raw = spark.sql("SELECT 1L AS doc_id, CAST(x'61FF62' AS STRING) AS text")
     assert tuple(aligned(raw).collect()[0]) == (1, 0, 0, 0, 0, 0, 0, "")
+
+
+def both_models():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        left = file.read()
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return left, file.read()
+
+
+def test_letters_and_signs_are_aligned_once():
+    aligner, asked = Aligner(*both_models()), []
+    assert aligner.apart
+    parts = aligner.parts
+    aligner.parts = lambda keys: asked.append(keys) or parts(keys)
+    aligner.documents(["one zwölf,"])
+    aligner.documents(["one, zwölf, (one) zwölf!"])
+    assert [sorted(keys) for keys in asked] == [
+        sorted([b"one", "zwölf".encode(), b" ,"]),
+        [b" !", b"(one)"],
+    ]
+
+
+def test_signs_behind_letters_equal_whole_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "KEPT_STRETCHES", 40)
+    cutting, whole = Aligner(*both_models()), Aligner(*both_models())
+    whole.cuts = False
+    rng = np.random.default_rng(4)
+    letters = ["a", "Word", "don", "été", "ÿß", "中文", "x1", "µ", "ª", "É", "é", "²"]
+    signs = [",", "'", "'s", "'.", "...", "\"'", "<", "</s>", "_", "~`", ".\n", "▁", "|>", ""]
+    texts = [
+        " ".join(rng.choice(letters) + rng.choice(signs) + rng.choice(signs) for _ in range(9))
+        for _ in range(150)
+    ]
+    found, plain_ = cutting.documents(texts), [whole.documents([t])[0] for t in texts]
+    again = [cutting.documents([t])[0] for t in texts]
+    assert len(cutting.known) < 200
+    for one, other, third in zip(found, plain_, again):
+        assert (one is None) == (other is None) == (third is None)
+        if one is not None:
+            links = [
+                sorted(np.frombuffer(x[1], dtype=whole.code_type).tolist())
+                for x in (one, other, third)
+            ]
+            assert one[0] == other[0] == third[0] and one[2] == other[2] == third[2]
+            assert links[0] == links[1] == links[2]
