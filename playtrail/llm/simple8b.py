@@ -15,6 +15,7 @@ import numpy as np
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2)
 FIRST_SELECTOR = 2
+RUN = 16
 ESCAPE, ESCAPE_BITS = 15, 60
 
 _COUNT_OF = np.ones(16, dtype=np.int64)
@@ -46,12 +47,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
             continue
         run = fit[more:] - fit[: len(fit) - more] == more
         selector[fit[: len(fit) - more][run]] = FIRST_SELECTOR + k
-    step = _COUNT_OF.astype(np.uint8)[selector[:n]].tobytes()
-    starts, at = [], 0
+    # The walk takes RUN words at a time; the words between follow from where a run of them begins.
+    step = np.append(np.arange(n) + _COUNT_OF[selector[:n]], n)
+    np.minimum(step, n, out=step)
+    far, run = step, 1
+    while run < RUN:
+        far, run = far[far], 2 * run
+    jumps, starts, at = far.tolist(), [], 0
     while at < n:
         starts.append(at)
-        at += step[at]
-    start = np.array(starts)
+        at = jumps[at]
+    start = np.empty((len(starts), run), dtype=np.int64)
+    start[:, 0] = starts
+    for k in range(1, run):
+        start[:, k] = step[start[:, k - 1]]
+    start = start[start < n]
     chosen = selector[start].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):

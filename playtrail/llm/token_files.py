@@ -52,6 +52,7 @@ PROBE = ("a", "Word", "12", "x,y")
 # Letters of one code point that no normal form changes and whose lowering is one such letter, and
 # signs that are cut off them. What follows are the steps of a tokenizer for which that holds.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # those of them that are cut off by bytes
 NORMALIZERS = (
     {"type": "NFC"},
     {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
@@ -203,39 +204,51 @@ class WordIds(dict):
     def _learn(self) -> None:
         """Encode the new words and append their ids. What a plain word consists of is taken from
         known words, or encoded once for all new words that have it."""
-        words, self.fresh = [w.decode("utf-8", "replace") for w in self.fresh], []
+        words, self.fresh = self.fresh, []
         known = len(self.first) - 1
         stems: dict[str, int] = {}
         others: dict[str, int] = {}
         # What a word consists of: known words, then stems; others from -2 downwards, -1 is nothing.
-        parts = np.full((len(words), 2), -1, dtype=np.int64)
-        for k, word in enumerate(words):
-            cut = self.plain and PLAIN.fullmatch(word)
-            if not cut:
-                parts[k, 0] = -2 - others.setdefault(word, len(others))
-                continue
-            stem, signs = cut.groups()
+        heads, tails = [], []
+        for word in words:
+            stem = word.rstrip(SIGNS)
+            if self.plain and stem.isalpha():  # ASCII letters only
+                signs = word[len(stem) :]
+            else:
+                text = word.decode("utf-8", "replace")
+                cut = self.plain and PLAIN.fullmatch(text)
+                if not cut:
+                    heads.append(-2 - others.setdefault(text, len(others)))
+                    tails.append(-1)
+                    continue
+                stem, signs = (x.encode() for x in cut.groups())
             if self.lowers:
-                stem = stem.lower()
-            number = self.get(stem.encode(), known)
+                stem = stem.lower() if stem.isascii() else stem.decode().lower().encode()
+            number = self.get(stem, known)
             if number >= known:
-                number = known + stems.setdefault(stem, len(stems))
-            parts[k, 0] = number
-            if signs:
-                number = self.get(signs.encode(), known)
-                parts[k, 1] = number if number < known else -2 - others.setdefault(signs, len(others))
-        parts = np.where(parts < -1, known + len(stems) - 2 - parts, parts)
+                number = known + stems.setdefault(stem.decode(), len(stems))
+            heads.append(number)
+            number = self.get(signs, known) if signs else -1
+            if number >= known:
+                number = -2 - others.setdefault(signs.decode(), len(others))
+            tails.append(number)
+        parts = np.column_stack([np.array(x, dtype=np.int64) for x in (heads, tails)]).ravel()
         plain = self.plain.encode(list(stems)) if stems else None
         coded = [plain or self._by_steps(list(stems)), self._by_steps(list(others))]
         first, old = np.frombuffer(self.first, dtype="i4"), np.frombuffer(self.ids, dtype="i4")
-        ids = np.concatenate([old, *(found for found, _ in coded)])
-        # The last place is that of nothing.
-        widths = np.concatenate([np.diff(first), *(many for _, many in coded), [0]])
+        # The ids of the known words in question, then those that are new, then those of nothing.
+        mine = np.flatnonzero((parts >= 0) & (parts < known))
+        at = parts[mine]
+        parts = np.where(parts < -1, known + len(stems) - 2 - parts, parts)
+        parts = np.where(parts < known, -1, parts - known + len(mine))
+        parts[mine] = np.arange(len(mine))
+        ids = [_slices(old, first[at], first[at + 1] - first[at]), *(found for found, _ in coded)]
+        widths = np.concatenate([first[at + 1] - first[at], *(many for _, many in coded), [0]])
         starts = np.cumsum(widths) - widths
         del first, old  # arrays cannot grow while they are looked into
-        many = widths[parts].sum(axis=1)
+        many = widths[parts].reshape(-1, 2).sum(axis=1)
         self.first.frombytes((len(self.ids) + np.cumsum(many)).astype("i4").tobytes())
-        self.ids.frombytes(_slices(ids, starts[parts.ravel()], widths[parts.ravel()]).tobytes())
+        self.ids.frombytes(_slices(np.concatenate(ids), starts[parts], widths[parts]).tobytes())
 
     def _by_steps(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words by every step of the tokenizer, and how many each has."""

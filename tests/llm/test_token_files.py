@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from playtrail.llm import token_files as F
-from playtrail.llm.simple8b import COUNTS, pack, unpack
+from playtrail.llm.simple8b import BITS, COUNTS, pack, unpack
 
 
 @settings(max_examples=200, deadline=None)
@@ -179,3 +179,30 @@ def test_query_equals_the_tokenizer(spark):
         wanted.append((doc_id, start, len(ids), crc))
         start += len(ids)
     assert sorted(map(tuple, F.op4_token_files(spark, sf).collect())) == wanted
+
+
+def test_learning_a_word_leaves_the_table_alone(monkeypatch):
+    with open(public_tokenizers.path(F.VOCABULARY), encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    words.encode([b" ".join(b"x%d" % n for n in range(3000)) + b" two zw\xc3\xb6lf"])
+    taken, slices = [], F._slices
+    monkeypatch.setattr(F, "_slices", lambda v, s, w: taken.append(len(v)) or slices(v, s, w))
+    new = "two, TWO! zwölf, Zwölf; three, neuß... x7, don't 'two two<"
+    ids, lengths = words.encode([new.encode()])
+    assert ids.tolist() == [*words._encoded(new), 1] and lengths.tolist() == [len(ids)]
+    # The new words' ids are made from those of their parts only.
+    assert taken[-2] < 100
+
+
+def test_packing_by_runs_equals_a_walk():
+    rng = np.random.default_rng(8)
+    for n in (*range(70), 1000, 5000):
+        ids = (rng.integers(0, 1 << 40, n) >> rng.integers(0, 41, n)).astype(np.uint64)
+        words = pack(ids)
+        assert (unpack(words, n) == ids).all()
+        # As many words as the greedy walk takes.
+        at = count = 0
+        while at < n:
+            fits = [c for b, c in zip(BITS, COUNTS) if (ids[at : at + c] < 1 << b).all()]
+            at, count = at + max(fits, default=1), count + 1
+        assert len(words) == count
