@@ -21,6 +21,11 @@ ESCAPE, ESCAPE_BITS = 15, 60
 _COUNT_OF = np.ones(16, dtype=np.int64)
 _BITS_OF = np.full(16, ESCAPE_BITS, dtype=np.int64)
 _COUNT_OF[FIRST_SELECTOR:ESCAPE], _BITS_OF[FIRST_SELECTOR:ESCAPE] = COUNTS, BITS
+# First id that needs more bits than each selector has, and which selector small ids need.
+_TABLED = 1 << 16
+_LIMITS = np.uint64(1) << np.array(BITS, dtype=np.uint64)
+_WIDTH_OF = np.searchsorted(_LIMITS, np.arange(_TABLED, dtype=np.uint64), side="right")
+_WIDTH_OF = _WIDTH_OF.astype(np.int8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -29,31 +34,37 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    if ids.max() >> np.uint64(ESCAPE_BITS):
+    most = ids.max()
+    if most >> np.uint64(ESCAPE_BITS):
         raise ValueError("ids must be below 2**60")
     # Zeros behind the end: they fit everywhere, so the last word may be filled up with them.
     padded = np.concatenate([ids, np.zeros(COUNTS[0], dtype=np.uint64)])
-    narrow = padded.astype(np.uint32) if not ids.max() >> np.uint64(32) else padded
+    # Per id its narrowest width by number, then the largest of 1, 2, 4, ... 32 ids from each place.
+    if most < _TABLED:
+        width = _WIDTH_OF[padded.view(np.int64)]
+    else:
+        width = np.searchsorted(_LIMITS, padded, side="right").astype(np.int8)
+    largest, size = {1: width}, 1
+    while size * 2 < COUNTS[0]:
+        widths = largest[size]
+        largest[2 * size] = np.maximum(widths[:-size], widths[size:])
+        size *= 2
     selector = np.full(len(padded), ESCAPE, dtype=np.int8)
     # From the widest to the narrowest, so that the last that fits holds the most ids.
-    fit, values = np.arange(len(padded), dtype=np.int32), narrow
     for k in range(len(BITS) - 1, -1, -1):
-        small = values < values.dtype.type(1 << BITS[k])
-        if not small.all():
-            fit, values = fit[small], values[small]
-        more = COUNTS[k] - 1
-        if len(fit) == len(padded):  # all fit, so do those beside each other
-            selector[: len(fit) - more] = FIRST_SELECTOR + k
-            continue
-        run = fit[more:] - fit[: len(fit) - more] == more
-        selector[fit[: len(fit) - more][run]] = FIRST_SELECTOR + k
+        size = 1 << (COUNTS[k].bit_length() - 1)
+        widths = largest[size]
+        if COUNTS[k] > size:
+            more = COUNTS[k] - size
+            widths = np.maximum(widths[:-more], widths[more:])
+        np.putmask(selector[: len(widths)], widths <= k, FIRST_SELECTOR + k)
     # The walk takes RUN words at a time; the words between follow from where a run of them begins.
     step = np.append(np.arange(n) + _COUNT_OF[selector[:n]], n)
     np.minimum(step, n, out=step)
     far, run = step, 1
     while run < RUN:
         far, run = far[far], 2 * run
-    jumps, starts, at = far.tolist(), [], 0
+    jumps, starts, at = memoryview(far), [], 0
     while at < n:
         starts.append(at)
         at = jumps[at]
@@ -64,7 +75,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     start = start[start < n]
     chosen = selector[start].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(chosen):
+    for s in np.flatnonzero(np.bincount(chosen)):
         which = np.flatnonzero(chosen == s)
         at = start[which]
         word = padded[at]

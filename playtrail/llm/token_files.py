@@ -12,8 +12,9 @@ That gives the ids of the whole text for tokenizers that never look across white
 used here; the tests compare. A tokenizer that does, or that lacks the control token put between words,
 is refused. Of a new word of plain letters, with signs behind them or not, the normalizer and the
 pre-tokenizer of this file only make small letters and cut the signs off. So its letters are encoded
-by the same model without these two steps, once for all words that share them. A tokenizer with other
-such steps encodes every word by them.
+by the same model without these two steps, once for all words that share them. Texts of such letters
+are lowered, and signs that stand alone cut off, before the words are looked up. A tokenizer with
+other such steps encodes every word by them.
 
 Defined results: a null or empty text has the end id only; documents of equal id follow each other
 in the order of a hash of their text, repeated ones each with their own row; a null id comes first;
@@ -53,6 +54,16 @@ PROBE = ("a", "Word", "12", "x,y")
 # signs that are cut off them. What follows are the steps of a tokenizer for which that holds.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
 SIGNS = b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # those of them that are cut off by bytes
+
+# What whole texts of ASCII and À to ÿ consist of, how each of their bytes is lowered (behind 0xC3
+# stand only bytes from 0x80, and 0x97 and 0xB7 there are signs), and the kind of each byte: white
+# space, part of a letter or digit, or a sign.
+LATIN = bytes(range(0x80)) + b"\xc3" + bytes(range(0x80, 0xC0))
+LOWERED = bytes(b + 32 if 0x80 <= b < 0x9F else b for b in bytes(range(256)).lower())
+KINDS = bytes(
+    ord(" ") if chr(b) in " \t\n\v\f\r" else ord("a") if b >= 0x80 or chr(b).isalnum() else ord("!")
+    for b in range(256)
+)
 NORMALIZERS = (
     {"type": "NFC"},
     {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
@@ -81,6 +92,17 @@ def _slices(values: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts - (reach - widths), widths)]
 
 
+def _latin(text: bytes) -> bool:
+    """Whether a text is valid and holds ASCII and the letters from À to ÿ only."""
+    if text.translate(None, LATIN) or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+        return False
+    try:
+        text.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class PlainWords:
     """Encodes words of plain small letters with the model of a tokenizer. They are told apart by
     the pieces that end a word."""
@@ -187,9 +209,22 @@ class WordIds(dict):
         self.used += seen
 
     def _plain(self, text: bytes | None) -> bytes:
-        """The text, lowered as a whole where that is what becomes of each of its words."""
+        """The text, lowered as a whole where that is what becomes of each of its words. If the
+        tokenizer's steps are known, commas and full stops behind letters become words of their own,
+        as they are tokens of their own: so a word has one number, whatever follows it."""
         text = text or b""
-        return text.lower() if self.lowers and text.isascii() and b"<" not in text else text
+        if b"<" in text:
+            return text
+        if text.isascii():
+            text = text.lower() if self.lowers else text
+        elif self.plain and _latin(text):
+            text = text.translate(LOWERED) if self.lowers else text
+        else:
+            return text
+        # Signs beside each other are one token: they must stay together.
+        if self.plain and b"!! " not in text.translate(KINDS):
+            text = text.replace(b", ", b" , ").replace(b". ", b" . ")
+        return text
 
     def __missing__(self, word: bytes) -> int:
         # Control tokens keep their letters.

@@ -29,6 +29,22 @@ def test_words_are_as_full_as_the_selectors_allow():
         pack(np.array([2**60], dtype=np.uint64))
 
 
+def test_every_word_holds_as_many_ids_as_fit():
+    """The first of the narrowest widths that all ids of a word have, the ends filled up with zeros."""
+    draw = random.Random(4)
+    for bits in (3, 9, 16, 31, 60):
+        ids = [draw.randrange(1 << draw.randrange(1, bits + 1)) for _ in range(500)]
+        counts, at = [], 0
+        while at < len(ids):
+            fit = [n for b, n in zip(BITS, COUNTS) if not any(i >> b for i in ids[at : at + n])]
+            counts.append(fit[0] if fit else 1)
+            at += counts[-1]
+        words = pack(np.array(ids, dtype=np.uint64))
+        chosen = (words >> np.uint64(60)).tolist()
+        assert [1 if s == 15 else COUNTS[s - 2] for s in chosen] == counts
+        assert unpack(words, len(ids)).tolist() == ids
+
+
 TEXTS = [
     "Hello, World! it's",
     "<|endoftext|> a<|startoftext|>b <|endoftext|>",
@@ -125,6 +141,35 @@ def test_random_words_have_the_ids_of_the_tokenizer():
         assert ids.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_words_of_latin_texts_are_known_once_whatever_follows_them():
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole = Tokenizer.from_file(path)
+    ids, _ = words.encode(["Été été. ÉTÉ, Hello hello, hello. ".encode()])
+    coded = whole.encode("Été été. ÉTÉ, Hello hello, hello. ", add_special_tokens=False)
+    assert ids.tolist() == [*coded.ids, 1]
+    assert set(words) == {F.END_WORD, "été".encode(), b"hello", b",", b"."}
+
+
+def test_signs_beside_each_other_and_other_letters_stay_as_they_are():
+    path = public_tokenizers.path(F.VOCABULARY)
+    with open(path, encoding="utf-8") as file:
+        words = F.WordIds(file.read(), 1)
+    whole, draw = Tokenizer.from_file(path), random.Random(9)
+    kinds = [
+        ["a", "É", "é", ", ", ". ", " ", "s", "'", ",", ".", "12", "B", "\n"],
+        ["a", "É", "×", "÷", "Ÿ", "µ", "\xa0", "h", "H", "\u0331", "İ", ", ", ". ", "<", "\x1c"],
+    ]
+    broken = [b"", b"", b"\xc3, x", b"\x89, x", b"a\xc3\xc3\x89\x89. x", b"\xc3\xc3\x89, "]
+    for k in range(600):
+        raw = "".join(draw.choices(kinds[k % 2], k=draw.randrange(1, 20))).encode()
+        raw += draw.choice(broken)
+        ids, _ = words.encode([raw])
+        coded = whole.encode(raw.decode("utf-8", "replace"), add_special_tokens=False)
+        assert ids.tolist() == [*coded.ids, 1]
+
+
 @pytest.mark.parametrize("change", ["normalizer", "pre_tokenizer", "added_tokens"])
 def test_other_steps_are_not_left_out(change):
     with open(public_tokenizers.path(F.VOCABULARY), encoding="utf-8") as file:
