@@ -7,11 +7,14 @@ Windows are judged in two passes, as most of them are unique and need not travel
    of a fixed number of cells; a shard adds up the pieces of all blocks and answers each with one
    bit per cell: is the estimate of two or more? An estimate is never below the true count, so no
    repeated window is lost, and the bits are all that comes back.
-2. Only windows whose cells are all estimated repeated go on, as 128-bit fingerprints, and are
-   grouped exactly, again with one bit per fingerprint as the answer.
+2. Only windows whose cells are all estimated repeated go on, as 128-bit fingerprints with the place
+   of each in its block, and are grouped exactly. The answer is the places of those that are repeated,
+   so the words to remove are known without looking at any window again. A block's places count the
+   words of its texts in the order of the texts themselves, which no shuffle changes.
 
 A piece holds a cell or fingerprint once per block, however often it stands there, so a passage
-that a third of all texts share gives its shard one entry per block. The number of blocks and shards
+that a third of all texts share gives its shard one entry per block. Where a block itself holds a window twice is sent by block, not by window.
+Words are cut and hashed as whole arrays. The number of blocks and shards
 follows the amount of text; both stay of a fixed size. The texts are shuffled once and that exchange
 serves all passes.
 
@@ -50,8 +53,13 @@ BETWEEN = b"\xff"  # no UTF-8 text holds this byte
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _LANE = 0xA5A3564E27F8862D
+_SEED = 0x9E3779B97F4A7C15
 _ALL = (1 << 64) - 1
 
+CHUNK, LONG = 8, 64  # bytes of a word that are read at a time, and of one hashed by itself
+_WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), 0x20])
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(CHUNK + 1)], dtype=np.uint64)
+
 
 class WordPrints(dict):
     """Number of each word and, by that number, its 128-bit hash as two lanes; a word is hashed when
@@ -119,42 +127,81 @@ def _portions(texts: list[bytes | None]):
         yield some
 
 
+def cut_words(texts: list[bytes | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row, where their words begin and end there, and how many each text has."""
+    data = b" " + b"".join((text or b"") + b" " for text in texts) + b" " * CHUNK
+    white = _WHITE[np.frombuffer(data, dtype=np.uint8)]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    begins, ends = edges[::2], edges[1::2]
+    sizes = np.fromiter((len(text or b"") + 1 for text in texts), dtype=np.int64, count=len(texts))
+    counts = np.diff(np.searchsorted(begins, np.cumsum(sizes)), prepend=0)
+    return data, begins, ends, counts
+
+
+def word_prints(data: bytes, begins: np.ndarray, ends: np.ndarray, lanes: int) -> list[np.ndarray]:
+    """Hashes of words, each lane with seeds of its own. Words are read eight bytes at a time; the
+    few long ones are hashed by themselves."""
+    chunks = np.ndarray(len(data) - CHUNK + 1, dtype="<u8", buffer=data, strides=(1,))
+    sizes = ends - begins
+    seeds = [np.uint64(_SEED * (lane + 1) & _ALL) for lane in range(lanes)]
+    prints = [mixed(sizes.astype(np.uint64) + seed) for seed in seeds]
+    which, at, left = slice(None), begins, sizes
+    for _ in range(LONG // CHUNK):
+        if not len(at):
+            break
+        chunk = chunks[at] & _FIRST_BYTES[np.minimum(left, CHUNK)]
+        for lane, seed in enumerate(seeds):
+            before = prints[lane][which]
+            prints[lane][which] = mixed(before * _ODD + mixed(chunk ^ seed))
+        rest = np.flatnonzero(left > CHUNK)
+        which = rest if isinstance(which, slice) else which[rest]
+        at, left = at[rest] + CHUNK, left[rest] - CHUNK
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        both = xxhash.xxh3_128_intdigest(data[begins[k] : ends[k]])
+        for lane in range(lanes):
+            prints[lane][k] = both >> 64 * lane & _ALL
+    return prints
+
+
+def _covered(starts: np.ndarray, n_words: int, width: int) -> np.ndarray:
+    """Which of the words lie in windows that begin at these places, each given once."""
+    marks = np.zeros(n_words + width + 1, dtype=np.int64)
+    marks[starts] += 1
+    marks[starts + width] -= 1
+    return np.cumsum(marks)[:n_words] > 0
+
+
 class Windows:
     """Words of a block's texts, where they are asked for, and the fingerprints of all windows that
-    lie in one text. Words as objects take several times the memory of the rest, so a portion of
-    the texts is split at a time."""
+    lie in one text, or their first lane only. A portion of the texts is split at a time."""
 
-    def __init__(self, texts: list[bytes | None], width: int, with_words: bool = True):
-        prints = kept("word prints", WordPrints)
+    def __init__(
+        self, texts: list[bytes | None], width: int, with_words: bool = True, lanes: int = 2
+    ):
         self.words, self.n_words = [] if with_words else None, 0
-        ends, starts, first, second = ([np.zeros(0, dtype=t)] for t in ("i8", "i8", "u8", "u8"))
+        all_counts, starts = [np.zeros(0, dtype="i8")], [np.zeros(0, dtype="i8")]
+        found = [[np.zeros(0, dtype="u8")] for _ in range(lanes)]
         for some in _portions(texts):
-            words = b"".join((t or b"") + b" " + BETWEEN + b" " for t in some).split()
-            numbers = prints.numbers(words)
+            data, begins, ends, counts = cut_words(some)
             if with_words:
-                self.words += words
-            del words
-            # Where each text ends, and the words from every place to the end of its text.
-            stops = np.flatnonzero(numbers == 0)
-            room = np.repeat(stops, np.diff(stops, prepend=-1)) - np.arange(len(numbers))
+                self.words += data.split()
+            # The words from every place to the end of its text.
+            room = np.repeat(np.cumsum(counts), counts) - np.arange(len(begins))
             inside = np.flatnonzero(room >= width)
-            for lane, found in enumerate((first, second)):
-                found.append(window_prints(prints.lane(numbers, lane), width, lane)[inside])
-            ends.append(stops + self.n_words)
+            for lane, prints in enumerate(word_prints(data, begins, ends, lanes)):
+                found[lane].append(window_prints(prints, width, lane)[inside])
+            all_counts.append(counts)
             starts.append(inside + self.n_words)
-            self.n_words += len(numbers)
-        self.ends = np.concatenate(ends)
-        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if len(texts) else self.ends
-        self.counts = self.ends - self.begins
-        self.starts, self.first, self.second = map(np.concatenate, (starts, first, second))
+            self.n_words += len(begins)
+        self.counts = np.concatenate(all_counts)
+        self.ends = np.cumsum(self.counts)
+        self.begins = self.ends - self.counts
+        self.starts = np.concatenate(starts)
+        self.first, self.second = [*map(np.concatenate, found), None][:2]
 
     def covered(self, repeated: np.ndarray, width: int) -> np.ndarray:
         """Which of the words lie in a repeated window."""
-        marks = np.zeros(self.n_words + width + 1, dtype=np.int64)
-        at = self.starts[repeated]
-        marks[at] += 1
-        marks[at + width] -= 1
-        return np.cumsum(marks)[: self.n_words] > 0
+        return _covered(self.starts[repeated], self.n_words, width)
 
 
 def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -206,8 +253,8 @@ def _flags(bits: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=n).astype(bool)
 
 
-PIECE = "shard int, block int, n int, keys binary, twice binary"
-ANSWER = "block int, exact boolean, shard int, repeated binary"
+PIECE = "shard int, block int, n int, keys binary, twice binary, places binary"
+ANSWER = "block int, shard int, repeated binary"
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -222,12 +269,12 @@ _PIECE = pa.schema(
         ("n", pa.int32()),
         ("keys", pa.binary()),
         ("twice", pa.binary()),
+        ("places", pa.binary()),
     ]
 )
 _ANSWER = pa.schema(
     [
         ("block", pa.int32()),
-        ("exact", pa.bool_()),
         ("shard", pa.int32()),
         ("repeated", pa.binary()),
     ]
@@ -287,20 +334,25 @@ def candidates(windows: Windows, shards: int, depth: int, answers: dict[int, byt
 
 def exact_pieces(windows: Windows, chosen: np.ndarray, shards: int):
     """Shard after shard: fingerprints of the chosen windows, each once, whether it stands twice,
-    and which of the chosen windows have which fingerprint."""
-    first, second = windows.first[chosen], windows.second[chosen]
-    shard = _shard_of(second, shards).astype(np.int64)
-    order = np.lexsort((second, first, shard))
-    first, second, shard = first[order], second[order], shard[order]
+    and where its first window begins, in ascending order. At last, where all windows begin that
+    stand twice in the block, as a piece without fingerprints for one of the shards."""
+    first, second, starts = windows.first[chosen], windows.second[chosen], windows.starts[chosen]
+    order = np.lexsort((first, second))
+    first, second, starts = first[order], second[order], starts[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     at = np.flatnonzero(new)
-    twice = np.diff(np.append(at, len(order))) > 1
-    group = np.cumsum(new) - 1
-    for number, a, b in _slices(shard[at]):
-        low, high = at[a], at[b] if b < len(at) else len(order)
-        prints = np.column_stack([first[at[a:b]], second[at[a:b]]])
-        yield number, prints, twice[a:b], chosen[order[low:high]], group[low:high] - a
+    many = np.diff(np.append(at, len(order)))
+    inner = np.sort(starts[np.repeat(many > 1, many)])
+    # Sorting is stable, so the first of equal ones is the first of the block.
+    first, second, starts, twice = first[at], second[at], starts[at], many > 1
+    shard = _shard_of(second, shards)
+    order = np.argsort(shard << np.uint64(32) | starts.astype(np.uint64))
+    prints, starts, twice = np.column_stack([first, second])[order], starts[order], twice[order]
+    for number, a, b in _slices(shard[order].astype(np.int64)):
+        yield number, prints[a:b], twice[a:b], starts[a:b]
+    if len(inner):
+        yield int(windows.first[0] % np.uint64(shards)), prints[:0], twice[:0], inner
 
 
 def merge_exact(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -335,16 +387,24 @@ def remove_repeated(
     placed = docs.select(F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"), *columns)
     here = f"c{at}"
 
-    def windows_of(rows: pa.Table) -> Windows:
+    def windows_of(texts: list[bytes | None], lanes: int) -> Windows:
         give_back()  # what the block before took
-        return Windows(rows.column(here).to_pylist(), window, with_words=False)
+        return Windows(texts, window, with_words=False, lanes=lanes)
+
+    def in_order(rows: pa.Table) -> tuple[list[int], list[bytes | None]]:
+        """The rows of a block by their texts: equal texts have equal windows, so places in this
+        order are the same in every task."""
+        texts = rows.column(here).to_pylist()
+        order = sorted(range(len(texts)), key=lambda row: texts[row] or b"")
+        return order, [texts[row] for row in order]
 
     def sketch(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
+        windows = windows_of(rows.column(here).to_pylist(), lanes=1)
         return _table(
             [
-                (number, block, len(cells), _squeezed(cells), _bits(twice))
-                for number, cells, twice in sketch_pieces(windows_of(rows), shards, depth)
+                (number, block, len(cells), _squeezed(cells), _bits(twice), None)
+                for number, cells, twice in sketch_pieces(windows, shards, depth)
             ],
             _PIECE,
         )
@@ -353,42 +413,45 @@ def remove_repeated(
         given = rows.to_pylist()
         pieces = [(_unsqueezed(r["keys"]), _flags(r["twice"], r["n"])) for r in given]
         answers = merge_sketch(pieces)
-        return _table(
-            [(r["block"], False, r["shard"], _bits(a)) for r, a in zip(given, answers)], _ANSWER
-        )
-
-    def answers_of(rows: pa.Table) -> tuple[dict[int, bytes], dict[int, bytes]]:
-        estimated, exact = {}, {}
-        for r in rows.to_pylist():
-            (exact if r["exact"] else estimated)[r["shard"]] = r["repeated"]
-        return estimated, exact
+        return _table([(r["block"], r["shard"], _bits(a)) for r, a in zip(given, answers)], _ANSWER)
 
     def fingerprint(
         key: tuple[pa.Scalar, ...], rows: pa.Table, replies: pa.Table
     ) -> pa.Table:
-        windows = windows_of(rows)
-        chosen = candidates(windows, shards, depth, answers_of(replies)[0])
+        windows = windows_of(in_order(rows)[1], lanes=2)
+        estimated = {r["shard"]: r["repeated"] for r in replies.to_pylist()}
+        chosen = candidates(windows, shards, depth, estimated)
         return _table(
             [
-                (number, key[0].as_py(), len(prints), prints.astype("<u8").tobytes(), _bits(twice))
-                for number, prints, twice, _, _ in exact_pieces(windows, chosen, shards)
+                (
+                    number,
+                    key[0].as_py(),
+                    len(prints),
+                    prints.astype("<u8").tobytes(),
+                    _bits(twice),
+                    _squeezed(starts),
+                )
+                for number, prints, twice, starts in exact_pieces(windows, chosen, shards)
             ],
             _PIECE,
         )
 
     def group(rows: pa.Table) -> pa.Table:
         given = rows.to_pylist()
+        # Of a block's own repetitions the places are handed on as they are.
+        known = [(r["block"], r["shard"], r["places"]) for r in given if not r["n"]]
+        given = [r for r in given if r["n"]]
         pieces = [
             (np.frombuffer(r["keys"], dtype="<u8").reshape(-1, 2), _flags(r["twice"], r["n"]))
             for r in given
         ]
-        return _table(
-            [
-                (r["block"], True, r["shard"], _bits(a))
-                for r, a in zip(given, merge_exact(pieces))
-            ],
-            _ANSWER,
-        )
+        merged = merge_exact(pieces) if pieces else []
+        found = [
+            (r["block"], r["shard"], _squeezed(_unsqueezed(r["places"])[repeated & ~twice]))
+            for r, (_, twice), repeated in zip(given, pieces, merged)
+            if (repeated & ~twice).any()
+        ]
+        return _table(known + found, _ANSWER)
 
     kept_fields = [
         *(T.StructField(f"c{i}", placed.schema[f"c{i}"].dataType) for i in range(len(names))),
@@ -398,36 +461,39 @@ def remove_repeated(
     ]
 
     def remove(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        windows = windows_of(rows)
-        estimated, exact = answers_of(replies)
-        repeated = np.zeros(len(windows.starts), dtype=bool)
-        chosen = candidates(windows, shards, depth, estimated)
-        for number, prints, _, which, group_of in exact_pieces(windows, chosen, shards):
-            repeated[which] = _flags(exact[number], len(prints))[group_of]
-        stays = ~windows.covered(repeated, window)
-        left, removed, digests = [], [], []
-        given = rows.column(here).to_pylist()
-        for text_, a, b in zip(given, windows.begins.tolist(), windows.ends.tolist()):
-            kept = list(compress((text_ or b"").split(), stays[a:b].tolist()))
-            removed.append(b - a - len(kept))
-            kept = b" ".join(kept)
-            left.append(kept if removed[-1] else text_)
-            digests.append(hashlib.sha256(kept).hexdigest())
-        counts = pa.array(windows.counts, pa.int64())
-        del windows, stays  # the worker may wait while later stages need the memory
+        give_back()  # what the block before took
+        order, texts = in_order(rows)
+        counts = np.concatenate([cut_words(some)[3] for some in _portions(texts)])
+        starts = [_unsqueezed(r) for r in replies.column("repeated").to_pylist()]
+        starts = np.concatenate([np.zeros(0, dtype=np.int64), *starts])
+        gone = _covered(starts, int(counts.sum()), window)
+        ends = np.cumsum(counts)
+        removed = np.diff(np.append(0, np.cumsum(gone))[np.append(0, ends)])
+        left, digests = [None] * len(order), [None] * len(order)
+        for row, text_, a, b, less in zip(
+            order, texts, (ends - counts).tolist(), ends.tolist(), removed.tolist()
+        ):
+            words = (text_ or b"").split()
+            if less:
+                words = compress(words, (~gone[a:b]).tolist())
+            kept = b" ".join(words)
+            left[row] = kept if less else text_
+            digests[row] = hashlib.sha256(kept).hexdigest()
+        back = np.argsort(order)
+        counts, removed = pa.array(counts[back], pa.int64()), pa.array(removed[back], pa.int64())
+        del gone, starts, texts  # the worker may wait while later stages need the memory
         give_back()
         rows = rows.drop_columns(["block"])
         rows = rows.set_column(at, here, pa.array(left, rows.schema.field(here).type))
         rows = rows.append_column("n_words", counts)
-        rows = rows.append_column("n_removed", pa.array(removed, pa.int64()))
+        rows = rows.append_column("n_removed", removed)
         return rows.append_column("kept_sha256", pa.array(digests, pa.string()))
 
     texts = placed.groupBy("block")
     estimates = texts.applyInArrow(sketch, PIECE).groupBy("shard").applyInArrow(estimate, ANSWER)
     prints = texts.cogroup(estimates.groupBy("block")).applyInArrow(fingerprint, PIECE)
     exact = prints.groupBy("shard").applyInArrow(group, ANSWER)
-    replies = estimates.unionByName(exact)
-    done = texts.cogroup(replies.groupBy("block")).applyInArrow(remove, T.StructType(kept_fields))
+    done = texts.cogroup(exact.groupBy("block")).applyInArrow(remove, T.StructType(kept_fields))
     return done.select(
         *(
             F.col(f"c{i}").cast(docs.schema[n].dataType).alias(n)

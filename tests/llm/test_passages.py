@@ -104,3 +104,41 @@ def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, P.op5_substring_dedup(spark, SF).collect()), key=str)
     assert got == plain(list(map(tuple, docs)), 35)
+
+
+def test_words_are_cut_and_hashed_as_arrays():
+    rng = random.Random(3)
+    signs = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "a", "b", "é", "日"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))).encode() for _ in range(60)]
+    texts += [None, b"", b"  ", b"abcdefgh abcdefghi abcdefg", b"x" * 64, b"x" * 65, b"x" * 66]
+    texts += [b"a\0 a a\0\0", b"\xff \xffa", b"z" * 200 + b" " + b"z" * 199 + b"y"]
+    data, begins, ends, counts = P.cut_words(texts)
+    words = [w for t in texts for w in (t or b"").split()]
+    assert [data[a:b] for a, b in zip(begins, ends)] == words
+    assert counts.tolist() == [len((t or b"").split()) for t in texts]
+    first, second = P.word_prints(data, begins, ends, lanes=2)
+    assert (P.word_prints(data, begins, ends, lanes=1)[0] == first).all()
+    for lane in (first, second):
+        assert len(set(lane.tolist())) == len(set(words))
+        assert len(set(zip(words, lane.tolist()))) == len(set(words))
+    assert not set(first.tolist()) & set(second.tolist())
+
+
+def test_no_byte_of_a_text_ends_it():
+    windows = Windows([b"a \xff b", b"\xff b c"], 2)
+    assert windows.counts.tolist() == [3, 3] and len(windows.first) == 4
+    assert windows.first[1] == windows.first[2]
+
+
+def test_pieces_bring_the_places_of_their_windows():
+    """Once per window and block, however often it stands there; other windows by their places."""
+    texts = [b"h o t " * 50, b"a b c d", b"x y z a b c", b"p q r s"]
+    windows = Windows(texts, 3)
+    pieces = list(P.exact_pieces(windows, np.arange(len(windows.starts)), 4))
+    prints = [tuple(p) for _, some, _, _ in pieces for p in some.tolist()]
+    assert len(prints) == len(set(prints)) == 3 + 2 + 3 + 2
+    twice = [s for _, some, t, places in pieces for s in places[: len(some)][t].tolist()]
+    assert sorted(twice) == [0, 1, 2, 150]
+    inner = [places.tolist() for _, some, _, places in pieces if not len(some)]
+    assert inner == [[*range(148), 150, 157]]
+    assert all((np.diff(places) > 0).all() for *_, places in pieces)
