@@ -13,10 +13,10 @@ Windows are judged in two passes, as most of them are unique and need not travel
    words of its texts in the order of the texts themselves, which no shuffle changes.
 
 A piece holds a cell or fingerprint once per block, however often it stands there, so a passage
-that a third of all texts share gives its shard one entry per block. Where a block itself holds a window twice is sent by block, not by window.
-Words are cut and hashed as whole arrays. The number of blocks and shards
-follows the amount of text; both stay of a fixed size. The texts are shuffled once and that exchange
-serves all passes.
+that a third of all texts share gives its shard one entry per block. Where a block itself holds a
+window twice is sent by block, not by window. Words are cut and hashed as whole arrays. The number
+of blocks and shards follows the amount of text; both stay of a fixed size. The texts are shuffled
+once and that exchange serves all passes.
 
 Defined results: a null or empty text has no words and stays as it is; texts shorter than a window
 keep everything; repeated rows are documents of their own, so they remove each other's windows;
